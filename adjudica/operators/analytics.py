@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adjudica.operators import ordered
+from adjudica.operators.decisions import (
+    AnyDecision,
+    admitted,
+    evaluate,
+    fired_names,
+    plain_rules,
+    validate,
+)
+from adjudica.operators.monoids import Monoid
 
 # Label strength, most protected first.
 LABEL_ORDER = ["direct", "quasi", "sensitive"]
@@ -29,6 +38,26 @@ def rejection_summary(rejections: DataFrame, violations: str = "payload.violatio
     )
 
 
+def rejection_counts(
+    df: DataFrame,
+    system: Sequence[AnyDecision],
+    adm: Callable[[Column], Column],
+    monoid: Monoid,
+) -> DataFrame:
+    """The same summary straight from proposals, when the rejections table is not needed: only
+    the rules' conditions are computed, no message and no violation is built."""
+    rules = plain_rules(system)
+    if rules is None:
+        return rejection_summary(validate(df, system, monoid, adm).where(~F.col("admitted")))
+    rejected = df.where(~admitted(adm, system, evaluate(system, monoid)))
+    return (
+        rejected.select(F.explode(fired_names(rules)).alias("rule_name"))
+        .groupBy("rule_name")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .orderBy(F.desc("n"), "rule_name")
+    )
+
+
 def score_statistics(outcomes: DataFrame, by: Sequence[str], score: Column, outlier: float = 0.9) -> DataFrame:
     """Distribution of scores per group.
 

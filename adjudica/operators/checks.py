@@ -105,7 +105,7 @@ def freshness(
 ) -> DataFrame:
     """Hours since the last row, and pass, warn or fail."""
     last = df.groupBy(*by).agg(F.max(ts).alias("last_ts"))
-    hours = F.timestamp_diff("SECOND", F.col("last_ts"), as_of) / F.lit(3600.0)
+    hours = F.timestamp_diff("MICROSECOND", F.col("last_ts"), as_of) / F.lit(3.6e9)
     return last.withColumn("age_hours", hours).withColumn(
         "status",
         F.when(F.col("last_ts").isNull() | (F.col("age_hours") > fail), "fail")

@@ -23,8 +23,12 @@ ColumnBuilder = Callable[[], Column]
 
 @dataclass(frozen=True)
 class Decision:
+    """Any decision; one made by :func:`lift` remembers what it lifted, and into which slot."""
+
     name: str
     value: ColumnBuilder
+    lifted: AnyDecision | None = None
+    slot: str | None = None
 
 
 @dataclass(frozen=True)
@@ -83,7 +87,9 @@ def for_product_line(line: str, rule: Rule) -> Rule:
 
 def lift(decision: AnyDecision, slot: str, monoid: Product = JOINT) -> Decision:
     """Place a decision in one component of a product; the others get their identity."""
-    return Decision(decision.name, lambda: monoid.of(**{slot: decision.value()}))
+    return Decision(
+        decision.name, lambda: monoid.of(**{slot: decision.value()}), lifted=decision, slot=slot
+    )
 
 
 def lift_all(decisions: Sequence[AnyDecision], monoid: Product = JOINT) -> list[Decision]:
@@ -101,20 +107,83 @@ def evaluate(system: Sequence[AnyDecision], monoid: Monoid) -> Column:
     return monoid.fold([d.value() for d in system])
 
 
+def plain_rules(system: Sequence[AnyDecision], slot: str = "violations") -> list[Rule] | None:
+    """The rules behind a system's violations, in order; None when some are not plain rules."""
+    found: list[Rule] = []
+    for d in system:
+        source = d.lifted if isinstance(d, Decision) and d.slot == slot else d
+        if isinstance(source, Rule):
+            found.append(source)
+        elif isinstance(source, Decision) and source.slot in (None, slot):
+            return None
+    return found
+
+
+def fired_names(rules: Sequence[Rule]) -> Column:
+    """Names of the rules that fire, in order, without building their violations."""
+    return F.array_compact(F.array(*[F.when(r.fired(), F.lit(r.name)) for r in rules])).cast(
+        "array<string>"
+    )
+
+
 # Admission predicates -----------------------------------------------------------------------
 
 
-def adm_no_violation(violations: Column) -> Column:
-    return F.size(violations) == 0
+class Admission:
+    """Predicate over a payload.
+
+    ``over`` may use the system that makes the payload: whether no rule fires is a plain boolean
+    over the inputs, much cheaper than building the violation list and asking for its size.
+    """
+
+    def __call__(self, payload: Column) -> Column:
+        raise NotImplementedError
+
+    def over(self, system: Sequence[AnyDecision], payload: Column) -> Column:
+        return self(payload)
+
+
+class NoViolation(Admission):
+    def __call__(self, payload: Column) -> Column:
+        return F.size(payload) == 0
+
+    def over(self, system: Sequence[AnyDecision], payload: Column) -> Column:
+        rules = plain_rules(system)
+        if rules is None:
+            return self(payload)
+        fired = F.lit(False)
+        for rule in rules:
+            fired = fired | rule.fired()
+        return ~fired
 
 
-def adm_below(cap: float) -> Callable[[Column], Column]:
+@dataclass(frozen=True)
+class Below(Admission):
     """Strictly below the cap."""
-    return lambda score: score < F.lit(float(cap))
 
+    cap: float
+
+    def __call__(self, payload: Column) -> Column:
+        return payload < F.lit(float(self.cap))
+
+
+@dataclass(frozen=True)
+class Joint(Admission):
+    """No violation, and a score below the cap."""
+
+    cap: float
 
-def adm_joint(cap: float) -> Callable[[Column], Column]:
-    return lambda m: adm_no_violation(m["violations"]) & adm_below(cap)(m["score"])
+    def __call__(self, payload: Column) -> Column:
+        return NoViolation()(payload["violations"]) & Below(self.cap)(payload["score"])
+
+    def over(self, system: Sequence[AnyDecision], payload: Column) -> Column:
+        clean = NoViolation().over(system, payload["violations"])
+        return clean & Below(self.cap)(payload["score"])
+
+
+adm_no_violation = NoViolation()
+adm_below = Below
+adm_joint = Joint
 
 
 def adm_risk_profile(cap: float, critical: int) -> Callable[[Column], Column]:
@@ -125,6 +194,10 @@ def adm_always(_: Column) -> Column:
     return F.lit(True)
 
 
+def admitted(adm: Callable[[Column], Column], system: Sequence[AnyDecision], payload: Column) -> Column:
+    return adm.over(system, payload) if isinstance(adm, Admission) else adm(payload)
+
+
 def validate(
     df: DataFrame,
     system: Sequence[AnyDecision],
@@ -133,8 +206,8 @@ def validate(
     payload: str = "payload",
 ) -> DataFrame:
     """Add the folded ``payload`` and ``admitted``. The payload stays on the row either way."""
-    valued = df.withColumn(payload, evaluate(system, monoid))
-    return valued.withColumn("admitted", adm(F.col(payload)))
+    value = evaluate(system, monoid)
+    return df.withColumns({payload: value, "admitted": admitted(adm, system, value)})
 
 
 def payload_json(payload: Column, monoid: Monoid) -> Column:

@@ -89,7 +89,7 @@ def run(
     both = spark.read.parquet(f"{out}/outcomes")
     sides = outcomes.run_summary(both).first()
     breakdown = {}
-    if "violations" in monoid.dtype.names if isinstance(monoid.dtype, StructType) else False:
+    if isinstance(monoid.dtype, StructType) and "violations" in monoid.dtype.names:
         breakdown = {r["rule_name"]: r["n"] for r in rejection_summary(done.rejections).collect()}
     return RunResult(
         contracts=sides["contracts"],

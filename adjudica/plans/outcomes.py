@@ -7,11 +7,9 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adjudica.operators.analytics import rejection_summary
 from adjudica.operators.decisions import AnyDecision, payload_json, validate
 from adjudica.operators.monoids import JOINT, Monoid
 from adjudica.operators.views import visible
-from adjudica.sources.tables import read_table
 
 
 class Outcomes(NamedTuple):
@@ -58,13 +56,3 @@ def run_summary(judged_rows: DataFrame) -> DataFrame:
         F.count_if("admitted").alias("contracts"), F.count_if(~F.col("admitted")).alias("rejections")
     )
 
-
-__all__ = [
-    "Outcomes",
-    "judged",
-    "read_table",
-    "rejection_summary",
-    "run_summary",
-    "split_outcomes",
-    "write_outcomes",
-]

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from adjudica.operators.decisions import AnyDecision, evaluate
+from adjudica.operators.decisions import AnyDecision, admitted, evaluate
 from adjudica.operators.monoids import JOINT, Monoid
 
-RELEASES = "decision_version string, position int, decision string, released_on date"
+
+RELEASES = "decision_version string, position int, decision string, released_on string"
 
 
 @dataclass(frozen=True)
@@ -29,18 +30,30 @@ def releases_table(spark: SparkSession, releases: Sequence[Release]) -> DataFram
     rows = [
         (r.version, i, d.name, r.released_on) for r in releases for i, d in enumerate(r.system)
     ]
-    return spark.createDataFrame(
-        rows, "decision_version string, position int, decision string, released_on string"
-    ).withColumn("released_on", F.col("released_on").cast("date"))
+    return spark.createDataFrame(rows, RELEASES).withColumn("released_on", F.col("released_on").cast("date"))
+
 
+def apply_release(
+    df: DataFrame, releases: Mapping[str, Release], version: str | Column
+) -> DataFrame:
+    """Judge rows under a release and stamp its version on them.
 
-def apply_release(df: DataFrame, releases: Mapping[str, Release], version: str) -> DataFrame:
-    """Judge rows under a release and stamp its version on them."""
-    release = releases[version]
-    judged = df.withColumn("payload", evaluate(release.system, release.monoid))
-    return judged.withColumns(
-        {"admitted": release.adm(F.col("payload")), "decision_version": F.lit(version)}
+    ``version`` may be a column, when each row names the release in force for it; all releases
+    must then share one monoid, and rows naming an unknown release are rejected with no payload.
+    """
+    stamped = df.withColumn(
+        "decision_version", F.lit(version) if isinstance(version, str) else version
     )
+    wanted = [version] if isinstance(version, str) else sorted(releases)
+    payload = F.when(F.lit(False), evaluate(releases[wanted[0]].system, releases[wanted[0]].monoid))
+    verdict = F.when(F.lit(False), F.lit(False))
+    for v in wanted:
+        mine = F.col("decision_version") == v
+        payload = payload.when(mine, evaluate(releases[v].system, releases[v].monoid))
+        release = releases[v]
+        verdict = verdict.when(mine, admitted(release.adm, release.system, F.col("payload")))
+    judged = stamped.withColumn("payload", payload)
+    return judged.withColumn("admitted", F.coalesce(verdict, F.lit(False)))
 
 
 def replay(df: DataFrame, old: Release, new: Release) -> DataFrame:
@@ -50,8 +63,8 @@ def replay(df: DataFrame, old: Release, new: Release) -> DataFrame:
     )
     return both.select(
         *df.columns,
-        old.adm(F.col("__old")).alias("admitted_before"),
-        new.adm(F.col("__new")).alias("admitted_after"),
+        admitted(old.adm, old.system, F.col("__old")).alias("admitted_before"),
+        admitted(new.adm, new.system, F.col("__new")).alias("admitted_after"),
         F.col("__old.score").alias("score_before"),
         F.col("__new.score").alias("score_after"),
     )

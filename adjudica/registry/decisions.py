@@ -18,9 +18,8 @@ def _fired(*keys: str) -> str:
     """Names of the fired rules, in rule order, as DuckDB text."""
     cases = []
     for key in keys:
-        build, predicate = UNDERWRITING_FIRES[key]
-        label = next(n for k, n in _RULE_NAMES.items() if k == key)
-        cases.append(f"case when {predicate} then '{label}' end")
+        predicate = UNDERWRITING_FIRES[key][1]
+        cases.append(f"case when {predicate} then '{_RULE_NAMES[key]}' end")
     return f"concat_ws(',', {', '.join(cases)})"
 
 
@@ -245,11 +244,19 @@ def split_outcomes(spark, sf_dir):
     )
 
 
-@query(
-    f"""{_U}, r as (select unnest(string_split({_fired(*_BASIC)}, ',')) as rule_name from u
+_SUMMARY = f"""{_U}, r as (select unnest(string_split({_fired(*_BASIC)}, ',')) as rule_name from u
   where not ({_fired(*_BASIC)} = '' and {_RISK} < 9e-1))
 select rule_name, count(*) as n from r where rule_name <> '' group by rule_name"""
-)
+
+
+@query(_SUMMARY)
+def rejection_counts(spark, sf_dir):
+    return analytics.rejection_counts(
+        bindings.underwriting(spark, sf_dir), regimes.joint().decisions, adm_joint(0.9), monoids.JOINT
+    )
+
+
+@query(_SUMMARY)
 def rejection_summary(spark, sf_dir):
     judged = outcomes.judged(
         bindings.underwriting(spark, sf_dir), regimes.joint().decisions, adm_joint(0.9)

@@ -184,14 +184,21 @@ _OLD = f"({_fired(*_BASIC)} = '' and {_RISK} < 9e-1)"
 
 
 @query(
-    f"{_U} select '2026.2' as decision_version, jurisdiction, count(*) filter {'(' + _NEW[1:-1] + ')'} as contracts, "
-    f"count(*) filter (not {_NEW}) as rejections, cast('2026-07-01' as varchar) as released_on from u group by jurisdiction"
+    f"""{_U}, v as (select jurisdiction, case when product_line in ('Auto', 'Life') then '2026.1' else '2026.2' end as decision_version,
+  case when product_line in ('Auto', 'Life') then {_OLD} else {_NEW} end as admitted from u)
+select decision_version, jurisdiction, count(*) filter (admitted) as contracts, count(*) filter (not admitted) as rejections,
+  case decision_version when '2026.1' then '2026-04-30' else '2026-07-01' end as released_on,
+  case decision_version when '2026.1' then 6 else 7 end as n_decisions from v group by decision_version, jurisdiction"""
 )
 def decision_releases(spark, sf_dir):
     releases = _releases()
-    judged = replay.apply_release(bindings.underwriting(spark, sf_dir), releases, "2026.2")
+    in_force = F.when(F.col("product_line").isin("Auto", "Life"), "2026.1").otherwise("2026.2")
+    judged = replay.apply_release(bindings.underwriting(spark, sf_dir), releases, in_force)
     table = replay.releases_table(spark, list(releases.values()))
-    dated = table.select("decision_version", F.col("released_on").cast("string")).distinct()
+    dated = table.groupBy("decision_version").agg(
+        F.max("released_on").cast("string").alias("released_on"),
+        F.count(F.lit(1)).cast("int").alias("n_decisions"),
+    )
     counted = judged.groupBy("decision_version", "jurisdiction").agg(
         F.count_if("admitted").alias("contracts"), F.count_if(~F.col("admitted")).alias("rejections")
     )

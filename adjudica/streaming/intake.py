@@ -35,13 +35,15 @@ def judge_stream(
     active = registry or versions.default_registry()
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.where(visible()) if "erased" in batch.columns else batch
+        # Two sinks read the batch; without this the source would be read for each.
+        rows = (batch.where(visible()) if "erased" in batch.columns else batch).persist()
         parted = versions.dispatch(rows, active, keep=keep)
         parted.quarantined.select(*keep, "schema_version_seen", "reason", "detail").write.mode(
             "overwrite"
         ).parquet(f"{out}/quarantine/batch={number}")
         judged = outcomes.judged(versions.across_versions(parted.valid), system, adm, monoid)
         judged.write.mode("overwrite").parquet(f"{out}/outcomes/batch={number}")
+        rows.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -49,7 +51,3 @@ def judge_stream(
         .trigger(availableNow=True)
         .start()
     )
-
-
-def read_side(frame_reader, path: str) -> DataFrame:
-    return frame_reader.parquet(path).drop("batch")

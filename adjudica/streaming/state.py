@@ -14,7 +14,9 @@ def running_credibility(stream: DataFrame, delay: str | None = None) -> DataFram
     """
     rows = stream
     if delay is not None:
-        rows = rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["learner_id", "ts"])
+        # Watermarks need an instant, so zoneless times are read in the session's zone.
+        rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+        rows = rows.dropDuplicatesWithinWatermark(["learner_id", "ts"])
     grouped = rows.groupBy("learner_id").agg(
         F.first("mu0").alias("mu0"),
         F.first("kappa0").alias("kappa0"),
