@@ -11,19 +11,25 @@ import unicodedata
 
 from pyspark.sql import Column, functions as F
 
+from adjudica.functions.common import let
+
 _BLANK = r"[\s\x1c-\x1f\x85\p{Z}]*"
-_SEPARATOR = rf"{_BLANK}(?:is|:){_BLANK}"
-_NAME = rf"(?iud)holder{_SEPARATOR}([A-Za-z][A-Za-z\- ]*?)(?:[.,;]|$)"
-_NOT_AFTER_WORD = r"(?<![\p{L}\p{N}_])"
-_NOT_BEFORE_WORD = r"(?![\p{L}\p{N}_])"
+# Besides their capitals, i and s also match dotted/dotless i and long s.
+_I, _S = r"[iİı]", r"[sſ]"
+_SEPARATOR = rf"{_BLANK}(?:{_I}{_S}|:){_BLANK}"
+_LETTER = r"A-Za-zİıſK"
+_NAME = rf"(?id)holder{_SEPARATOR}([{_LETTER}][{_LETTER}\- ]*?)(?:[.,;]|$)"
+_WORD = r"[\p{L}\p{N}_]"
 
 # The extraction vocabulary. ``holder`` is an older alias of ``holder_name``.
+# Word edges are tested after the first characters have matched: a look-behind in front would be
+# tried at every position of the text.
 PATTERNS = {
     "holder_name": _NAME,
     "holder": _NAME,
-    "premium": rf"(?iud)premium{_SEPARATOR}\$?(-?\p{{Nd}}+(?:\.\p{{Nd}}+)?)",
-    "zip_code": rf"{_NOT_AFTER_WORD}(\p{{Nd}}{{5}}){_NOT_BEFORE_WORD}",
-    "age": rf"(?iud){_NOT_AFTER_WORD}age{_SEPARATOR}(\p{{Nd}}{{1,3}}){_NOT_BEFORE_WORD}",
+    "premium": rf"(?i)prem{_I}um{_SEPARATOR}\$?(-?\p{{Nd}}+(?:\.\p{{Nd}}+)?)",
+    "zip_code": rf"(\p{{Nd}}(?<!{_WORD}\p{{Nd}})\p{{Nd}}{{4}})(?!{_WORD})",
+    "age": rf"(?i)age(?<!{_WORD}age){_SEPARATOR}(\p{{Nd}}{{1,3}})(?!{_WORD})",
 }
 
 _NUMERIC = {"premium": "double", "age": "int"}
@@ -46,10 +52,15 @@ def extract_field(text: Column, name: str) -> Column:
     """First match of the field's pattern, trimmed and typed; NULL when absent or unknown."""
     if name not in PATTERNS:
         return F.lit(None).cast("string")
-    raw = F.nullif(F.trim(F.regexp_extract(text, PATTERNS[name], 1)), F.lit(""))
+    found = F.trim(F.regexp_extract(text, PATTERNS[name], 1))
     if name not in _NUMERIC:
-        return raw
-    ascii_only = F.when(raw.rlike(r"^[\x00-\x7f]*$"), raw).otherwise(
-        F.translate(raw, _FOREIGN, _ASCII)
+        return let(found, lambda v: F.when(v != "", v))
+    return let(found, lambda v: _number(v, _NUMERIC[name]))
+
+
+def _number(digits: Column, dtype: str) -> Column:
+    """Number written in any script's digits; NULL for no digits at all."""
+    plain = F.when(digits.rlike(r"^[\x00-\x7f]*$"), digits).otherwise(
+        F.translate(digits, _FOREIGN, _ASCII)
     )
-    return ascii_only.try_cast(_NUMERIC[name])
+    return plain.try_cast(dtype)

@@ -26,6 +26,19 @@ def complete_only(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.dropna(how="any", subset=list(fields))
 
 
-def extract_proposals(df: DataFrame, schema: StructType, text: str = "text") -> DataFrame:
+def extract_proposals(
+    df: DataFrame, schema: StructType, text: str = "text", tokens: str = "tokens"
+) -> DataFrame:
+    """Complete extractions of a contract's fields, each pattern run at most once per text.
+
+    Filtering extracted columns would push the patterns into the filter and run them again for
+    the rows that stay. A generator keeps them in one place, and texts without the first field
+    are given up before the other patterns are tried.
+    """
     fields = schemas.extraction_fields(schema)
-    return complete_only(extract_fields(df, fields, text), fields)
+    body = F.col(text)
+    values = {name: extract_field(body, name) for name in fields}
+    record = F.struct(*[v.alias(n) for n, v in values.items()])
+    found = F.when(values[fields[0]].isNotNull(), F.array(record))
+    cost = costs.extract_tokens(body, len(fields)).alias(tokens)
+    return complete_only(df.select("*", F.inline(found), cost), fields)

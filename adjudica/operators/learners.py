@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from adjudica.functions.common import let
 from adjudica.operators import ordered
 from adjudica.sources.scratch import materialise
 
@@ -193,11 +194,6 @@ def dot(w: Column, x: Column) -> Column:
     return F.aggregate(F.zip_with(w, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it in ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def sgd_step(w: Column, x: Column, y: Column, eta: float) -> Column:
     return let(
         F.lit(float(eta)) * (dot(w, x) - y),

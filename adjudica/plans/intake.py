@@ -34,13 +34,6 @@ class RunResult:
     rule_breakdown: dict[str, int] = field(default_factory=dict)
 
 
-def structured(texts: DataFrame, schema: StructType, keep: Sequence[str], text: str = "text") -> DataFrame:
-    """Complete extractions with the default version stamped on; texts themselves left behind."""
-    fields = schemas.extraction_fields(schema)
-    rows = extraction.extract_fields(texts, fields, text).select(*keep, *fields, "tokens")
-    return versions.stamp_default(extraction.complete_only(rows, fields))
-
-
 def run(
     texts: DataFrame,
     out: str,
@@ -64,16 +57,17 @@ def run(
     fields = schemas.extraction_fields(schema)
 
     spent = Observation()
-    paid = extraction.extract_fields(texts, fields, text).select(*keep, *fields, "tokens")
-    paid = paid.observe(spent, F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
-    complete = versions.stamp_default(extraction.complete_only(paid, fields))
+    tokens = costs.extract_tokens(F.col(text), len(fields))
+    paid = texts.observe(spent, F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"))
+    found = extraction.extract_proposals(paid, schema, text).select(*keep, *fields)
+    complete = versions.stamp_default(found)
     tables.write_table(complete, f"{out}/extracted")
     total = int(spent.get["tokens"])
     if max_tokens is not None and total > max_tokens:
         raise BudgetExceeded(f"would spend {total} tokens of cap {max_tokens}")
     rows = tables.read_table(spark, f"{out}/extracted")
 
-    parted = versions.dispatch(rows.drop("tokens"), active, keep=keep)
+    parted = versions.dispatch(rows, active, keep=keep)
     counts = versions.dispatch_counts(parted).first()
     if counts["n_quarantined"]:
         tables.write_table(
