@@ -86,9 +86,11 @@ def merge_labels(labels: DataFrame, field: str = "field") -> DataFrame:
 
     ``labels`` has ``field``, ``category`` and a ``regimes`` array; a NULL category says nothing.
     """
-    rank = F.array_position(F.array(*[F.lit(c) for c in LABEL_ORDER]), F.col("category"))
-    ranked = labels.withColumn("__rank", F.when(F.col("category").isNotNull(), rank))
-    strongest = ranked.groupBy(field).agg(F.min("__rank").alias("__rank"))
+    rank, name = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for i, category in enumerate(LABEL_ORDER):
+        rank = F.when(F.col("category") == category, i).otherwise(rank)
+        name = F.when(F.col("__rank") == i, category).otherwise(name)
+    strongest = labels.groupBy(field).agg(F.min(rank).alias("__rank"))
     tags = (
         labels.select(field, F.explode("regimes").alias("regime"))
         .distinct()
@@ -97,8 +99,6 @@ def merge_labels(labels: DataFrame, field: str = "field") -> DataFrame:
     )
     return strongest.join(tags, field, "left").select(
         field,
-        F.element_at(F.array(*[F.lit(c) for c in LABEL_ORDER]), F.col("__rank").cast("int")).alias(
-            "category"
-        ),
+        name.alias("category"),
         F.coalesce("regimes", F.array().cast("array<string>")).alias("regimes"),
     )
