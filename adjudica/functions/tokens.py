@@ -11,6 +11,8 @@ import sys
 
 from pyspark.sql import Column, functions as F
 
+from adjudica.functions.common import let
+
 # Digits that are not decimal digits (superscripts, circled digits, ...), by rule.
 _OTHER_DIGITS = "".join(
     c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit() and not c.isdecimal()
@@ -46,19 +48,25 @@ def _letters(plaintext: Column, digest: Column, upper, lower, digit) -> Column:
 def token(plaintext: Column, transformation: str = "default") -> Column:
     """Deterministic token of the same length and per-position character class."""
     digest = F.sha2(F.concat(F.lit(f"{transformation}::"), plaintext), 256)
+
     # Most identifiers are ASCII: range tests there, Unicode properties only where needed.
-    plain = _letters(
-        plaintext,
-        digest,
-        lambda c: c.between("A", "Z"),
-        lambda c: c.between("a", "z"),
-        lambda c: c.between("0", "9"),
-    )
-    wide = _letters(
-        plaintext,
-        digest,
-        lambda c: c.rlike(_UPPER),
-        lambda c: c.rlike(_LOWER),
-        lambda c: c.rlike(_DIGIT),
-    )
-    return F.when(plaintext.rlike(_ASCII), plain).otherwise(wide)
+    def plain(d: Column) -> Column:
+        return _letters(
+            plaintext,
+            d,
+            lambda c: c.between("A", "Z"),
+            lambda c: c.between("a", "z"),
+            lambda c: c.between("0", "9"),
+        )
+
+    def wide(d: Column) -> Column:
+        return _letters(
+            plaintext,
+            d,
+            lambda c: c.rlike(_UPPER),
+            lambda c: c.rlike(_LOWER),
+            lambda c: c.rlike(_DIGIT),
+        )
+
+    # Bound once: inside the per-character function it would be hashed anew for each character.
+    return let(digest, lambda d: F.when(plaintext.rlike(_ASCII), plain(d)).otherwise(wide(d)))

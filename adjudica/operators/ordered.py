@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from adjudica.sources.scratch import materialise
 
 SEGMENT = "__segment"
+KEY = "__key"
 
 
 def default_segments(df: DataFrame) -> int:
@@ -36,25 +37,24 @@ def split(
     return materialise(ranged.withColumn(SEGMENT, F.spark_partition_id()), label)
 
 
-def _inside(keys: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*keys, SEGMENT).orderBy(*order)
+def _keyed(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Rows with the key as one struct, and the columns that group by key.
 
+    A struct is never NULL and equals another with NULLs in the same fields. So plain equality
+    joins NULL keys too, and the window over a segment and the join to it share one shuffle.
+    """
+    if not keys:
+        return rows, []
+    return rows.withColumn(KEY, F.struct(*keys)), [KEY]
 
-def _across(keys: Sequence[str]):
-    # Without keys this window holds one row per segment.
-    return Window.partitionBy(*keys).orderBy(SEGMENT)
 
+def _inside(by: Sequence[str], order: Sequence[str]):
+    return Window.partitionBy(*by, SEGMENT).orderBy(*order)
 
 
-
-def _attach(rows: DataFrame, per_segment: DataFrame, keys: Sequence[str]) -> DataFrame:
-    on = [*keys, SEGMENT]
-    left, right = rows.alias("rows"), per_segment.alias("per_segment")
-    condition = F.lit(True)
-    for name in on:
-        condition = condition & F.col(f"rows.{name}").eqNullSafe(F.col(f"per_segment.{name}"))
-    added = [F.col(f"per_segment.{c}") for c in per_segment.columns if c not in on]
-    return left.join(right, condition).select("rows.*", *added)
+def _across(by: Sequence[str]):
+    # Without a key this window holds one row per segment.
+    return Window.partitionBy(*by).orderBy(SEGMENT)
 
 
 def running_sums(
@@ -67,13 +67,13 @@ def running_sums(
     """Add inclusive running sums per key, in order."""
     inputs = {name: f"__value_{i}" for i, name in enumerate(values)}
     prepared = df.select("*", *[values[n].alias(c) for n, c in inputs.items()])
-    rows = split(prepared, keys, order, segments, "running")
-    totals = rows.groupBy(*keys, SEGMENT).agg(*[F.sum(c).alias(c) for c in inputs.values()])
-    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    rows, by = _keyed(split(prepared, keys, order, segments, "running"), keys)
+    totals = rows.groupBy(*by, SEGMENT).agg(*[F.sum(c).alias(c) for c in inputs.values()])
+    before = _across(by).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, SEGMENT, *[F.sum(c).over(before).alias(f"{c}_before") for c in inputs.values()]
+        *by, SEGMENT, *[F.sum(c).over(before).alias(f"{c}_before") for c in inputs.values()]
     )
-    within = _inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = _inside(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.select("*", *[F.sum(c).over(within).alias(f"{c}_here") for c in inputs.values()])
 
     def total(c: str) -> Column:
@@ -81,7 +81,7 @@ def running_sums(
             F.col(f"{c}_before"), F.lit(0).cast(rows.schema[c].dataType)
         )
 
-    return _attach(local, offsets, keys).select(
+    return local.join(offsets, [*by, SEGMENT]).select(
         *df.columns, *[total(c).alias(n) for n, c in inputs.items()]
     )
 
@@ -94,16 +94,16 @@ def previous(
     segments: int | None = None,
 ) -> DataFrame:
     """Add the preceding row's values per key: ``columns`` maps new names to existing ones."""
-    rows = split(df, keys, order, segments, "previous")
+    rows, by = _keyed(split(df, keys, order, segments, "previous"), keys)
     carried = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
-    last = rows.groupBy(*keys, SEGMENT).agg(
+    last = rows.groupBy(*by, SEGMENT).agg(
         F.max_by(carried, F.struct(*order)).alias("__last")
     )
     handed = last.select(
-        *keys, SEGMENT, F.lag("__last").over(_across(keys)).alias("__handed_over")
+        *by, SEGMENT, F.lag("__last").over(_across(by)).alias("__handed_over")
     )
-    local = rows.select("*", F.lag(carried).over(_inside(keys, order)).alias("__local"))
-    joined = _attach(local, handed, keys).withColumn(
+    local = rows.select("*", F.lag(carried).over(_inside(by, order)).alias("__local"))
+    joined = local.join(handed, [*by, SEGMENT]).withColumn(
         "__prior", F.coalesce("__local", "__handed_over")
     )
     return joined.select(*df.columns, *[F.col(f"__prior.{n}").alias(n) for n in columns])

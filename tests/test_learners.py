@@ -98,6 +98,24 @@ def test_running_sums_and_previous_cross_segments(points, history):
             last = y
 
 
+def test_rows_without_a_key_are_kept(spark):
+    df = spark.createDataFrame([(None, 1, 2.0), (None, 2, 3.0), ("a", 1, 5.0)], "k string, ts int, v double")
+    sums = ordered.running_sums(df, ["k"], ["ts"], {"total": F.col("v")}, segments=3)
+    assert sorted((r["k"] or "", r["total"]) for r in sums.collect()) == [("", 2.0), ("", 5.0), ("a", 5.0)]
+
+
+def test_segment_window_and_join_share_a_shuffle(points):
+    # No broadcast, as with tables too large for one.
+    points.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sums = ordered.running_sums(points, ["learner_id"], ["ts", "event_id"], {"total": F.col("y")})
+        plan = sums._jdf.queryExecution().executedPlan().toString()
+    finally:
+        points.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The rows move once; the other three move one small row per segment and key.
+    assert plan.count("Exchange hashpartitioning(__key") == 4
+
+
 def test_hot_learner_is_split(points):
     rows = ordered.split(points, ["learner_id"], ["ts", "event_id"], segments=9)
     spread = rows.where("learner_id = 'hot'").select(ordered.SEGMENT).distinct().count()
