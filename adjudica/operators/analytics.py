@@ -30,8 +30,9 @@ def violation_facts(outcomes: DataFrame, row_id: str, violations: str = "payload
 
 def rejection_summary(rejections: DataFrame, violations: str = "payload.violations") -> DataFrame:
     """Rejections per rule, most frequent first. Score-only rejections have no rule to count."""
+    fired = F.col("rules") if "rules" in rejections.columns else F.col(violations)["rule_name"]
     return (
-        rejections.select(F.explode(F.col(violations)["rule_name"]).alias("rule_name"))
+        rejections.select(F.explode(fired).alias("rule_name"))
         .groupBy("rule_name")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "rule_name")

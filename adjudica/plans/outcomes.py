@@ -7,7 +7,13 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adjudica.operators.decisions import AnyDecision, payload_json, validate
+from adjudica.operators.decisions import (
+    AnyDecision,
+    fired_names,
+    payload_json,
+    plain_rules,
+    validate,
+)
 from adjudica.operators.monoids import JOINT, Monoid
 from adjudica.operators.views import visible
 
@@ -25,9 +31,16 @@ def judged(
     release: str | None = None,
 ) -> DataFrame:
     """Rows with typed payload, its JSON form, ``admitted`` and, if given, the release that judged
-    them. Tombstoned rows never get here: they are filtered first."""
+    them. Tombstoned rows never get here: they are filtered first.
+
+    Names of the fired rules are kept in a column of their own: reports read it instead of the
+    whole violations, and over unsaved rows the messages are then never built.
+    """
     rows = df.where(visible()) if "erased" in df.columns else df
     out = validate(rows, system, monoid, adm)
+    rules = plain_rules(system)
+    if rules:
+        out = out.withColumn("rules", fired_names(rules))
     out = out.withColumn("payload_json", payload_json(F.col("payload"), monoid))
     return out if release is None else out.withColumn("decision_version", F.lit(release))
 

@@ -73,8 +73,8 @@ def freshness(spark, sf_dir):
 
 
 # Column lists read off the parts table: brands as tables, part types as columns.
-_DECLARED = "select p_brand as table_name, p_type as column, case when max(p_size) > 40 then 'DOUBLE' else 'INTEGER' end as type from part where p_size <= 45 group by p_brand, p_type"
-_ACTUAL = "select p_brand as table_name, p_type as column, case when max(p_size) > 44 then 'DOUBLE' else 'INTEGER' end as type from part where p_size > 5 group by p_brand, p_type"
+_DECLARED = "select p_brand as table_name, p_type as column, case when avg(p_size) > 2.4e1 then 'DOUBLE' else 'INTEGER' end as type from part where p_size <= 45 and p_brand <> 'Brand#11' group by p_brand, p_type"
+_ACTUAL = "select p_brand as table_name, p_type as column, case when avg(p_size) > 2.6e1 then 'DOUBLE' else 'INTEGER' end as type from part where p_size > 5 and p_brand <> 'Brand#22' group by p_brand, p_type"
 
 
 @query(

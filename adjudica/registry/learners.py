@@ -277,25 +277,25 @@ def _snapshots(spark, sf_dir):
     """One snapshot per learner and event type: the state after that type's events."""
     bindings.tables(spark, sf_dir, "events")
     typed = spark.sql(
-        "select concat('u', cast(user_id as string)) as learner_id, event_type, round(avg(value), 3) as mean, count(*) as n, "
+        "select concat('u', cast(user_id as string)) as learner_id, event_type, sum(value) as total, count(*) as n, "
         "max(ts) as ts from events group by user_id, event_type"
     )
-    return learners.snapshot(typed, F.length("event_type"), F.col("ts"), ["mean", "n"])
+    return learners.snapshot(typed, F.length("event_type"), F.col("ts"), ["total", "n"])
 
 
 # The version is the length of the event type's name; only the longest is a single type.
 _SNAP = """with s as (select concat('u', cast(user_id as varchar)) as learner_id, length(event_type) as version, event_type,
-  round(avg(value), 3) as mean, count(*) as n from events group by user_id, event_type)
+  sum(value) as total, count(*) as n from events group by user_id, event_type)
 """
 
 
-@query(_SNAP + "select learner_id, cast(version as bigint) as version, round(mean, 6) as mean, n from s")
+@query(_SNAP + "select learner_id, cast(version as bigint) as version, round(total, 4) as total, n from s")
 def learner_snapshots(spark, sf_dir):
     rows = _snapshots(spark, sf_dir)
     return rows.select(
         "learner_id",
         "version",
-        r6(F.get_json_object("state_json", "$.mean").cast("double")).alias("mean"),
+        F.round(F.get_json_object("state_json", "$.total").cast("double"), 4).alias("total"),
         F.get_json_object("state_json", "$.n").cast("bigint").alias("n"),
     )
 

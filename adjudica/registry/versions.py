@@ -138,10 +138,10 @@ def across_versions(spark, sf_dir):
 
 # Two schema snapshots read off the parts table: brands as models, part types as fields.
 _SNAPSHOTS = {
-    "old": "select p_brand as model, p_type as field, case when min(p_size) < 4 then 'int' else 'string' end as type, "
-    "max(p_retailprice) > 1.5e3 as required from part where p_size <= 40 and p_brand <> 'Brand#11' group by p_brand, p_type",
-    "new": "select p_brand as model, p_type as field, case when min(p_size) < 16 then 'int' else 'string' end as type, "
-    "min(p_retailprice) > 1.1e3 as required from part where p_size >= 10 and p_brand <> 'Brand#22' group by p_brand, p_type",
+    "old": "select p_brand as model, p_type as field, case when count(*) % 3 = 0 then 'int' else 'string' end as type, "
+    "count(*) % 2 = 0 as required from part where p_size <= 40 and p_brand <> 'Brand#11' and p_type <> 'PROMO' group by p_brand, p_type",
+    "new": "select p_brand as model, p_type as field, case when count(*) % 3 = 0 then 'int' else 'string' end as type, "
+    "count(*) % 2 = 0 as required from part where p_size >= 10 and p_brand <> 'Brand#22' and p_type <> 'SMALL' group by p_brand, p_type",
 }
 
 _DIFF = f"""with o as ({_SNAPSHOTS['old']}), n as ({_SNAPSHOTS['new']}),
