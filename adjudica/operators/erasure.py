@@ -104,6 +104,8 @@ def erase(
     A request found in the audit is left alone, even if its subject has come back since
     (:func:`still_matching` lists such rows). Pass ``at`` and ``erasure_id`` to reproduce a run.
     """
+    if "erased" not in table.columns:
+        raise ValueError("the table has no 'erased' marker")
     columns = check_columns(requests, table.schema)
     batch = requests.select(*KEY).distinct()
     prior = prior_erasures(audit, table_name)
@@ -125,7 +127,9 @@ def erase(
         *[
             F.when(hit, F.lit(None)).otherwise(F.col(c)).alias(c)
             if c in nulled
-            else (F.when(hit, F.lit(True)).otherwise(F.col(c)).alias(c) if c == "erased" else F.col(c))
+            else F.when(hit, F.lit(True)).otherwise(F.col(c)).alias(c)
+            if c == "erased"
+            else F.col(c)
             for c in table.columns
         ]
     )

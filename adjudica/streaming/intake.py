@@ -38,9 +38,13 @@ def judge_stream(
         # Two sinks read the batch; without this the source would be read for each.
         rows = (batch.where(visible()) if "erased" in batch.columns else batch).persist()
         parted = versions.dispatch(rows, active, keep=keep)
-        parted.quarantined.select(*keep, "schema_version_seen", "reason", "detail").write.mode(
-            "overwrite"
-        ).parquet(f"{out}/quarantine/batch={number}")
+        parted.quarantined.select(
+            *keep,
+            "schema_version_seen",
+            "reason",
+            "detail",
+            F.to_json("raw_row", {"ignoreNullFields": "false"}).alias("raw_payload"),
+        ).write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
         judged = outcomes.judged(versions.across_versions(parted.valid), system, adm, monoid)
         judged.write.mode("overwrite").parquet(f"{out}/outcomes/batch={number}")
         rows.unpersist()

@@ -14,8 +14,10 @@ def running_credibility(stream: DataFrame, delay: str | None = None) -> DataFram
     """
     rows = stream
     if delay is not None:
-        # Watermarks need an instant, so zoneless times are read in the session's zone.
-        rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+        # Watermarks need an instant. Zoneless times are read in the session's zone for that, but
+        # compared as they are: two of them may be one instant where clocks go back.
+        rows = rows.withColumn("__instant", F.col("ts").cast("timestamp"))
+        rows = rows.withWatermark("__instant", delay)
         rows = rows.dropDuplicatesWithinWatermark(["learner_id", "ts"])
     grouped = rows.groupBy("learner_id").agg(
         F.first("mu0").alias("mu0"),

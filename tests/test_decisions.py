@@ -95,7 +95,29 @@ def test_protected_factors_keep_order_and_duplicates(spark):
     df = underwriting(spark, [{"rating_factors": ["sex", "age", "race", "sex"]}])
     violation = df.select(rules.federal_protected_class().violation().alias("v")).first()["v"]
     assert violation["context"] == {"factors": "sex, race, sex"}
-    assert violation["message"].endswith("sex, race, sex")
+    assert violation["message"].endswith('["sex","race","sex"]')
+
+
+def test_demo_regime(spark):
+    df = spark.createDataFrame(
+        [("a", 10.0, ["race", "age", "origin", "race"]), ("b", 0.0, ["age"])],
+        "holder string, premium_observed double, risk_factors array<string>",
+    )
+    value = decisions.evaluate(regimes.demo().decisions, monoids.VIOLATIONS)
+    got = [[(v["rule_name"], v["message"]) for v in r[0]] for r in df.select(value).collect()]
+    assert got == [
+        [("federal/protected_class", "Prohibited factors: ['origin', 'race']")],
+        [("ca/prop_103", "Premium must be positive")],
+    ]
+
+
+def test_lift_fills_the_other_slot(spark, golden):
+    rule, score = rules.premium(), rules.risk_score_zip()
+    one = decisions.lift(rule, "violations").value()
+    two = decisions.lift(score, "score").value()
+    bob = golden.where("holder_name = 'Bob'").select(one.alias("one"), two.alias("two")).first()
+    assert bob["one"]["score"] == 0.0 and len(bob["one"]["violations"]) == 1
+    assert bob["two"]["violations"] == [] and bob["two"]["score"] == 0.5
 
 
 def test_joint_golden_rows(golden):

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from adjudica import registry, schemas
-from adjudica.operators import analytics, checks, views
-from adjudica.sources import scratch, tables
+from adjudica.operators import analytics, checks, regimes, views
+from adjudica.operators.decisions import adm_joint
+from adjudica.plans import consumer_views, outcomes
+from adjudica.sources import bindings, scratch, tables
 
 
 def test_contract_projections():
@@ -161,3 +163,25 @@ def test_scans_read_only_what_they_need(spark, sf_dir):
     plan = registry.QUERIES["rejection_counts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double>" in plan
     assert "ReadSchema: struct<c_custkey:bigint>" in plan
+
+
+def test_views_for_sql_readers(spark, sf_dir):
+    df = bindings.proposals(spark, sf_dir)
+    judged = outcomes.judged(df, regimes.proposal_joint().decisions, adm_joint(1.0))
+    made = consumer_views.expose(
+        proposals=df,
+        outcomes=outcomes.split_outcomes(judged),
+        quarantine=spark.createDataFrame([], schemas.QUARANTINE),
+        audit=spark.createDataFrame([], schemas.ERASURE_AUDIT),
+        observations=bindings.observations(spark, sf_dir),
+    )
+    assert made == [
+        "contracts", "current_state", "rejection_summary", "rejections", "stg_proposals",
+        "stg_quarantine", "v_audit_erasures", "v_contracts", "v_proposals",
+    ]
+    n = spark.sql(
+        "select (select count(*) from contracts) + (select count(*) from rejections) as judged, "
+        "(select count(*) from v_proposals) as visible"
+    ).first()
+    assert n["judged"] == n["visible"] > 0
+    assert spark.sql("select count(*) from current_state where n > 0").first()[0] > 0
