@@ -96,22 +96,21 @@ def credibility_as_of(
     observations: DataFrame,
     questions: DataFrame,
     question_id: str,
-    prior: tuple[float, float, float],
+    default_prior: tuple[float, float, float] | None = None,
 ) -> DataFrame:
     """State of ``learner_id`` as it stood at each question's own ``ts`` (that instant included).
 
     Questions and observations are merged into one ordered log and summed together, so there is
-    no range join; a learner without earlier observations answers with the prior
-    ``(mu0, kappa0, sigma2)``.
+    no range join. Before its first observation a learner answers with its prior; one that is
+    never observed has ``default_prior`` as ``(mu0, kappa0, sigma2)``, or no state.
     """
-    nothing = F.lit(None)
     log = observations.select(
         "learner_id",
         "ts",
         F.lit(0).alias("after"),
         F.col("observation").alias("x"),
         F.lit(1).cast("bigint").alias("one"),
-        nothing.cast(questions.schema[question_id].dataType).alias(question_id),
+        F.lit(None).cast(questions.schema[question_id].dataType).alias(question_id),
     ).unionByName(
         questions.select(
             "learner_id",
@@ -128,9 +127,15 @@ def credibility_as_of(
         ["ts", "after", question_id, "x"],
         {"n": F.col("one"), "total": F.col("x")},
     ).where(F.col("after") == 1)
-    mu0, kappa0, sigma2 = (F.lit(float(v)) for v in prior)
-    precision, mean = _posterior(mu0, kappa0, sigma2, F.col("n"), F.col("total"))
-    return summed.select(
+    names = ("mu0", "kappa0", "sigma2")
+    priors = observations.groupBy("learner_id").agg(*[F.any_value(c).alias(c) for c in names])
+    known = summed.join(priors, "learner_id", "left")
+    filled = [
+        F.coalesce(c, F.lit(float(v))) if default_prior else F.col(c)
+        for c, v in zip(names, default_prior or names, strict=True)
+    ]
+    precision, mean = _posterior(*filled, F.col("n"), F.col("total"))
+    return known.select(
         question_id, "learner_id", "ts", "n", mean.alias("mean"), precision.alias("precision")
     )
 

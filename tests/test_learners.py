@@ -165,12 +165,18 @@ def test_path_ends_at_the_state(observations):
     assert last["mean"] == pytest.approx(state["posterior_mean"])
 
 
-def test_as_of_without_history_is_the_prior(spark, observations):
-    questions = spark.createDataFrame([("q1", "a", 2), ("q2", "nobody", 9)], "question string, learner_id string, ts int")
-    out = learners.credibility_as_of(observations, questions, "question", (100.0, 0.5, 25.0))
-    got = {r["question"]: r for r in out.collect()}
-    assert got["q1"]["n"] == 3 and got["q2"]["n"] == 0
-    assert got["q2"]["mean"] == 100.0
+def test_as_of_uses_each_learners_own_prior(spark, observations):
+    rows = [("q1", "a", 2), ("q2", "nobody", 9), ("q3", "b", -1), ("q4", "b", 0)]
+    questions = spark.createDataFrame(rows, "question string, learner_id string, ts int")
+    own = observations.withColumn("mu0", F.when(F.col("learner_id") == "b", 70.0).otherwise(F.col("mu0")))
+    out = learners.credibility_as_of(own, questions, "question", (40.0, 0.5, 25.0))
+    got = {r["question"]: (r["n"], r["mean"]) for r in out.collect()}
+    assert got["q1"] == (3, pytest.approx((0.5 * 100 + 310 / 25) / (0.5 + 3 / 25)))
+    assert got["q2"] == (0, 40.0)
+    assert got["q3"] == (0, 70.0)
+    assert got["q4"] == (1, pytest.approx((0.01 * 70 + 110 / 25) / (0.01 + 1 / 25)))
+    without = learners.credibility_as_of(own, questions, "question")
+    assert without.where("question = 'q2'").first()["mean"] is None
 
 
 def test_lookup_errors(observations):
