@@ -16,9 +16,7 @@ from adjudica.operators.decisions import (
     validate,
 )
 from adjudica.operators.monoids import Monoid
-
-# Label strength, most protected first.
-LABEL_ORDER = ["direct", "quasi", "sensitive"]
+from adjudica.schemas import PII_CATEGORIES
 
 
 def violation_facts(outcomes: DataFrame, row_id: str, violations: str = "payload.violations") -> DataFrame:
@@ -88,18 +86,10 @@ def merge_labels(labels: DataFrame, field: str = "field") -> DataFrame:
     ``labels`` has ``field``, ``category`` and a ``regimes`` array; a NULL category says nothing.
     """
     rank, name = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for i, category in enumerate(LABEL_ORDER):
+    for i, category in enumerate(PII_CATEGORIES):
         rank = F.when(F.col("category") == category, i).otherwise(rank)
         name = F.when(F.col("__rank") == i, category).otherwise(name)
-    strongest = labels.groupBy(field).agg(F.min(rank).alias("__rank"))
-    tags = (
-        labels.select(field, F.explode("regimes").alias("regime"))
-        .distinct()
-        .groupBy(field)
-        .agg(F.array_sort(F.collect_list("regime")).alias("regimes"))
-    )
-    return strongest.join(tags, field, "left").select(
-        field,
-        name.alias("category"),
-        F.coalesce("regimes", F.array().cast("array<string>")).alias("regimes"),
-    )
+    # Sets of distinct regime lists are combined before the shuffle and stay few per field.
+    tags = F.array_sort(F.array_distinct(F.flatten(F.collect_set("regimes"))))
+    merged = labels.groupBy(field).agg(F.min(rank).alias("__rank"), tags.alias("regimes"))
+    return merged.select(field, name.alias("category"), "regimes")
