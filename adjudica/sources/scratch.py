@@ -7,6 +7,7 @@ folder named by ``spark.checkpoint.dir``, so a lost executor costs a re-read and
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,15 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[str] = []
 
 
+_own: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is configured."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors must share.
+
+    Where it is unset, a single-process session (tests) gets a temporary folder; a cluster gets an
+    error, because executors would not see each other's files.
+    """
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="adjudica-")
-        context.setCheckpointDir(configured)
-        configured = context.getCheckpointDir()
-    return configured.rstrip("/")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if configured:
+        return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="adjudica-"))
+    return f"file://{_own[0]}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
