@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from adjudica.llm import exact_dedup
+from adjudica.llm import exact_dedup, language, quality, token_counts
+from adjudica.sources import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -26,6 +28,33 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _held_out(doc_id: str = "doc_id") -> Column:
+    """A fifth of the rows by id, never learned from. Rows without an id are not held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
+
+
+@_query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by hyperdimensional profiles learned outside the held-out fifth."""
+    docs = _read(spark, sf_dir, "documents")
+    prototypes = language.learn(docs.where(~_held_out()))
+    found = language.identify(docs, prototypes)
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query()
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document. The cache starts empty, so that the query's cost is that of a cold run."""
+    cache = scratch.new_path(spark, "token-cache")
+    token_counts.new_cache(spark, cache)
+    return token_counts.count_tokens(
+        _read(spark, sf_dir, "documents"),
+        tokenizer=public_tokenizers.path("piece_bpe_32k.model"),
+        cache=cache,
+        limit=4096,
+    )
+
+
 @_query(
     """
     with d as (
@@ -46,3 +75,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         _read(spark, sf_dir, "documents"), carry={"text_sha256": digest}
     )
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@_query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from labels outside the held-out fifth."""
+    described = scratch.materialise(
+        quality.describe(_read(spark, sf_dir, "documents")), "quality-statistics"
+    )
+    labels = _read(spark, sf_dir, "labels").where(~_held_out()).select("doc_id", F.col("quality").alias("label"))
+    model = quality.learn(described.join(labels, "doc_id"))
+    return quality.score(described, model).select(
+        "doc_id",
+        _held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
