@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from adjudica.llm import exact_dedup, language, quality, token_counts
+from adjudica.llm import chat, exact_dedup, language, mixing, quality, token_counts
 from adjudica.sources import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,60 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
+#: The contract's extra conversation, as a record of another layout than the table's rows.
+SEVEN = """{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"},
+                {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}"""
+
+
+@_query(
+    r"""
+    with t as (
+      select conv_id, turn, role, coalesce(text, '') as text from conversations
+      union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+      union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), e as (
+      select *, length(regexp_replace(replace(text, '\', '\\'), '([<\[])(/?s>|/?INST\]|/?SYS\]|/?ROLE)', '\1\\\2', 'g'))
+                + case role when 'user' then 18 when 'system' then 16 when 'assistant' then 9
+                  else 19 + length(role) end as chars
+      from t
+    )
+    select conv_id, count(*) as n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+           coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+           sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+           sum(chars)::bigint as formatted_chars
+    from e group by conv_id
+    """
+)
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and its turns and loss text read back from the string."""
+    rows = _read(spark, sf_dir, "conversations").select(
+        "conv_id",
+        F.col("turn").cast("long").alias("turn"),
+        F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("payload"),
+    )
+    seven = spark.range(1).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit(SEVEN).alias("payload")
+    )
+    turns = chat.canonical_turns(rows.unionByName(seven), keys=("conv_id", "turn"))
+    done = chat.format_turns(turns, "conv_id", ("turn", "pos"))
+    read = done.select(
+        "conv_id",
+        chat.read_turns(F.col("formatted")).alias("turns"),
+        chat.loss_text(F.col("formatted"), F.col("spans")).alias("loss"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 @_query()
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document. The cache starts empty, so that the query's cost is that of a cold run."""
@@ -55,6 +109,49 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query(
+    r"""
+    with recursive sized as (
+      select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents
+    ), totals as (
+      select source, sum(size)::bigint as source_size from sized group by source
+    ), weighed as (
+      select *, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w,
+             sum(source_size) over () * 1.5::double as budget
+      from totals
+    ), filled as (
+      -- In each step, sources above twice their size are set to it and the rest is dealt anew.
+      select 0 as step, source, source_size, w, budget, false as is_full from weighed
+      union all
+      select step + 1, source, source_size, w, budget,
+             is_full or ((budget - coalesce(sum(case when is_full then 2 * source_size end) over (), 0))
+                         / sum(case when not is_full then w end) over ()) * w > 2 * source_size
+      from filled where step < (select count(*) from weighed)
+    ), targets as (
+      select source, source_size,
+             case when is_full then (2 * source_size)::double
+                  else ((budget - coalesce(sum(case when is_full then 2 * source_size end) over (), 0))
+                        / sum(case when not is_full then w end) over ()) * w end as target
+      from filled where step = (select count(*) from weighed)
+    ), ranked as (
+      select s.doc_id, s.size, t.source_size, t.target,
+             row_number() over (partition by s.source order by s.size, md5(s.doc_id::varchar), s.doc_id) as k,
+             case when t.source_size > 0 then t.target / t.source_size else 0 end as rate,
+             ('0x' || substr(md5('mix-1|' || coalesce(s.source, chr(0) || 'null')), 1, 8))::bigint
+               / 4294967296::double as u
+      from sized s join targets t on s.source is not distinct from t.source
+    )
+    select doc_id, size, source_size, target,
+           (floor(rate * k + u) - floor(rate * (k - 1) + u))::bigint * size as taken
+    from ranked
+    """
+)
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    taken = mixing.sample(_read(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @_query(
     """
     with d as (
