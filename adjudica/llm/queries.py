@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from adjudica.llm import chat, exact_dedup, language, mixing, quality, token_counts
+from adjudica.llm import chat, exact_dedup, language, mixing, near_dedup, quality, token_counts
 from adjudica.sources import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,6 +174,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@_query()
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near-duplicates."""
+    return near_dedup.near_classes(_read(spark, sf_dir, "documents"))
+
+
 @_query()
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, learned from labels outside the held-out fifth."""
