@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from adjudica.llm import chat, exact_dedup, language, mixing, near_dedup, quality, token_counts
+from adjudica.llm import chat, exact_dedup, hamming, language, mixing, near_dedup, packing, quality, token_counts
 from adjudica.sources import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,6 +174,36 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@_query(
+    """
+    with codes as (
+      select distinct vec_id as id,
+             [coalesce(embedding[j], 0)::double + coalesce(embedding[j + 32], 0)::double > 0 for j in range(1, 33)] as code
+      from embeddings where vec_id is not null and embedding is not null
+    ), far as (
+      select q.id as query_id, q.code as query, c.id, c.code,
+             len([1 for b in list_zip(q.code, c.code) if b[1] <> b[2]])::int as distance
+      from codes q, codes c where q.id % 100 = 0 and (q.id <> c.id or q.code <> c.code)
+    ), ranked as (
+      select *, row_number() over (partition by query_id, query order by distance, id, code)::int as rank from far
+    )
+    select query_id, rank, id as neighbor_id, distance from ranked where rank <= 10
+    """
+)
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest codes of every hundredth embedding, among all."""
+    codes = scratch.materialise(
+        hamming.binary_codes(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "hamming-codes"
+    )
+    return hamming.nearest(codes, codes.where("id % 100 = 0"))
+
+
+@_query()
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their bins."""
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 @_query()
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near-duplicates."""
