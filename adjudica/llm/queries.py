@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from adjudica.llm import chat, exact_dedup, hamming, language, mixing, near_dedup, packing, quality, token_counts
+from adjudica.llm import chat, exact_dedup, hamming, language, line_dedup, mixing, near_dedup, packing, quality, token_counts
 from adjudica.sources import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,6 +204,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+@_query()
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of lines that occur before it; digests of what is left."""
+    cleaned = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id",
+        "n_lines",
+        "removed_lines",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.length(F.coalesce("clean_text", F.lit(""))).cast("long").alias("clean_chars"),
+        F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("clean_sha256"),
+    )
+
+
 @_query()
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near-duplicates."""
