@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from adjudica.llm import textbatch
 
@@ -173,3 +174,21 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], doc_id: str = "
     schema = f"id {narrow.schema['id'].dataType.simpleString()}, lang_pred string, score double"
     found = narrow.mapInArrow(lambda batches: _predictions(batches, names, matrix), schema)
     return found.withColumnRenamed("id", "doc_id")
+
+
+def _known(batches: Iterator[pa.RecordBatch], names: list[str], prototypes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pair = pa.RecordBatch.from_arrays([batch.column("text"), batch.column("text")], names=["id", "text"])
+        found = next(_predictions(iter([pair]), names, prototypes)).column("lang_pred").to_pylist()
+        yield batch.select(["doc"]).filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
+
+
+def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that get a language, with all their columns: those with ``und`` go."""
+    names = sorted(prototypes)
+    if not names:
+        return docs.limit(0)
+    matrix = np.stack([prototypes[n] for n in names]).astype(np.float32)
+    packed = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"))
+    kept = packed.mapInArrow(lambda batches: _known(batches, names, matrix), StructType([packed.schema["doc"]]))
+    return kept.select("doc.*")
