@@ -60,13 +60,13 @@ class Rule:
 
 @dataclass(frozen=True)
 class Score:
-    """Graded decision: the amount of risk a row adds."""
+    """Graded decision: the amount of risk a row adds. An unknown amount is above every budget."""
 
     name: str
     amount: ColumnBuilder
 
     def value(self) -> Column:
-        return F.coalesce(self.amount().cast("double"), F.lit(0.0))
+        return F.coalesce(self.amount().cast("double"), F.lit(float("inf")))
 
 
 AnyDecision = Decision | Rule | Score

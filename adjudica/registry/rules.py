@@ -115,3 +115,48 @@ def rule_contexts(spark, sf_dir):
     return bindings.underwriting(spark, sf_dir).select(
         "proposal_id", factors.alias("factors"), r6(context).alias("loss_ratio")
     )
+
+
+# Every seventh value of each column is missing, every eleventh number is NaN.
+WITH_GAPS = f"""
+select proposal_id,
+  case when proposal_id % 7 = 1 then null when proposal_id % 11 = 1 then cast('NaN' as double) else premium end as premium,
+  case when proposal_id % 7 = 2 then null when proposal_id % 11 = 2 then cast('NaN' as double) else coverage end as coverage,
+  case when proposal_id % 7 = 3 then null else consent end as consent,
+  case when proposal_id % 7 = 4 then null when proposal_id % 11 = 4 then cast('NaN' as double) else explainability_score end as explainability_score,
+  case when proposal_id % 7 = 5 then null when proposal_id % 11 = 5 then cast('NaN' as double) else cession end as cession,
+  expected_claim
+from ({bindings.UNDERWRITING}) u
+"""
+
+
+@query(
+    f"""with s as ({WITH_GAPS})
+select proposal_id,
+  not coalesce(consent, false) as consent,
+  not coalesce(explainability_score >= 6e-1 and not isnan(explainability_score), false) as explainability,
+  not coalesce(coverage <= 100000e0 and not isnan(coverage), false)
+    and not coalesce(cession >= 5e-1 and not isnan(cession), false) as cession,
+  not coalesce(premium > 0 and not isnan(premium), false) as premium,
+  not coalesce(coverage <= 10e0 * premium and not isnan(coverage) and not isnan(premium), false) as coverage_cap,
+  case when coverage is null or isnan(coverage) or explainability_score is null or isnan(explainability_score)
+         or premium is null or isnan(premium) then 1e9
+       else round((case when coverage > 30000e0 then 3e-1 when coverage > 20000e0 then 15e-2 else 0e0 end)
+            + greatest(0e0, 8e-1 - explainability_score)
+            + (case when premium <= 0 then 0e0 else greatest(0e0, expected_claim / premium - 5e-1) end), 6) end as risk
+from s"""
+)
+def rules_on_missing_values(spark, sf_dir):
+    """What is missing or no number is never good: rules fire on it, and its risk is unbounded."""
+    bindings.tables(spark, sf_dir, "orders", "customer")
+    fired = {
+        "consent": rules.consent(),
+        "explainability": rules.explainability(0.6),
+        "cession": rules.reinsurance_cession(100000.0, 0.5),
+        "premium": rules.positive_premium(),
+        "coverage_cap": rules.coverage_cap(10.0),
+    }
+    risk = rules.high_coverage_risk().value() + rules.low_explainability_risk().value() + rules.high_loss_ratio_risk().value()
+    return spark.sql(WITH_GAPS).select(
+        "proposal_id", *[r.fired().alias(n) for n, r in fired.items()], r6(F.least(risk, F.lit(1e9))).alias("risk")
+    )

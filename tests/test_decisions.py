@@ -81,9 +81,12 @@ def test_demo_proposals_fire_exactly_their_rules(spark):
         assert fired(df, regime.decisions) == [want for _, want in cases]
 
 
-def test_rules_do_not_fire_on_missing_values(spark):
+def test_missing_values_are_not_good(spark):
     nothing = spark.createDataFrame([(None,) * 10], schemas.UNDERWRITING)
-    assert fired(nothing, regimes.california_regime().decisions) == [[]]
+    names = fired(nothing, regimes.california_regime().decisions)[0]
+    assert {"guardrail/consent", "guardrail/explainability", "positive_premium"} <= set(names)
+    judged = decisions.validate(nothing, [rules.low_explainability_risk()], monoids.SCORE, lambda score: score <= 1.0)
+    assert judged.first()["admitted"] is False
 
 
 def test_premium_of_zero_is_no_division(spark):
