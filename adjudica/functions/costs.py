@@ -8,8 +8,6 @@ from pyspark.sql import Column, functions as F
 CHARS_PER_TOKEN = 4
 TOKENS_PER_FIELD = 5
 COMPLETION_TAG = "[mock-completion] "
-COMPLETION_ECHO = 60
-COMPLETION_CAP = 256
 
 
 def _quarter_length(text: Column) -> Column:
@@ -20,11 +18,12 @@ def extract_tokens(text: Column, n_fields: int) -> Column:
     return F.greatest(F.lit(1).cast("bigint"), _quarter_length(text) + TOKENS_PER_FIELD * n_fields)
 
 
-def complete_tokens(prompt: Column, max_tokens: int = COMPLETION_CAP) -> Column:
+def complete_tokens(prompt: Column, max_tokens: int | None = None) -> Column:
+    """Tokens of a completion; ``max_tokens`` bounds what one call may be charged."""
     used = F.greatest(F.lit(1).cast("bigint"), _quarter_length(prompt))
-    return F.least(F.lit(max_tokens).cast("bigint"), used)
+    return used if max_tokens is None else F.least(F.lit(max_tokens).cast("bigint"), used)
 
 
-def complete_text(prompt: Column) -> Column:
-    """Stand-in completion: a tag and the opening of the prompt."""
-    return F.concat(F.lit(COMPLETION_TAG), F.substring(prompt, 1, COMPLETION_ECHO))
+def complete_text(prompt: Column, echo: int | None = None) -> Column:
+    """Stand-in completion: a tag and the prompt, or only its first ``echo`` characters."""
+    return F.concat(F.lit(COMPLETION_TAG), prompt if echo is None else F.substring(prompt, 1, echo))

@@ -27,9 +27,10 @@ def within_budget(
 ) -> Budgeted:
     """Charge calls in order and stop at the first that would pass ``cap``; reaching it is fine.
 
-    Only the ordering key of the breaching call is needed, so the wide rows are never shuffled:
-    the narrow (order, tokens) pairs are summed per range segment, the segment that crosses the
-    cap is found, and that segment alone is walked row by row.
+    Only the ordering key of the breaching call is needed, so the wide rows are not shuffled: the
+    narrow (order, tokens) pairs are summed per range segment, the segment that crosses the cap is
+    found, and that segment alone is walked row by row. Calls with equal keys are charged from the
+    cheapest on, so what is charged and what is returned agree also where keys tie.
     """
     narrow = df.select(*order, tokens.cast("bigint").alias("__tokens"))
     key = F.struct(*order)
@@ -61,17 +62,32 @@ def within_budget(
         (key >= _literal_key(segment["__first"], order, narrow))
         & (key <= _literal_key(segment["__last"], order, narrow))
     )
-    walk = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walk = Window.orderBy(*order, "__tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     charged = F.col("__charged") + F.lit(segment["before"])
     stop = (
         inside.withColumn("__charged", F.sum("__tokens").over(walk))
         .where(charged > cap)
-        .agg(F.min_by(F.struct(key.alias("at"), (charged - F.col("__tokens")).alias("spent")), key).alias("stop"))
+        .agg(
+            F.min_by(
+                F.struct(key.alias("at"), (charged - F.col("__tokens")).alias("spent")),
+                F.struct(*order, "__tokens"),
+            ).alias("stop")
+        )
         .first()["stop"]
     )
-    return Budgeted(
-        df.where(key < _literal_key(stop["at"], order, narrow)), True, int(stop["spent"])
+    at = _literal_key(stop["at"], order, narrow)
+    earlier = narrow.where((key >= _literal_key(segment["__first"], order, narrow)) & (key < at))
+    before = earlier.agg(F.coalesce(F.sum("__tokens"), F.lit(0))).first()[0] + segment["before"]
+    # Of the calls that share the breaching key, those that were charged before it.
+    tied = Window.orderBy("__cost").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    charged_ties = (
+        df.where(key == at)
+        .withColumn("__cost", tokens.cast("bigint"))
+        .withColumn("__sum", F.sum("__cost").over(tied))
+        .where(F.col("__sum") + F.lit(before) <= cap)
+        .select(*df.columns)
     )
+    return Budgeted(df.where(key < at).unionByName(charged_ties), True, int(stop["spent"]))
 
 
 def _literal_key(row, order: Sequence[str], frame: DataFrame) -> Column:

@@ -28,7 +28,7 @@ def prompt(violations: Column, risk: Column) -> Column:
     )
 
 
-def explain(violations: Column, risk: Column, max_tokens: int = costs.COMPLETION_CAP) -> Column:
+def explain(violations: Column, risk: Column, max_tokens: int | None = None) -> Column:
     """Struct of the letter's text and the tokens it cost; no violations cost nothing."""
     text = prompt(violations, risk)
     none = F.size(violations) == 0
@@ -44,7 +44,7 @@ def rejection_letters(
     rejections: DataFrame,
     violations: str = "payload.violations",
     score: str = "payload.score",
-    max_tokens: int = costs.COMPLETION_CAP,
+    max_tokens: int | None = None,
 ) -> DataFrame:
     """All columns kept; adds ``explanation`` and ``explanation_tokens``."""
     letter = explain(F.col(violations), number_text(F.col(score)), max_tokens)

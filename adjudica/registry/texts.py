@@ -48,8 +48,8 @@ def extraction_tokens(spark, sf_dir):
 
 
 @query(
-    _TEXTS + " select text_id, concat('[mock-completion] ', substr(text, 1, 60)) as completion, "
-    "cast(least(256, greatest(1, length(text) // 4)) as bigint) as tokens from t"
+    _TEXTS + " select text_id, concat('[mock-completion] ', text) as completion, "
+    "cast(greatest(1, length(text) // 4) as bigint) as tokens from t"
 )
 def completion_tokens(spark, sf_dir):
     text = F.col("text")
@@ -60,35 +60,58 @@ def completion_tokens(spark, sf_dir):
     )
 
 
-CAP = 40_000
+# Three fifths of what all calls would cost: the cap grows with the table.
+_COSTS = _TEXTS + """, c as (select text_id, seq, seq // 50 as batch, greatest(1, length(text) // 4 + 20) as tokens from t),
+limits as (select sum(tokens) * 3 // 5 as cap from c)"""
+
+
+def _spending(spark, sf_dir):
+    texts = bindings.raw_texts(spark, sf_dir).select(
+        "text_id",
+        "seq",
+        F.floor(F.col("seq") / 50).alias("batch"),
+        costs.extract_tokens(F.col("text"), len(FIELDS)).alias("tokens"),
+    )
+    return texts, texts.agg(F.sum("tokens")).first()[0] * 3 // 5
 
 
 @query(
-    _TEXTS + f""", r as (select text_id, seq,
-  sum(greatest(1, length(text) // 4 + 20)) over (order by seq rows unbounded preceding) as total from t),
-b as (select max(total) > {CAP} as breached, max(case when total <= {CAP} then total end) as spent from r)
-select text_id, breached, cast(spent as bigint) as spent from r, b where total <= {CAP}"""
+    _COSTS + """, r as (select text_id, sum(tokens) over (order by seq rows unbounded preceding) as total from c),
+b as (select max(total) > any_value(cap) as breached, max(case when total <= cap then total end) as spent from r, limits)
+select text_id, breached, cast(spent as bigint) as spent from r, b, limits where total <= cap"""
 )
 def within_budget(spark, sf_dir):
-    texts = bindings.raw_texts(spark, sf_dir)
-    paid = budget.within_budget(
-        texts, ["seq"], costs.extract_tokens(F.col("text"), len(FIELDS)), CAP
-    )
+    texts, cap = _spending(spark, sf_dir)
+    paid = budget.within_budget(texts, ["seq"], F.col("tokens"), cap)
     return paid.rows.select(
         "text_id", F.lit(paid.breached).alias("breached"), F.lit(paid.spent).cast("bigint").alias("spent")
     )
 
 
 @query(
-    _TEXTS + f""" select text_id, cast(sum(greatest(1, length(text) // 4 + 20)) over (order by seq rows unbounded preceding) as bigint)
-  as running_tokens, sum(greatest(1, length(text) // 4 + 20)) over (order by seq rows unbounded preceding) <= {CAP} as within from t"""
+    _COSTS + """, r as (select batch, tokens, sum(tokens) over (order by batch, tokens rows unbounded preceding) as total from c)
+select batch, count(*) as calls, cast(sum(tokens) as bigint) as charged,
+  (select cast(max(total) as bigint) from r, limits where total <= cap) as spent
+from r, limits where total <= cap group by batch"""
 )
-def running_spend(spark, sf_dir):
-    texts = bindings.raw_texts(spark, sf_dir)
-    narrow = texts.select(
-        "text_id", "seq", costs.extract_tokens(F.col("text"), len(FIELDS)).alias("tokens")
+def within_budget_ties(spark, sf_dir):
+    """Calls of a batch share their place in the order; those charged before the breach stay."""
+    texts, cap = _spending(spark, sf_dir)
+    paid = budget.within_budget(texts, ["batch"], F.col("tokens"), cap)
+    return paid.rows.groupBy("batch").agg(
+        F.count("*").alias("calls"),
+        F.sum("tokens").alias("charged"),
+        F.first(F.lit(paid.spent).cast("bigint")).alias("spent"),
     )
-    return budget.running_spend(narrow, ["seq"], F.col("tokens"), CAP).select(
+
+
+@query(
+    _COSTS + """, r as (select text_id, sum(tokens) over (order by seq rows unbounded preceding) as total from c)
+select text_id, cast(total as bigint) as running_tokens, total <= cap as within from r, limits"""
+)
+def running_spend(spark, sf_dir):
+    texts, cap = _spending(spark, sf_dir)
+    return budget.running_spend(texts, ["seq"], F.col("tokens"), cap).select(
         "text_id", "running_tokens", "within"
     )
 
@@ -96,8 +119,8 @@ def running_spend(spark, sf_dir):
 _LETTERS = f"""with p as ({bindings.PROPOSALS}), {_JOINT_P}, l as (
   select *, concat('Draft a polite rejection letter. Reasons: premium: Negative premium. Risk context: ',
     cast(score as varchar), '.') as prompt from violations where not (rules = '' and score < 1e0))
-select proposal_id, case when rules = '' then 'No violations found.' else concat('[mock-completion] ', substr(prompt, 1, 60)) end as explanation,
-  cast(case when rules = '' then 0 else least(256, greatest(1, length(prompt) // 4)) end as bigint) as explanation_tokens from l"""
+select proposal_id, case when rules = '' then 'No violations found.' else concat('[mock-completion] ', prompt) end as explanation,
+  cast(case when rules = '' then 0 else greatest(1, length(prompt) // 4) end as bigint) as explanation_tokens from l"""
 
 
 @query(_LETTERS)

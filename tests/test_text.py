@@ -79,7 +79,7 @@ def test_incomplete_rows_are_dropped(spark):
 def test_costs(spark):
     df = spark.createDataFrame([("",), ("abc",), ("x" * 2000,)], "t string")
     got = df.select(
-        costs.extract_tokens(F.col("t"), 0), costs.complete_tokens(F.col("t"), 256), costs.complete_text(F.col("t"))
+        costs.extract_tokens(F.col("t"), 0), costs.complete_tokens(F.col("t"), 256), costs.complete_text(F.col("t"), 60)
     ).collect()
     assert [tuple(r)[:2] for r in got] == [(1, 1), (1, 1), (500, 256)]
     assert got[2][2] == "[mock-completion] " + "x" * 60
