@@ -5,13 +5,14 @@ Three ways to rebuild a state, by what the update allows:
 * credibility adds up, so it is an ordinary partial aggregation;
 * one linear-regression step is an affine map of the weights, and affine maps compose, so a long
   history is cut into chunks, each chunk becomes one map, and the maps are chained in order;
-* any other learner is folded in order, in slices of bounded length whose state is handed on.
+* any other learner is folded in order, in slices of bounded length whose states are handed on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -128,8 +129,14 @@ def credibility_as_of(
         {"n": F.col("one"), "total": F.col("x")},
     ).where(F.col("after") == 1)
     names = ("mu0", "kappa0", "sigma2")
-    priors = observations.groupBy("learner_id").agg(*[F.any_value(c).alias(c) for c in names])
-    known = summed.join(priors, "learner_id", "left")
+    # The prior a learner starts from is that of its first observation.
+    head = F.min_by(F.struct(*names), F.struct("ts", *names)).alias("__prior")
+    priors = observations.groupBy(F.struct("learner_id").alias("__key")).agg(head)
+    known = (
+        summed.withColumn("__key", F.struct("learner_id"))
+        .join(priors, "__key", "left")
+        .select(*summed.columns, "__prior.*")
+    )
     filled = [
         F.coalesce(c, F.lit(float(v))) if default_prior else F.col(c)
         for c, v in zip(names, default_prior or names, strict=True)
@@ -186,10 +193,19 @@ def reconstruct(states: DataFrame, learner_id: str) -> tuple[float, float]:
     return row["posterior_mean"], row["posterior_precision"]
 
 
-def append_observations(rows: DataFrame, log: DataFrame | None = None, dedup: bool = False) -> DataFrame:
-    """Log with ``rows`` added by column name; ``dedup`` keeps one row per learner and instant."""
+def append_observations(
+    rows: DataFrame, log: DataFrame | None = None, dedup: bool = False, tie: Sequence[str] = ()
+) -> DataFrame:
+    """Log with ``rows`` added by column name; ``dedup`` keeps one row per learner and instant.
+
+    The row that stays is the smallest by ``tie`` and then by all columns, so every run keeps the same.
+    """
     merged = rows if log is None else log.unionByName(rows.select(*log.columns))
-    return merged.dropDuplicates(["learner_id", "ts"]) if dedup else merged
+    if not dedup:
+        return merged
+    order = [*tie, *[c for c in merged.columns if c not in tie]]
+    first = merged.groupBy("learner_id", "ts").agg(F.min(F.struct(*order)).alias("__first"))
+    return first.select(*[F.col("__first")[c].alias(c) for c in merged.columns])
 
 
 # Linear regression --------------------------------------------------------------------------
@@ -433,49 +449,46 @@ def fit_in_order(
 ) -> DataFrame:
     """Fold any learner over each key's rows, in order.
 
-    An update that is not a sum or an affine map has to see its rows one after another. A key
-    with more than ``slice_rows`` rows is folded slice by slice, one job per slice, with only the
-    state handed on; so no task ever holds more than one slice of a key.
+    An update that is not a sum or an affine map has to see its rows one after another. Every key is
+    folded in slices of at most ``slice_rows`` rows, of which a short history has one; a task holds
+    one slice of a key, and only keys with rows left are handed on. NULL keys are keys like others.
     """
     narrow = df.select(*keys, *order, inputs.alias("__a"), target.alias("__b"))
-    longest = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    history = F.array_sort(F.collect_list(F.struct(*order, "__a", "__b")))
-
-    def fold(start: Column, rows: Column) -> Column:
-        return F.aggregate(rows, start, lambda s, p: learner.update(s, p["__a"], p["__b"]))
-
-    if (longest or 0) <= slice_rows:
-        grouped = narrow.groupBy(*keys).agg(history.alias("h"), F.count(F.lit(1)).alias("n"))
-        return grouped.select(*keys, fold(learner.initial(), F.col("h")).alias("state"), "n")
-
     placed = ordered.running_sums(narrow, keys, order, {"__position": F.lit(1).cast("bigint")})
     sliced = materialise(
-        placed.withColumn("__slice", F.floor((F.col("__position") - 1) / slice_rows).cast("int")),
+        placed.select(
+            F.struct(*keys).alias("__key"),
+            F.struct(*order, "__a", "__b").alias("__row"),
+            F.floor((F.col("__position") - 1) / slice_rows).cast("int").alias("__slice"),
+        ),
         "slices",
         partition_by=["__slice"],
     )
-    state = None
-    for number in range(-(-longest // slice_rows)):
+    slices = (sliced.agg(F.max("__slice")).first()[0] or 0) + 1
+
+    def fold(start: Column, rows: Column) -> Column:
+        return F.aggregate(rows, start, lambda s, p: learner.update(s, p["__a"], p["__b"]))
+
+    states: list[DataFrame] = []
+    for number in range(slices):
         rows = (
             sliced.where(F.col("__slice") == number)
-            .groupBy(*keys)
-            .agg(history.alias("h"), F.count(F.lit(1)).alias("fresh"))
+            .groupBy("__key")
+            .agg(F.array_sort(F.collect_list("__row")).alias("h"), F.count(F.lit(1)).alias("fresh"))
         )
-        if state is None:
-            merged = rows.select(
-                *keys, fold(learner.initial(), F.col("h")).alias("state"), F.col("fresh").alias("n")
-            )
+        if states:
+            # A struct of keys is never NULL, so plain equality also joins NULL keys.
+            started = rows.join(states[-1], "__key")
+            start, before = F.col("state"), F.col("n")
         else:
-            # Keys with rows left are a subset of those already started.
-            merged = state.join(rows, list(keys), "left").select(
-                *keys,
-                F.when(F.col("h").isNull(), F.col("state"))
-                .otherwise(fold(F.col("state"), F.col("h")))
-                .alias("state"),
-                (F.col("n") + F.coalesce("fresh", F.lit(0))).alias("n"),
-            )
-        state = materialise(merged, "state")
-    return state
+            started, start, before = rows, learner.initial(), F.lit(0)
+        folded = started.select(
+            "__key", fold(start, F.col("h")).alias("state"), (before + F.col("fresh")).alias("n")
+        )
+        states.append(materialise(folded, "state"))
+    everything = reduce(DataFrame.unionByName, states)
+    last = everything.groupBy("__key").agg(F.max_by(F.struct("state", "n"), "n").alias("__last"))
+    return last.select(*[F.col("__key")[k].alias(k) for k in keys], "__last.state", "__last.n")
 
 
 # Snapshots ----------------------------------------------------------------------------------

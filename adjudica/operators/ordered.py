@@ -77,9 +77,9 @@ def running_sums(
     local = rows.select("*", *[F.sum(c).over(within).alias(f"{c}_here") for c in inputs.values()])
 
     def total(c: str) -> Column:
-        return F.col(f"{c}_here") + F.coalesce(
-            F.col(f"{c}_before"), F.lit(0).cast(rows.schema[c].dataType)
-        )
+        """NULL only where no value has been seen yet, as for a sum over one window."""
+        here, earlier = F.col(f"{c}_here"), F.col(f"{c}_before")
+        return F.coalesce(here + earlier, here, earlier)
 
     return local.join(offsets, [*by, SEGMENT]).select(
         *df.columns, *[total(c).alias(n) for n, c in inputs.items()]

@@ -119,11 +119,13 @@ def detokenise(
 ) -> DataFrame:
     """Replace tokens by plaintext; unknown tokens become NULL (see :func:`unknown_tokens`).
 
-    A token with several plaintexts resolves to the last in sort order, so rows never multiply.
+    A token with several plaintexts becomes NULL too (see :func:`collisions`): it must not name the
+    wrong person, and rows never multiply.
     Plain equi-join: the runtime broadcasts the map if it proves small and splits hot tokens.
     """
     wanted = tokens.where(F.col("transformation") == (transformation or column))
-    reverse = wanted.groupBy(F.col("token").alias(column)).agg(F.max("plaintext").alias("__plain"))
+    only = F.when(F.min("plaintext") == F.max("plaintext"), F.max("plaintext"))
+    reverse = wanted.groupBy(F.col("token").alias(column)).agg(only.alias("__plain"))
     return df.join(reverse, column, "left").select(
         *[F.col("__plain").alias(c) if c == column else F.col(c) for c in df.columns]
     )

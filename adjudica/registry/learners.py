@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from adjudica.operators import learners
+from adjudica.operators import learners, ordered
 from adjudica.registry import query, r6
 from adjudica.sources import bindings
 
@@ -99,6 +99,38 @@ def credibility_fold(spark, sf_dir):
     )
 
 
+# A third of all rows is one learner's, and a part of them has no learner.
+SKEWED = f"""select case when event_id % 7 = 0 then null when event_id % 3 = 0 then 'hot' else learner_id end as learner_id,
+  ts, event_id, case when event_id % 5 = 0 then null else observation end as observation from ({bindings.OBSERVATIONS}) q"""
+
+
+@query(
+    f"""with o as ({SKEWED.replace("case when event_id % 5 = 0 then null else observation end", "observation")})
+select learner_id, round((5e-1 * 5e1 + sum(observation) / 25e0) / (5e-1 + count(*) / 25e0), 6) as mean, count(*) as n from o group by learner_id"""
+)
+def credibility_fold_sliced(spark, sf_dir):
+    """Folded in many slices, over one learner with a third of the rows and rows without a learner."""
+    bindings.tables(spark, sf_dir, "events")
+    rows = spark.sql(SKEWED.replace("case when event_id % 5 = 0 then null else observation end", "observation"))
+    longest = rows.groupBy("learner_id").count().agg(F.max("count")).first()[0]
+    out = learners.fit_in_order(
+        rows, learners.credibility(50.0, 0.5, 25.0), ORDER, F.lit(0.0), F.col("observation"),
+        slice_rows=max(1, longest // 4),
+    )
+    return out.select("learner_id", r6("state.mean").alias("mean"), "n")
+
+
+@query(
+    f"""with o as ({SKEWED}) select event_id,
+  round(sum(observation) over (partition by learner_id order by ts, event_id rows unbounded preceding), 6) as total from o"""
+)
+def running_sum_with_nulls(spark, sf_dir):
+    """Running sums of values of which every fifth is NULL, over a hot and a NULL key."""
+    bindings.tables(spark, sf_dir, "events")
+    summed = ordered.running_sums(spark.sql(SKEWED), ["learner_id"], ORDER, {"total": F.col("observation")}, segments=16)
+    return summed.select("event_id", r6("total").alias("total"))
+
+
 @query(
     _REPLAY + "select o.event_id, f.learner_id, round(f.mean, 6) as mean, f.rn as n from f join o on o.learner_id = f.learner_id and o.rn = f.rn"
 )

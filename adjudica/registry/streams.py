@@ -51,7 +51,7 @@ def stream_outcomes(spark, sf_dir):
 @query(
     f"with p as ({bindings.PROPOSALS}) select proposal_id, schema_version as schema_version_seen, "
     "case when schema_version is null then 'missing schema_version' else 'unknown schema version' end as reason "
-    "from p where erased = false and (schema_version is null or schema_version <> 1)"
+    "from p where schema_version is null or schema_version <> 1"
 )
 def stream_quarantine(spark, sf_dir):
     df = spark.read.parquet(f"{_judged(spark, sf_dir)}/quarantine")
@@ -64,7 +64,7 @@ def stream_credibility(spark, sf_dir):
     events.createOrReplaceTempView("event_stream")
     observed = spark.sql(bindings.OBSERVATIONS.replace("from events", "from event_stream"))
     out = scratch.new_path(spark, "stream")
-    states = state.running_credibility(observed, delay="1 hour")
+    states = state.running_credibility(observed)
     state.write_states(states, f"{out}/states", f"{out}/checkpoint").awaitTermination()
     newest = state.current_states(spark.read.parquet(f"{out}/states"))
     return newest.select("learner_id", r6("posterior_mean").alias("posterior_mean"), "n")

@@ -59,7 +59,7 @@ select concat('d', cast(doc_id as string)) as text_id, doc_id * 2 + 1 as seq, te
 OBSERVATIONS = """
 select concat('u', cast(user_id as string)) as learner_id, ts, event_id, value as observation,
        25e0 as sigma2, 50e0 as mu0, 5e-1 as kappa0
-from events where event_type = 'purchase'
+from events
 """
 
 POINTS = """

@@ -36,8 +36,17 @@ def judge_stream(
 
     def write(batch: DataFrame, number: int) -> None:
         # Two sinks read the batch; without this the source would be read for each.
-        rows = (batch.where(visible()) if "erased" in batch.columns else batch).persist()
+        rows = batch.persist()
+        try:
+            sinks(rows, number)
+        finally:
+            rows.unpersist()
+
+    def sinks(rows: DataFrame, number: int) -> None:
+        # Dispatch comes first, so that every row reaches one side, as in a batch.
         parted = versions.dispatch(rows, active, keep=keep)
+        valid = versions.across_versions(parted.valid)
+        shown = valid.where(visible()) if "erased" in valid.columns else valid
         parted.quarantined.select(
             *keep,
             "schema_version_seen",
@@ -45,9 +54,8 @@ def judge_stream(
             "detail",
             F.to_json("raw_row", {"ignoreNullFields": "false"}).alias("raw_payload"),
         ).write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
-        judged = outcomes.judged(versions.across_versions(parted.valid), system, adm, monoid)
+        judged = outcomes.judged(shown, system, adm, monoid)
         judged.write.mode("overwrite").parquet(f"{out}/outcomes/batch={number}")
-        rows.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)

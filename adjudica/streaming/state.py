@@ -9,8 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 def running_credibility(stream: DataFrame, delay: str | None = None) -> DataFrame:
     """Posterior per learner, updated by every micro-batch.
 
-    With ``delay``, repeats of (learner_id, ts) arriving within that watermark count once. Only
-    counts and sums are kept as state, so a hot learner costs as much as any other.
+    By default every observation counts, however late it comes, so the state is the batch one. With
+    ``delay``, repeats of (learner_id, ts) within that watermark count once, and observations that
+    come later than the watermark are left out: bounded state for lost late rows. Only counts and
+    sums are kept as state, so a hot learner costs as much as any other.
     """
     rows = stream
     if delay is not None:
