@@ -7,9 +7,11 @@
 3. Candidate pairs are verified by the exact Jaccard similarity of their sets of shingles. Only
    texts of candidates are read again; a bitmap of fixed size spares the others the shuffle.
 4. Verified pairs give components. Buckets that still hold several components are taken up again:
-   each node outside a bucket's largest component is paired with the nodes of its other components.
-   Pairs inside a component need no test, as they change nothing. So the classes are the same as if
-   all pairs of all buckets had been verified.
+   each node outside a bucket's largest component is compared with the nodes of its other components
+   by odd sketches, and only pairs that pass are emitted and verified. Odd sketches lose nothing:
+   their distance is never above the number of shingles in which two sets differ. Pairs inside a
+   component need no test, as they change nothing. So the classes are the same as if all pairs of
+   all buckets had been verified.
 
 Two texts at similarity s share a band with probability 1 - (1 - s^rows)^bands: 0.99995 at 0.8.
 """
@@ -21,14 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from adjudica.llm import membership, shingles, textbatch
+from adjudica.llm import membership, rows as row_keys, shingles, textbatch
 from adjudica.llm.components import components
 from adjudica.sources.scratch import materialise
 
 SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
+#: Bits of an odd sketch. It tells sets apart that differ in fewer shingles than that.
+ODD_BITS = 4096
 
 
 def _text_key(text: str) -> Column:
@@ -66,13 +71,13 @@ def _sketched(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Itera
 
 
 def sketches(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """row, id, text key, n (distinct shingles), digest of the set, band keys; from row, id and text."""
-    kind = texts.schema["id"].dataType.simpleString()
+    """row, id, text key, n (distinct shingles), set digest, band keys; from row, id, text."""
     keyed = texts.select("row", "id", "text", _text_key("text").alias("k")).select("row", "id", "text", "k.*")
-    return keyed.mapInArrow(
-        lambda batches: _sketched(batches, bands, rows),
-        f"row bigint, id {kind}, k1 bigint, k2 bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>",
-    )
+    schema = StructType([f for f in keyed.schema if f.name != "text"])
+    for name in ("n", "s1", "s2"):
+        schema = schema.add(name, LongType())
+    schema = schema.add("bands", ArrayType(LongType()))
+    return keyed.mapInArrow(lambda batches: _sketched(batches, bands, rows), schema)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,24 +85,29 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, texts in textbatch.slices(batch.column("text")):
             owner, ids, _ = shingles.distinct_shingles(texts)
             offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts)))))
+            odd = shingles.odd_sketches(len(texts), owner, ids, ODD_BITS)
+            odd_offsets = np.arange(len(texts) + 1) * odd.shape[1]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("node").slice(start, len(texts)),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(odd_offsets, pa.int32()), pa.array(odd.reshape(-1))),
                 ],
-                names=["node", "ids"],
+                names=["node", "ids", "odd"],
             )
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, ids: the shingle sets of the wanted nodes (node, k1, k2). Each text is read once."""
+    """node, ids, odd: sets and odd sketches of the wanted nodes (node, k1, k2), each text taken once."""
     wanted = wanted.select("node", F.struct("k1", "k2").alias("__key"))
     keyed = texts.select(_text_key("text").alias("__key"), "text")
     bitmap = membership.bitmap_of(wanted, F.col("__key"))
     near = membership.flagged(keyed, F.col("__key"), bitmap, "__on").where("__on")
     # Equal texts meet once: one of them leaves each task.
     single = near.groupBy("__key").agg(F.first("text").alias("text"))
-    return single.join(wanted, "__key").select("node", "text").mapInArrow(_sets, "node bigint, ids array<bigint>")
+    return single.join(wanted, "__key").select("node", "text").mapInArrow(
+        _sets, "node bigint, ids array<bigint>, odd array<bigint>"
+    )
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -114,6 +124,15 @@ def _fits(n: Column, m: Column, similarity: float) -> Column:
     return F.least(n, m) >= F.lit(similarity) * F.greatest(n, m)
 
 
+def _differ_little(similarity: float) -> Column:
+    """The odd sketches allow that two sets of n and m shingles reach the similarity."""
+    bits = F.lit(0)
+    for place in range(ODD_BITS // 64):
+        bits = bits + F.bit_count(F.col("odd")[place].bitwiseXOR(F.col("__odd")[place]))
+    # J >= s means that at most (1 - s) / (1 + s) of both sizes differ; the rest is for rounding.
+    return bits <= (F.col("n") + F.col("__n")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+
+
 def _star_pairs(banded: DataFrame, similarity: float) -> DataFrame:
     """(a, b): each node with the smallest node of each of its buckets, where sizes fit."""
     centres = (
@@ -129,28 +148,36 @@ def _star_pairs(banded: DataFrame, similarity: float) -> DataFrame:
     )
 
 
-def _stray_pairs(banded: DataFrame, labels: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of one bucket whose nodes are in different components, not yet tested."""
+def _mixed_buckets(banded: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, node, n, component: the rows of buckets that hold several components."""
     several = banded.groupBy("band").agg(F.count("*").alias("__size")).where("__size > 1").select("band")
     rows = banded.join(several, "band").join(labels, "node", "left").select(
         "band", "node", "n", F.coalesce("component", "node").alias("component")
     )
     mixed = rows.groupBy("band").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi"))
-    mixed = mixed.where("__lo <> __hi").select("band")
-    rows = materialise(rows.join(mixed, "band", "left_semi"), "near-mixed")
+    return rows.join(mixed.where("__lo <> __hi").select("band"), "band", "left_semi")
+
+
+def _stray_pairs(mixed: DataFrame, sets: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of one bucket in different components that may be similar, not yet tested."""
+    rows = mixed.join(sets.select("node", "odd"), "node")
     main = (
-        rows.groupBy("band", "component").agg(F.count("*").alias("__count"))
+        mixed.groupBy("band", "component").agg(F.count("*").alias("__count"))
         .groupBy("band").agg(F.max(F.struct("__count", "component"))["component"].alias("__main"))
     )
     strays = (
         rows.join(main, "band")
         .where("component <> __main")
-        .select("band", "__main", F.col("node").alias("__x"), F.col("n").alias("__n"), F.col("component").alias("__own"))
-    )
+        .select(
+            "band", "__main", F.col("node").alias("__x"), F.col("n").alias("__n"),
+            F.col("component").alias("__own"), F.col("odd").alias("__odd"),
+        )
+    )
     pairs = rows.join(strays, "band").where(
         (F.col("component") != F.col("__own"))
         & ((F.col("component") == F.col("__main")) | (F.col("node") < F.col("__x")))
         & _fits(F.col("n"), F.col("__n"), similarity)
+        & _differ_little(similarity)
     )
     ordered = pairs.select(F.least("node", "__x").alias("a"), F.greatest("node", "__x").alias("b")).distinct()
     return ordered.join(tested, ["a", "b"], "left_anti")
@@ -169,9 +196,11 @@ def near_classes(
     each other. ``docs`` is read twice and must give the same texts both times. Other columns are
     not read. An empty table gives an empty result.
     """
-    number = F.col(row) if row else F.monotonically_increasing_id()
     texts = docs.select(F.col(text).alias("text"))
-    source = docs.select(number.alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    carried = F.struct(F.col(doc_id).alias("id"), (F.col(row) if row else F.lit(None).cast("int")).alias("key"))
+    source = docs.select(
+        F.monotonically_increasing_id().alias("row"), carried.alias("id"), F.col(text).alias("text")
+    )
     stored = materialise(sketches(source, bands, rows), "near-sketches")
     digest = F.struct("s1", "s2", "n").alias("__set")
 
@@ -184,22 +213,24 @@ def near_classes(
     )
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
     first = materialise(_star_pairs(banded, similarity), "near-pairs")
-    links = materialise(_linked(texts, nodes, first, similarity), "near-links")
+    ends = first.select(F.explode(F.array("a", "b")).alias("node"))
+    links = materialise(verified(first, _stored_sets(texts, nodes, ends), similarity), "near-links")
     labels = materialise(components(links), "near-labels")
-    second = materialise(_stray_pairs(banded, labels, first, similarity), "near-pairs")
-    more = materialise(_linked(texts, nodes, second, similarity), "near-links")
+    mixed = materialise(_mixed_buckets(banded, labels), "near-mixed")
+    sets = _stored_sets(texts, nodes, mixed.select("node"))
+    more = materialise(verified(_stray_pairs(mixed, sets, first, similarity), sets, similarity), "near-links")
     labels = materialise(components(links.unionByName(more)), "near-labels")
 
     member = (
-        stored.select("row", "id", "n", digest)
+        stored.select("row", "id.id", "id.key", "n", digest)
         .join(nodes.select("__set", "node"), "__set", "left")
         .join(labels, "node", "left")
-        .select("row", "id", F.coalesce("component", "node", "row").alias("__class"))
+        .select("row", "id", "key", F.coalesce("component", "node", "row").alias("__class"))
     )
     member = materialise(member, "near-members")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
     classes = member.groupBy("__class").agg(F.min(order).alias("__first"), F.count("*").alias("class_size"))
-    back = [F.col("row").alias(row)] if row else []
+    back = [F.col("key").alias(row)] if row else []
     return member.join(classes, "__class").select(
         F.col("id").alias("doc_id"),
         F.col("__first.id").alias("class_id"),
@@ -209,21 +240,17 @@ def near_classes(
     )
 
 
-def _linked(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(nodes.select("node", "k1", "k2").join(ends, "node"), "near-wanted")
-    sets = materialise(shingle_sets(texts, wanted), "near-sets")
-    return verified(pairs, sets, similarity)
+def _stored_sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    wanted = materialise(nodes.select("node", "k1", "k2").join(wanted.distinct(), "node"), "near-wanted")
+    return materialise(shingle_sets(texts, wanted), "near-sets")
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns."""
-    numbered = materialise(
-        docs.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("__doc")), "near-numbered"
-    )
+    numbered = row_keys.keyed(docs)
     fields = numbered.select(
-        "__row", F.col(f"__doc.{doc_id}").alias("__id"), F.col(f"__doc.{text}").alias("__text")
+        row_keys.ROW, F.col(f"{row_keys.DOC}.{doc_id}").alias("__id"), F.col(f"{row_keys.DOC}.{text}").alias("__text")
     )
-    classes = near_classes(fields, "__id", "__text", row="__row", **options)
-    dropped = classes.where("not kept").select("__row")
-    return membership.anti_join(numbered, "__row", dropped).select("__doc.*")
+    classes = near_classes(fields, "__id", "__text", row=row_keys.ROW, **options)
+    dropped = classes.where("not kept").select(row_keys.ROW)
+    return membership.anti_join(numbered, row_keys.ROW, dropped).select(f"{row_keys.DOC}.*")

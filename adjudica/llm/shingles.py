@@ -101,3 +101,13 @@ def set_digests(n_texts: int, owner: np.ndarray, ids: np.ndarray) -> np.ndarray:
             out[owner[at], 0] = np.add.reduceat(mixed(ids + np.uint64(1)), at)
             out[owner[at], 1] = np.add.reduceat(mixed(ids ^ _STEP), at)
     return out.view(np.int64)
+
+
+def odd_sketches(n_texts: int, owner: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
+    """Per text, ``bits`` bits that tell whether an odd number of its shingles falls on each.
+
+    The bits in which two texts differ are at most as many as the shingles in which they differ.
+    """
+    at = owner * bits + (ids % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n_texts * bits) & 1).astype(np.uint8).reshape(n_texts, bits)
+    return np.packbits(odd, axis=1).view(np.int64)
