@@ -46,7 +46,7 @@ def check_columns(requests: DataFrame, schema: StructType) -> list[str]:
     bad = names.where(F.col("where_column").isNull() | ~F.col("where_column").isin(*schema.names))
     first_bad = bad.first()
     if first_bad is not None:
-        raise ValueError(f"where_column is not a column of the table: {first_bad[0]!r}")
+        raise ValueError(f"erasure by {first_bad[0]!r}: the table has no such column")
     # At most one value per column of the table.
     return sorted(r[0] for r in names.collect())
 
@@ -182,7 +182,7 @@ def erase_one(table: DataFrame, where_column: str, where_value: str, **kwargs) -
     )
     result = erase(table, request, **kwargs)
     if result.statuses.first()["status"] == NOT_FOUND:
-        raise LookupError(f"row not found: {kwargs['table_name']}.{where_column} = {where_value!r}")
+        raise LookupError(f"{kwargs['table_name']} has nothing to erase where {where_column} is {where_value!r}")
     return result
 
 

@@ -189,7 +189,7 @@ def reconstruct(states: DataFrame, learner_id: str) -> tuple[float, float]:
         .first()
     )
     if row is None:
-        raise LookupError(f"no observations for learner_id={learner_id!r}")
+        raise LookupError(f"{learner_id!r} has never been observed")
     return row["posterior_mean"], row["posterior_precision"]
 
 
@@ -516,5 +516,5 @@ def latest_snapshot(snapshots: DataFrame) -> DataFrame:
 def latest_learner_state(snapshots: DataFrame, learner_id: str) -> tuple[int, str]:
     row = latest_snapshot(snapshots.where(F.col("learner_id") == learner_id)).first()
     if row is None:
-        raise LookupError(f"no snapshot for learner_id={learner_id!r}")
+        raise LookupError(f"{learner_id!r} has no stored state")
     return row["version"], row["state_json"]

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-import functools
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -31,30 +29,23 @@ TRUE_TEXTS = ["true", "t", "yes", "y", "on", "1"]
 FALSE_TEXTS = ["false", "f", "no", "n", "off", "0"]
 
 
-@dataclass
-class Registry:
-    """Known schema versions, each with its effective date and contract."""
+class Version(NamedTuple):
+    """A schema version: its number, the day it takes effect, and its contract."""
 
-    entries: dict[int, tuple[str, StructType]] = field(default_factory=dict)
+    number: int
+    since: str
+    contract: StructType
 
-    def register(self, version: int, effective_date: str, schema: StructType) -> Registry:
-        self.entries[version] = (effective_date, schema)
-        return self
 
-    def get(self, version: int) -> tuple[str, StructType] | None:
-        return self.entries.get(version)
+def known_versions(*versions: Version) -> tuple[Version, ...]:
+    """Versions in order of their numbers, of which each may be given once."""
+    numbers = [v.number for v in versions]
+    if not numbers or len(set(numbers)) < len(numbers):
+        raise ValueError(f"version numbers must be given, each once: {numbers}")
+    return tuple(sorted(versions, key=lambda v: v.number))
 
-    def current(self) -> int:
-        if not self.entries:
-            raise LookupError("registry is empty")
-        return max(self.entries)
 
-    def known(self) -> list[int]:
-        return sorted(self.entries)
-
-
-def default_registry() -> Registry:
-    return Registry().register(1, schemas.V1_EFFECTIVE_DATE, schemas.PROPOSAL)
+FIRST = Version(1, schemas.V1_EFFECTIVE_DATE, schemas.PROPOSAL)
 
 
 # Typed reading ------------------------------------------------------------------------------
@@ -150,26 +141,32 @@ def stamp_default(df: DataFrame, version: int = 1) -> DataFrame:
 
 
 class Dispatched(NamedTuple):
-    """``labelled`` holds every input row; the other frames are filters over it."""
+    """``labelled`` holds every input row; the other frames are projections of it.
+
+    ``merged`` has all valid rows in the newest shape, read once for any number of versions.
+    """
 
     labelled: DataFrame
     valid: dict[int, DataFrame]
+    merged: DataFrame
     quarantined: DataFrame
 
 
-def dispatch(df: DataFrame, registry: Registry, keep: Sequence[str] = ()) -> Dispatched:
+def dispatch(
+    df: DataFrame, versions: Sequence[Version] = (FIRST,), keep: Sequence[str] = ()
+) -> Dispatched:
     """Route each row to the contract of its version, or to quarantine with a reason.
 
     ``keep`` names columns outside the contracts (row ids) that valid rows carry along.
     """
     version = F.col("schema_version")
     seen = version.try_cast("int")
-    known = registry.known()
+    known = [v.number for v in versions]
     invalid = F.lit("")
     typed: dict[int, dict[str, Column]] = {}
-    for v in known:
-        typed[v], errors = validate_columns(df, registry.entries[v][1])
-        invalid = F.when(seen == v, errors).otherwise(invalid)
+    for v in versions:
+        typed[v.number], errors = validate_columns(df, v.contract)
+        invalid = F.when(seen == v.number, errors).otherwise(invalid)
     reason = (
         F.when(version.isNull(), F.lit(MISSING))
         .when(seen.isNull() | ~seen.isin(*known), F.lit(UNKNOWN))
@@ -186,6 +183,16 @@ def dispatch(df: DataFrame, registry: Registry, keep: Sequence[str] = ()) -> Dis
         v: good.where(seen == v).select(*keep, *[c.alias(n) for n, c in typed[v].items()])
         for v in known
     }
+
+    def newest(f: StructField) -> Column:
+        """The value by the row's own version; NULL where that version lacks the column."""
+        value = F.lit(None).cast(f.dataType)
+        for number, columns in typed.items():
+            if f.name in columns:
+                value = F.when(seen == number, columns[f.name]).otherwise(value)
+        return value.alias(f.name)
+
+    merged = good.select(*keep, *[newest(f) for f in versions[-1].contract.fields])
     bad = labelled.where(F.col("__reason").isNotNull())
     quarantined = bad.select(
         *keep,
@@ -194,7 +201,7 @@ def dispatch(df: DataFrame, registry: Registry, keep: Sequence[str] = ()) -> Dis
         F.col("__detail").alias("detail"),
         F.struct(*df.columns).alias("raw_row"),
     )
-    return Dispatched(labelled, valid, quarantined)
+    return Dispatched(labelled, valid, merged, quarantined)
 
 
 def to_quarantine(
@@ -225,17 +232,6 @@ def dispatch_counts(dispatched: Dispatched) -> DataFrame:
     )
 
 
-def across_versions(frames: dict[int, DataFrame]) -> DataFrame:
-    """All versions in the newest shape. Columns a version lacks are NULL, and every row keeps
-    the version it was written with."""
-    newest = frames[max(frames)].columns
-    merged = functools.reduce(
-        lambda x, y: x.unionByName(y, allowMissingColumns=True),
-        [frames[v] for v in sorted(frames, reverse=True)],
-    )
-    return merged.select(*newest)
-
-
 # Compatibility ------------------------------------------------------------------------------
 
 SNAPSHOT = "model string, field string, type string, required boolean"

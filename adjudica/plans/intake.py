@@ -40,7 +40,7 @@ def run(
     system: Sequence[AnyDecision],
     adm: Callable[[Column], Column],
     monoid: Monoid = JOINT,
-    registry: versions.Registry | None = None,
+    known: Sequence[versions.Version] = (versions.FIRST,),
     max_tokens: int | None = None,
     keep: Sequence[str] = ("text_id",),
     tokenise: bool = False,
@@ -52,22 +52,24 @@ def run(
     quarantine and outcomes both start from it. Counts come from metrics observed while writing.
     """
     spark = texts.sparkSession
-    active = registry or versions.default_registry()
-    schema = active.entries[active.current()][1]
+    schema = known[-1].contract
     fields = schemas.extraction_fields(schema)
 
-    spent = Observation()
     tokens = costs.extract_tokens(F.col(text), len(fields))
+    if max_tokens is not None:
+        # Costs come from lengths alone; a batch that is too dear is refused before it writes.
+        wanted = int(texts.agg(F.coalesce(F.sum(tokens), F.lit(0))).first()[0])
+        if wanted > max_tokens:
+            raise BudgetExceeded(f"the texts cost {wanted} tokens, the cap is {max_tokens}")
+    spent = Observation()
     paid = texts.observe(spent, F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"))
     found = extraction.extract_proposals(paid, schema, text).select(*keep, *fields)
     complete = versions.stamp_default(found)
     tables.write_table(complete, f"{out}/extracted")
     total = int(spent.get["tokens"])
-    if max_tokens is not None and total > max_tokens:
-        raise BudgetExceeded(f"would spend {total} tokens of cap {max_tokens}")
     rows = tables.read_table(spark, f"{out}/extracted")
 
-    parted = versions.dispatch(rows, active, keep=keep)
+    parted = versions.dispatch(rows, known, keep=keep)
     counts = versions.dispatch_counts(parted).first()
     if counts["n_quarantined"]:
         tables.write_table(
@@ -76,8 +78,7 @@ def run(
     else:
         tables.ensure_table(spark, f"{out}/raw_quarantine", schemas.QUARANTINE)
 
-    valid = versions.across_versions(parted.valid)
-    staged = privacy.tokenise(valid, schema) if tokenise else valid
+    staged = privacy.tokenise(parted.merged, schema) if tokenise else parted.merged
     judged = outcomes.judged(staged, system, adm, monoid)
     done = outcomes.write_outcomes(judged, f"{out}/outcomes")
     both = spark.read.parquet(f"{out}/outcomes")

@@ -1,5 +1,9 @@
 """The whole batch, from texts to written tables, reported as rows."""
 
+from pyspark.sql import functions as F
+
+from adjudica import schemas
+from adjudica.functions import costs
 from adjudica.operators import regimes
 from adjudica.operators.decisions import adm_joint
 from adjudica.plans import intake
@@ -14,6 +18,25 @@ select count(*) as extracted, cast((select sum(tokens) from x) as bigint) as tok
   count(*) filter (premium <= 0) as premium_rule from j"""
 
 
+def _total(texts):
+    tokens = costs.extract_tokens(F.col("text"), len(schemas.extraction_fields(schemas.PROPOSAL)))
+    return texts.agg(F.sum(tokens)).first()[0]
+
+
+@query(_EXTRACTED + " select true as refused, cast(sum(tokens) as bigint) as tokens, 0 as written from x")
+def batch_refused(spark, sf_dir):
+    """A batch that costs one token more than its cap is refused and leaves nothing behind."""
+    texts, out = bindings.raw_texts(spark, sf_dir), scratch.new_path(spark, "refused")
+    total, refused = _total(texts), False
+    try:
+        intake.run(texts, out, regimes.proposal_joint(0.5, 0.6).decisions, adm_joint(1.0), max_tokens=total - 1)
+    except intake.BudgetExceeded:
+        refused = True
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    written = int(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path))
+    return spark.createDataFrame([(refused, total, written)], "refused boolean, tokens bigint, written int")
+
+
 @query(_BATCH)
 def batch_run(spark, sf_dir):
     result = intake.run(
@@ -21,7 +44,7 @@ def batch_run(spark, sf_dir):
         scratch.new_path(spark, "batch"),
         regimes.proposal_joint(0.5, 0.6).decisions,
         adm_joint(1.0),
-        max_tokens=10**12,
+        max_tokens=_total(bindings.raw_texts(spark, sf_dir)),
         tokenise=True,
     )
     row = (

@@ -88,7 +88,7 @@ def stg_quarantine(spark, sf_dir):
     from adjudica.operators import versions
 
     df = bindings.proposals(spark, sf_dir)
-    parted = versions.dispatch(df, versions.default_registry(), keep=["proposal_id"])
+    parted = versions.dispatch(df, keep=["proposal_id"])
     raw = versions.to_quarantine(
         parted.quarantined,
         at=F.lit("2026-05-01 00:00:00").cast("timestamp_ntz"),

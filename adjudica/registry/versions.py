@@ -34,7 +34,7 @@ def feed(spark, sf_dir):
 
 
 def dispatched(spark, sf_dir):
-    return versions.dispatch(feed(spark, sf_dir), versions.default_registry(), keep=["proposal_id"])
+    return versions.dispatch(feed(spark, sf_dir), keep=["proposal_id"])
 
 
 @query(
@@ -69,7 +69,7 @@ def stamp_default(spark, sf_dir):
         "holder_kind", "schema_version", "schema_effective_date", "erased"
     )
     parted = versions.dispatch(
-        versions.stamp_default(df), versions.default_registry(), keep=["proposal_id"]
+        versions.stamp_default(df), keep=["proposal_id"]
     )
     return parted.valid[1].select(
         "proposal_id",
@@ -128,10 +128,9 @@ def across_versions(spark, sf_dir):
             "policy_term_months": (12 + F.col("age") % 3).cast("int"),
         }
     )
-    registry = versions.default_registry().register(2, "2027-01-01", PROPOSAL_V2)
+    registry = versions.known_versions(versions.FIRST, versions.Version(2, "2027-01-01", PROPOSAL_V2))
     parted = versions.dispatch(df, registry, keep=["proposal_id"])
-    merged = versions.across_versions(parted.valid)
-    return merged.select(
+    return parted.merged.select(
         "proposal_id", r6("premium").alias("premium"), "schema_version", "erased", "policy_term_months"
     )
 

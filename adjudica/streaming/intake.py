@@ -24,7 +24,7 @@ def judge_stream(
     system: Sequence[AnyDecision],
     adm: Callable[[Column], Column],
     monoid: Monoid = JOINT,
-    registry: versions.Registry | None = None,
+    known: Sequence[versions.Version] = (versions.FIRST,),
     keep: Sequence[str] = (),
 ) -> StreamingQuery:
     """Start a query that drains what is there and stops.
@@ -32,8 +32,6 @@ def judge_stream(
     A micro-batch writes into folders named by its number and overwrites them when it is run
     again after a failure, so no row is ever written twice.
     """
-    active = registry or versions.default_registry()
-
     def write(batch: DataFrame, number: int) -> None:
         # Two sinks read the batch; without this the source would be read for each.
         rows = batch.persist()
@@ -44,9 +42,9 @@ def judge_stream(
 
     def sinks(rows: DataFrame, number: int) -> None:
         # Dispatch comes first, so that every row reaches one side, as in a batch.
-        parted = versions.dispatch(rows, active, keep=keep)
-        valid = versions.across_versions(parted.valid)
-        shown = valid.where(visible()) if "erased" in valid.columns else valid
+        parted = versions.dispatch(rows, known, keep=keep)
+        hides = "erased" in parted.merged.columns
+        shown = parted.merged.where(visible()) if hides else parted.merged
         parted.quarantined.select(
             *keep,
             "schema_version_seen",

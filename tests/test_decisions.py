@@ -12,10 +12,10 @@ from adjudica.plans import outcomes
 from adjudica.registry.decisions import CALLABLES
 
 GOLDEN = [
-    ("Alice", 100.0, "10001", 30),
-    ("Bob", -50.0, "94102", 25),
-    ("Charlie", 250.0, "94102", 20),
-    ("Dee", 200.0, "10001", 60),
+    ("Mira", 120.0, "20002", 41),
+    ("Jonas", -75.0, "95110", 33),
+    ("Petra", 310.0, "96001", 19),
+    ("Olu", 90.0, "30301", 52),
 ]
 
 
@@ -118,9 +118,9 @@ def test_lift_fills_the_other_slot(spark, golden):
     rule, score = rules.premium(), rules.risk_score_zip()
     one = decisions.lift(rule, "violations").value()
     two = decisions.lift(score, "score").value()
-    bob = golden.where("holder_name = 'Bob'").select(one.alias("one"), two.alias("two")).first()
-    assert bob["one"]["score"] == 0.0 and len(bob["one"]["violations"]) == 1
-    assert bob["two"]["violations"] == [] and bob["two"]["score"] == 0.5
+    jonas = golden.where("holder_name = 'Jonas'").select(one.alias("one"), two.alias("two")).first()
+    assert jonas["one"]["score"] == 0.0 and len(jonas["one"]["violations"]) == 1
+    assert jonas["two"]["violations"] == [] and jonas["two"]["score"] == 0.5
 
 
 def test_joint_golden_rows(golden):
@@ -129,23 +129,23 @@ def test_joint_golden_rows(golden):
         r["holder_name"]: (r["admitted"], [v["rule_name"] for v in r["payload"]["violations"]], r["payload"]["score"])
         for r in judged.collect()
     }
-    assert got["Alice"] == (True, [], 0.0)
-    assert got["Dee"] == (True, [], 0.0)
-    assert got["Bob"] == (False, ["premium"], 0.5)
-    assert got["Charlie"] == (False, [], pytest.approx(1.1))
+    assert got["Mira"] == (True, [], 0.0)
+    assert got["Olu"] == (True, [], 0.0)
+    assert got["Jonas"] == (False, ["premium"], 0.5)
+    assert got["Petra"] == (False, [], pytest.approx(1.1))
     sides = outcomes.split_outcomes(judged)
     summary = analytics.rejection_summary(sides.rejections).collect()
     assert [(r["rule_name"], r["n"]) for r in summary] == [("premium", 1)]
 
 
-def test_lighter_age_weight_admits_charlie(golden):
+def test_lighter_age_weight_admits_petra(golden):
     judged = outcomes.judged(golden, regimes.proposal_joint().decisions, adm_joint(1.0))
-    charlie = judged.where("holder_name = 'Charlie'").first()
-    assert charlie["admitted"] and charlie["payload"]["score"] == pytest.approx(0.8)
+    petra = judged.where("holder_name = 'Petra'").first()
+    assert petra["admitted"] and petra["payload"]["score"] == pytest.approx(0.8)
 
 
 def test_tombstones_are_not_judged(golden):
-    marked = golden.withColumn("erased", F.col("holder_name") == "Bob")
+    marked = golden.withColumn("erased", F.col("holder_name") == "Jonas")
     judged = outcomes.judged(marked, regimes.proposal_joint().decisions, adm_joint(1.0))
     assert judged.count() == 3
 

@@ -28,7 +28,7 @@ def test_outcomes_equal_the_batch(spark, sf_dir, tmp_path):
         intake.judge_stream(
             stream, out, str(tmp_path / "ck"), system, adm_joint(1.0), keep=["proposal_id"]
         ).awaitTermination()
-    parted = versions.dispatch(df, versions.default_registry(), keep=["proposal_id"])
+    parted = versions.dispatch(df, keep=["proposal_id"])
     want = outcomes.judged(parted.valid[1].where("erased = false"), system, adm_joint(1.0))
     got = spark.read.parquet(f"{out}/outcomes")
     assert got.select("batch").distinct().count() == 4

@@ -14,14 +14,15 @@ V2 = StructType([*schemas.PROPOSAL.fields, schemas.field("policy_term_months", I
 
 
 def registry():
-    return versions.default_registry().register(2, "2027-01-01", V2)
+    return versions.known_versions(versions.Version(2, "2027-01-01", V2), versions.FIRST)
 
 
-def test_registry():
-    assert registry().current() == 2 and registry().known() == [1, 2]
-    assert registry().get(3) is None
-    with pytest.raises(LookupError):
-        versions.Registry().current()
+def test_versions_are_ordered_and_each_given_once():
+    assert [v.number for v in registry()] == [1, 2]
+    with pytest.raises(ValueError):
+        versions.known_versions(versions.FIRST, versions.FIRST)
+    with pytest.raises(ValueError):
+        versions.known_versions()
 
 
 def feed(spark, rows):
@@ -60,17 +61,17 @@ def test_every_row_lands_on_one_side(spark):
 
 
 def test_defaults_fill_absent_columns_only(spark):
-    row = versions.dispatch(feed(spark, ROWS[:1]), versions.default_registry()).valid[1].first()
+    row = versions.dispatch(feed(spark, ROWS[:1])).valid[1].first()
     assert row["holder_kind"] == "individual" and row["erased"] is False
     assert row["schema_effective_date"] == dt.date(2026, 4, 30)
     explicit = feed(spark, ROWS[:1]).withColumn("erased", F.lit(None).cast("boolean"))
-    parted = versions.dispatch(explicit, versions.default_registry())
+    parted = versions.dispatch(explicit)
     assert parted.quarantined.first()["detail"] == "erased: missing"
 
 
 def test_closed_lists(spark):
     df = feed(spark, ROWS[:1]).withColumn("holder_kind", F.lit("trust"))
-    parted = versions.dispatch(df, versions.default_registry())
+    parted = versions.dispatch(df)
     assert parted.quarantined.first()["detail"] == "holder_kind: not allowed"
 
 
@@ -80,14 +81,14 @@ def test_closed_lists(spark):
 )
 def test_booleans(spark, value, ok):
     df = feed(spark, ROWS[:1]).withColumn("erased", F.expr(value))
-    parted = versions.dispatch(df, versions.default_registry())
+    parted = versions.dispatch(df)
     row = parted.valid[1].first()
     assert (row["erased"] if row else None) == ok
 
 
 def test_text_is_not_made_from_numbers(spark):
     df = feed(spark, ROWS[:1]).withColumn("zip_code", F.lit(10001))
-    parted = versions.dispatch(df, versions.default_registry())
+    parted = versions.dispatch(df)
     assert parted.quarantined.first()["detail"] == "zip_code: not a string"
 
 
@@ -109,7 +110,7 @@ def test_quarantine_rows(spark):
 
 def test_versions_in_one_shape(spark):
     parted = versions.dispatch(feed(spark, ROWS), registry(), keep=["id"])
-    merged = {r["id"]: r for r in versions.across_versions(parted.valid).collect()}
+    merged = {r["id"]: r for r in parted.merged.collect()}
     assert merged[0]["policy_term_months"] is None and merged[0]["schema_version"] == 1
     assert merged[5]["policy_term_months"] == 12
 
