@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from adjudica.operators import ordered
 from adjudica.operators import ordered
 from adjudica.operators.decisions import (
     AnyDecision,
@@ -60,18 +61,34 @@ def rejection_counts(
 def score_statistics(outcomes: DataFrame, by: Sequence[str], score: Column, outlier: float = 0.9) -> DataFrame:
     """Distribution of scores per group.
 
-    The exact median is taken from counts per distinct score, so a hot group is pre-aggregated
-    before it is shuffled and no group's rows are gathered.
+    The exact median is the score whose place in the ordered counts is the middle one (or the mean of
+    both middle ones). Counts are summed up along range segments of (group, score), so no task holds a
+    group, also where nearly all its scores differ.
     """
     counted = outcomes.groupBy(*by, score.alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy(*by).agg(
+    placed = ordered.running_sums(counted, by, ["score"], {"__upto": F.col("n")})
+    key = F.struct(*by).alias("__key")
+    totals = counted.groupBy(key).agg(
         F.sum("n").alias("n"),
         (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean_score"),
-        F.percentile("score", 0.5, F.col("n")).alias("median_score"),
         F.max("score").alias("max_score"),
         F.sum(F.when(F.col("score") > outlier, F.col("n")).otherwise(0)).alias("n_outliers"),
     )
 
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("__upto") >= place, F.col("score")))
+
+    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    middle = (
+        placed.select(key, "score", "__upto")
+        .join(totals.select("__key", "n"), "__key")
+        .groupBy("__key")
+        .agg(((at(lower) + at(upper)) / 2).alias("median_score"))
+    )
+    return totals.join(middle, "__key").select(
+        "__key.*", "n", "mean_score", "median_score", "max_score", "n_outliers"
+    )
+
 
 def run_log(calls: DataFrame, job: str, run: str, tokens: Column) -> DataFrame:
     """Spend per run, and its change against the job's run before."""

@@ -513,6 +513,16 @@ def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def restore(snapshots: DataFrame, state: str) -> DataFrame:
+    """learner_id, version and the typed columns of each learner's newest state, to go on from.
+
+    ``state`` names the columns with their types, as they were given to :func:`snapshot`.
+    """
+    newest = latest_snapshot(snapshots)
+    parsed = F.from_json("state_json", state).alias("__state")
+    return newest.select("learner_id", "version", parsed).select("learner_id", "version", "__state.*")
+
+
 def latest_learner_state(snapshots: DataFrame, learner_id: str) -> tuple[int, str]:
     row = latest_snapshot(snapshots.where(F.col("learner_id") == learner_id)).first()
     if row is None:

@@ -341,3 +341,15 @@ def latest_snapshot(spark, sf_dir):
     return newest.select(
         "learner_id", "version", F.get_json_object("state_json", "$.n").cast("bigint").alias("n")
     )
+
+
+@query(
+    _SNAP + "select learner_id, cast(version as bigint) as version, round(total + 1e0, 4) as total, n + 1 as n from s "
+    "where (learner_id, version) in (select learner_id, max(version) from s group by learner_id)"
+)
+def snapshot_restore(spark, sf_dir):
+    """The newest stored state of each learner as typed columns, and one more observation on it."""
+    state = learners.restore(_snapshots(spark, sf_dir), "total double, n bigint")
+    return state.select(
+        "learner_id", "version", F.round(F.col("total") + 1, 4).alias("total"), (F.col("n") + 1).alias("n")
+    )

@@ -166,6 +166,21 @@ def score_by_zip(spark, sf_dir):
     )
 
 
+@query(
+    f"""with u as ({bindings.UNDERWRITING}), s as (select jurisdiction, product_line, premium * (coverage / 1e6) + coverage / 1e6 as score from u)
+select jurisdiction, product_line, count(*) as n, round(avg(score), 4) as mean_score, round(median(score), 4) as median_score,
+  round(max(score), 4) as max_score, count(*) filter (score > 9e-1) as n_outliers from s group by jurisdiction, product_line"""
+)
+def exposure_by_line(spark, sf_dir):
+    """The same statistics of a continuous score, of which nearly every value occurs once."""
+    exposure = F.col("premium") * (F.col("coverage") / 1e6) + F.col("coverage") / 1e6
+    stats = analytics.score_statistics(
+        bindings.underwriting(spark, sf_dir), ["jurisdiction", "product_line"], exposure
+    )
+    rounded = [F.round(c, 4).alias(c) for c in ("mean_score", "median_score", "max_score")]
+    return stats.select("jurisdiction", "product_line", "n", *rounded, "n_outliers")
+
+
 def _releases():
     adm = adm_joint(0.9)
     return {

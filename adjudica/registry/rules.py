@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from adjudica.operators import rules
+from adjudica.operators import analytics, decisions, monoids, rules
 from adjudica.registry import query, r6
 from adjudica.sources import bindings
 
@@ -160,3 +160,58 @@ def rules_on_missing_values(spark, sf_dir):
     return spark.sql(WITH_GAPS).select(
         "proposal_id", *[r.fired().alias(n) for n, r in fired.items()], r6(F.least(risk, F.lit(1e9))).alias("risk")
     )
+
+
+# What each rule says and carries. In the text, "#" stands for the number in the context.
+_PROTECTED = "list_filter(rating_factors, lambda f: f in ('race', 'color', 'religion', 'national_origin', 'sex', 'disability', 'genetic_information'))"
+_UNAPPROVED = "list_filter(rating_factors, lambda f: f not in ('driving_record', 'miles_driven', 'years_driving_experience'))"
+_SAYS = {
+    "federal_protected_class": (
+        "federal/protected_class", f"concat('rating factors prohibited under federal law: ', to_json({_PROTECTED}))", f"array_to_string({_PROTECTED}, ', ')", "0e0"),
+    "federal_aca_min_loss_ratio": (
+        "federal/aca_min_loss_ratio", "'ACA: health loss ratio # below 0.80 floor'", "''", "expected_claim / premium"),
+    "ca_prop_103": (
+        "ca/prop_103", f"concat('Prop 103: rating factors not in approved auto set: ', to_json({_UNAPPROVED}))", f"array_to_string({_UNAPPROVED}, ', ')", "0e0"),
+    "ca_min_auto_liability": (
+        "ca/min_auto_liability", "'California auto liability minimum is 15,000'", "''", "coverage"),
+    "ny_min_auto_liability": (
+        "ny/min_auto_liability", "'New York auto liability minimum is 25,000'", "''", "coverage"),
+    "guardrail_consent": ("guardrail/consent", "'insured consent for data use is required'", "''", "0e0"),
+    "guardrail_rate_stability": (
+        "guardrail/rate_stability", "'year-over-year premium change # exceeds cap 0.25'", "''", "abs(premium - prior_premium) / prior_premium"),
+    "guardrail_explainability": (
+        "guardrail/explainability", "'model explainability # below floor 0.6'", "''", "explainability_score"),
+    "guardrail_reinsurance_cession": (
+        "guardrail/reinsurance_cession", "'coverage # exceeds 100000.0; cession # below required 0.5'", "''", "coverage + cession"),
+    "positive_premium": ("positive_premium", "'premium must be > 0'", "''", "premium"),
+    "max_loss_ratio": ("max_loss_ratio", "'loss ratio # exceeds cap 0.85'", "''", "expected_claim / premium"),
+    "coverage_cap": ("coverage_cap", "'coverage exceeds 10.0x premium'", "''", "coverage + premium"),
+}
+_SAID = " union all ".join(
+    f"select proposal_id, '{name}' as rule_name, {text} as message, {factors} as factors, round({numbers}, 4) as numbers "
+    f"from s where coalesce({UNDERWRITING_FIRES[key][1]}, false)"
+    for key, (name, text, factors, numbers) in _SAYS.items()
+)
+
+
+@query(f"with s as ({bindings.UNDERWRITING}) {_SAID}")
+def rule_messages(spark, sf_dir):
+    """Message and context of every violation of all underwriting rules."""
+    system = [build() for build, _ in UNDERWRITING_FIRES.values()]
+    df = bindings.underwriting(spark, sf_dir)
+    payload = decisions.evaluate(system, monoids.VIOLATIONS)
+    facts = analytics.violation_facts(df.withColumn("payload", payload), "proposal_id", "payload")
+    values = F.map_values("context")
+    spaced = F.aggregate(
+        values,
+        F.concat(F.lit(" "), F.col("message"), F.lit(" ")),
+        lambda text, v: F.replace(text, F.concat(F.lit(" "), v, F.lit(" ")), F.lit(" # ")),
+    )
+    numbers = F.aggregate(values, F.lit(0.0), lambda total, v: total + F.coalesce(v.try_cast("double"), F.lit(0.0)))
+    return facts.select(
+        "proposal_id",
+        "rule_name",
+        F.trim(spaced).alias("message"),
+        F.coalesce(F.try_element_at("context", F.lit("factors")), F.lit("")).alias("factors"),
+        F.round(numbers, 4).alias("numbers"),
+    )

@@ -14,9 +14,21 @@ def con(sf_dir):
     return verify.warehouse(sf_dir)
 
 
+def _sound(name):
+    """No plan has a nested-loop or cartesian join; Python runs only where callables are judged."""
+
+    def inspect(frame):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+        assert ("ArrowEvalPython" in plan) == name.startswith("validator"), name
+        assert "BatchEvalPython" not in plan, name
+
+    return inspect
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_check(spark, con, sf_dir, name):
-    status, note = verify.compare(spark, con, name, sf_dir)
+    status, note = verify.compare(spark, con, name, sf_dir, _sound(name))
     # A filter may leave nothing of tables this small; the larger run of verify.py does not.
     assert status in ("same", "EMPTY"), note
 
@@ -30,14 +42,3 @@ def test_entry(spark):
     frame = entry_points.entry(spark)
     assert frame.columns == ["rule_name", "n"]
     assert frame.count() > 0
-
-
-def test_no_query_multiplies_rows_blindly(spark, sf_dir):
-    """No plan has a nested-loop or cartesian join; Python runs only where callables are judged."""
-    for name, run in registry.QUERIES.items():
-        if name.startswith(("stream_", "erasure", "erase", "sgd", "linear", "composed")):
-            continue  # covered below or by their own tests; they run jobs when built
-        plan = run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-        assert "NestedLoop" not in plan and "Cartesian" not in plan, name
-        assert ("ArrowEvalPython" in plan) == name.startswith("validator"), name
-        assert "BatchEvalPython" not in plan, name
