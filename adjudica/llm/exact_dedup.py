@@ -17,7 +17,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adjudica.llm import membership
+from adjudica.llm import membership, rows
 from adjudica.sources.scratch import materialise
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -67,7 +67,7 @@ def exact_groups(
         F.struct(F.lit(0).alias("__none"), *[c.alias(n) for n, c in carry.items()]).alias("__carry"),
     )
     tested = membership.flagged(keyed, F.col("__key"), bitmap, "__survives")
-    rows = materialise(
+    read = materialise(
         tested.select(
             F.monotonically_increasing_id().alias("__row"),
             F.col("__id").alias("doc_id"),
@@ -76,14 +76,14 @@ def exact_groups(
         ),
         "exact-rows",
     )
-    alone = rows.where("__full is null").select(
+    alone = read.where("__full is null").select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
         *carry,
     )
-    survivors = rows.where("__full is not null")
+    survivors = read.where("__full is not null")
     # The largest struct: ids that are NULL come first in its order, so they lose to any other.
     groups = survivors.groupBy("__full").agg(
         F.max(F.struct("doc_id", "__row")).alias("__last"), F.count("*").alias("group_size")
@@ -100,13 +100,10 @@ def exact_groups(
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns, by the rules of ``exact_groups``."""
-    numbered = materialise(
-        docs.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("__doc")),
-        "exact-numbered",
-    )
+    numbered = rows.keyed(docs)
     texts = numbered.select(
-        "__row", F.col(f"__doc.{doc_id}").alias("__id"), F.col(f"__doc.{text}").alias("__text")
+        rows.ROW, F.col(f"{rows.DOC}.{doc_id}").alias("__id"), F.col(f"{rows.DOC}.{text}").alias("__text")
     )
-    groups = exact_groups(texts, "__id", "__text", {"row": F.col("__row")})
-    dropped = groups.where("not kept").select(F.col("row").alias("__row"))
-    return membership.anti_join(numbered, "__row", dropped).select("__doc.*")
+    groups = exact_groups(texts, "__id", "__text", {"row": F.col(rows.ROW)})
+    dropped = groups.where("not kept").select(F.col("row").alias(rows.ROW))
+    return membership.anti_join(numbered, rows.ROW, dropped).select(f"{rows.DOC}.*")

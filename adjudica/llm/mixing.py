@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from adjudica.llm import rows
 from adjudica.sources.scratch import materialise
 
 #: What counts as a word: a run of anything but ASCII white space.
@@ -49,7 +50,7 @@ def source_targets(
     in_turn = everything.orderBy(F.col("source").asc_nulls_last())
     turn = F.array(*[F.lit(w) for w in weights])
     place = ((F.row_number().over(in_turn) - 1) % len(weights) + 1).cast("int")
-    rows = totals.withColumn("__weight", F.element_at(turn, place)).withColumn(
+    dealt = totals.withColumn("__weight", F.element_at(turn, place)).withColumn(
         "__cap", F.col("source_size") * ceiling
     )
     by_need = everything.orderBy(F.col("__cap") / F.col("__weight"), F.col("source").asc_nulls_last())
@@ -59,13 +60,13 @@ def source_targets(
     weight_left = F.sum("__weight").over(by_need.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     budget = F.sum("source_size").over(everything) * F.lit(share)
     level = (budget - full_before) / weight_left
-    rows = rows.withColumn("__level", level).withColumn(
+    dealt = dealt.withColumn("__level", level).withColumn(
         "__open", F.col("__level") * F.col("__weight") <= F.col("__cap")
     )
     # The first source that isn't full sets the level; after it the levels only fall.
     common = F.max(F.when(F.col("__open"), F.col("__level"))).over(everything)
     target = F.when(F.col("__open"), common * F.col("__weight")).otherwise(F.col("__cap")).cast("double")
-    return rows.select("source", "source_size", target.alias("target"))
+    return dealt.select("source", "source_size", target.alias("target"))
 
 
 def _offset(seed: str) -> Column:
@@ -94,10 +95,10 @@ def sample(
         "mix-sizes",
     )
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = sized.withColumn("__order", order).withColumn(
+    slotted = sized.withColumn("__order", order).withColumn(
         "__group", F.struct("source", "size", F.substring("__order", 1, 2).alias("slot"))
     )
-    groups = rows.groupBy("__group").agg(F.count("*").alias("n")).select("__group", "__group.*", "n")
+    groups = slotted.groupBy("__group").agg(F.count("*").alias("n")).select("__group", "__group.*", "n")
     within_size = Window.partitionBy("source", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     within_source = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast("long")
@@ -124,7 +125,7 @@ def sample(
         )
     )
     place = F.row_number().over(Window.partitionBy("__group").orderBy("__order", "doc_id"))
-    numbered = rows.withColumn("__place", place).join(starts, "__group")
+    numbered = slotted.withColumn("__place", place).join(starts, "__group")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
 
     def crossed(rank: Column) -> Column:
@@ -140,15 +141,14 @@ def sample(
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: rows of ``docs``, all columns, each as often as ``sample`` takes it."""
-    numbered = materialise(
-        docs.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("__doc")), "mix-numbered"
-    )
+    numbered = rows.keyed(docs)
     fields = numbered.select(
-        "__row",
-        F.col(f"__doc.{doc_id}").alias("__id"),
-        F.col(f"__doc.{text}").alias("__text"),
-        F.col(f"__doc.{source}").alias("__source"),
+        rows.ROW,
+        F.col(f"{rows.DOC}.{doc_id}").alias("__id"),
+        F.col(f"{rows.DOC}.{text}").alias("__text"),
+        F.col(f"{rows.DOC}.{source}").alias("__source"),
     )
-    taken = sample(fields, "__id", "__text", "__source", row="__row", **options).where("copies > 0")
+    taken = sample(fields, "__id", "__text", "__source", row=rows.ROW, **options).where("copies > 0")
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return numbered.join(taken.select("__row", "copies"), "__row").select("__doc", times.alias("__n")).select("__doc.*")
+    mixed = numbered.join(taken.select(rows.ROW, "copies"), rows.ROW).select(rows.DOC, times.alias("__n"))
+    return mixed.select(f"{rows.DOC}.*")
