@@ -284,15 +284,18 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     had, has = F.col("was_required").isNotNull(), F.col("is_required").isNotNull()
     was, now = F.col("was_required"), F.col("is_required")
 
-    def change(condition: Column, kind: str, text: str) -> Column:
-        return F.when(condition, F.struct(F.lit(kind).alias("kind"), F.lit(text).alias("change")))
+    def change(condition: Column, kind: str, text: str | Column) -> Column:
+        shown = F.lit(text) if isinstance(text, str) else text
+        return F.when(condition, F.struct(F.lit(kind).alias("kind"), shown.alias("change")))
+
+    retyped = F.concat(F.lit("type changed from "), "old_type", F.lit(" to "), "new_type")
 
     found = F.array_compact(
         F.array(
             change(~had & now, "breaking", "required field added"),
             change(~had & ~now, "additive", "optional field added"),
             change(~has, "breaking", "field removed"),
-            change(F.col("old_type") != F.col("new_type"), "breaking", "type changed"),
+            change(F.col("old_type") != F.col("new_type"), "breaking", retyped),
             change(was & ~now, "additive", "required to optional"),
             change(~was & now, "breaking", "optional to required"),
         )
@@ -305,6 +308,16 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return whole.unionByName(fields)
 
 
+def store_baseline(spark: SparkSession, path: str, models: dict[str, StructType]) -> None:
+    """Keep the contracts' snapshot for later comparisons; a snapshot at ``path`` is replaced."""
+    snapshot(spark, models).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def changes_since(spark: SparkSession, path: str, models: dict[str, StructType]) -> DataFrame:
+    """What has changed in the contracts since the baseline at ``path`` was stored."""
+    return diff(spark.read.schema(SNAPSHOT).parquet(path), snapshot(spark, models))
+
+
 def verdict(changes: DataFrame, acknowledged: bool = False) -> DataFrame:
     """One row: passed unless there is a breaking change nobody acknowledged."""
     counted = changes.agg(

@@ -153,7 +153,7 @@ d as (select model, cast(null as varchar) as field, 'additive' as kind, 'model a
  union all select model, field, 'breaking', 'required field added' from f where oreq is null and nreq
  union all select model, field, 'additive', 'optional field added' from f where oreq is null and not nreq
  union all select model, field, 'breaking', 'field removed' from f where nreq is null
- union all select model, field, 'breaking', 'type changed' from f where ot <> nt
+ union all select model, field, 'breaking', concat('type changed from ', ot, ' to ', nt) from f where ot <> nt
  union all select model, field, 'additive', 'required to optional' from f where oreq and not nreq
  union all select model, field, 'breaking', 'optional to required' from f where not oreq and nreq)
 """

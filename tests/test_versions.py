@@ -155,3 +155,16 @@ def test_snapshot_of_contracts(spark):
     assert rows["CanonicalProposal", "holder_kind"] == ("one of individual, entity", False)
     assert rows["Proposal", "erased"] == ("boolean", False)
     assert len(rows) == 3 + 8 + 2 + 2
+
+
+def test_changes_since_a_stored_baseline(spark, tmp_path):
+    path = f"file://{tmp_path}/baseline"
+    versions.store_baseline(spark, path, schemas.TRACKED_MODELS)
+    assert versions.changes_since(spark, path, schemas.TRACKED_MODELS).count() == 0
+    retyped = [
+        schemas.field(f.name, IntegerType()) if f.name == "premium" else f
+        for f in schemas.TRACKED_MODELS["CanonicalProposal"].fields
+    ]
+    now = {**schemas.TRACKED_MODELS, "CanonicalProposal": StructType(retyped)}
+    found = {(r["field"], r["change"]) for r in versions.changes_since(spark, path, now).collect()}
+    assert ("premium", "type changed from double to int") in found
