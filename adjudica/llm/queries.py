@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from adjudica.llm import chat, exact_dedup, hamming, language, line_dedup, mixing, near_dedup, packing, quality, token_counts
+from adjudica.llm import chat, cosine, exact_dedup, hamming, language, line_dedup, mixing, near_dedup, packing, quality, token_counts
 from adjudica.sources import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,6 +198,28 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.nearest(codes, codes.where("id % 100 = 0"))
 
 
+@_query(
+    """
+    with v as (
+      select distinct vec_id as id, [coalesce(embedding[j], 0)::double for j in range(1, 65)] as e
+      from embeddings where vec_id is not null and embedding is not null
+    ), near as (
+      select q.id as query_id, q.e as query, c.id, list_cosine_similarity(q.e, c.e) as similarity
+      from v q, v c where q.id % 100 = 0 and (q.id <> c.id or q.e <> c.e)
+    ), ranked as (
+      select *, row_number() over (partition by query_id, query order by similarity desc, id)::int as rank from near
+    )
+    select query_id, rank, id as neighbor_id, similarity from ranked where rank <= 10
+    """
+)
+def op6_topk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors nearest to every hundredth embedding by cosine similarity, among all."""
+    vectors = scratch.materialise(
+        cosine.dense(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "cosine-vectors"
+    )
+    return cosine.nearest(vectors, vectors.where("id % 100 = 0"))
+
+
 @_query()
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their bins."""
