@@ -1,6 +1,7 @@
 """Chat formatting: records of several layouts to canonical turns, and turns to one marked string.
 
-A record is JSON. The nested field paths that any layout knows are looked up in it, and the hash of
+A record is JSON, or a row of a table whose columns are the fields (``row_turns``, which takes texts of
+any length as they are). The nested field paths that any layout knows are looked up in it, and the hash of
 those present is the record's schema fingerprint. The fingerprint selects a declarative mapping,
 which says where roles and texts are. Fields that no layout knows do not count.
 
@@ -16,6 +17,8 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Characters of a string that the reader of JSON takes. ``try_parse_json`` stops at 20,000,000.
+LONGEST = 2**31 - 1
 #: A bracket that would start a control string.
 CONTROL = r"([<\[])(?=/?s>|/?INST\]|/?SYS\]|/?ROLE)"
 
@@ -123,12 +126,14 @@ def canonical_turns(
 ) -> DataFrame:
     """``keys``, layout, pos, role, text: one row per turn, by the mapping of the record's fingerprint.
 
-    A record that is no JSON or has a fingerprint of no layout gives one row with NULL layout, pos,
-    role and text, so none gets lost. NULL texts and roles are empty. An empty table gives an empty result.
+    A record that is no JSON, is above 128 MB as a variant, or has a fingerprint of no layout gives one
+    row with NULL layout, pos, role and text; ``format_turns`` stops at such a row, so none gets lost.
+    NULL texts and roles are empty. An empty table gives an empty result.
     """
-    parsed = records.select(
-        *[F.col(k) for k in keys], F.try_parse_json(F.col(payload)).alias("__record")
-    ).withColumn("__print", fingerprint(F.col("__record"), layouts))
+    record = F.from_json(F.col(payload), "variant", {"maxStringLen": str(LONGEST)})
+    parsed = records.select(*[F.col(k) for k in keys], record.alias("__record")).withColumn(
+        "__print", fingerprint(F.col("__record"), layouts)
+    )
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for layout in layouts:
         fits = F.col("__print").isin([])
@@ -141,6 +146,27 @@ def canonical_turns(
     ).select(*keys, "layout", "pos", "__turn.role", "__turn.text")
 
 
+def row_turns(
+    rows: DataFrame, keys: tuple[str, ...] = (), layouts: tuple[Layout, ...] = LAYOUTS
+) -> DataFrame:
+    """The same as ``canonical_turns`` for a table that has a turn in each row.
+
+    The known fields among its columns other than ``keys`` select the layout, and roles and texts are
+    taken from the columns as they are. A table of no such layout is an error.
+    """
+    known = {p for p in known_paths(layouts) if "[]" not in p}
+    present = path_key([c for c in rows.columns if c in known and c not in keys])
+    fitting = [layout for layout in layouts if layout.row and present in layout.fingerprints()]
+    if not fitting:
+        raise ValueError(f"no layout of one turn a row has the columns {present}")
+    role, text = fitting[0].row
+    return rows.select(
+        *keys, F.lit(fitting[0].name).alias("layout"), F.lit(0).alias("pos"),
+        F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+    )
+
+
 def escaped(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), CONTROL, r"$1\\")
 
@@ -175,8 +201,13 @@ def format_turns(turns: DataFrame, conversation: str, order: tuple[str, ...]) ->
     turns of their own). ``spans`` has, for each turn, the code point where it starts in the
     string, where its text starts, how long its text is, and ``loss``: whether it is under the loss
     mask, as texts of the assistant are. NULL is a conversation like others. A conversation becomes
-    one value, so it must fit a task as such.
+    one value, so it must fit a task as such. Where ``turns`` has ``layout`` and ``pos``, a row without
+    either is a record that could not be read: it is an error, not a blank turn.
     """
+    if {"layout", "pos"} <= set(turns.columns):
+        unread = F.concat(F.lit("a record of no known layout in conversation "), F.coalesce(F.col(conversation).cast("string"), F.lit("NULL")))
+        stop = F.when(F.col("layout").isNull(), F.raise_error(unread).cast("string"))
+        turns = turns.withColumn("role", F.coalesce(stop, F.col("role")))
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     before, after = _marks(F.col("__role"))
     rendered = (

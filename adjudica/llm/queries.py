@@ -69,15 +69,12 @@ SEVEN = """{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"},
 )
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and its turns and loss text read back from the string."""
-    rows = _read(spark, sf_dir, "conversations").select(
-        "conv_id",
-        F.col("turn").cast("long").alias("turn"),
-        F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("payload"),
-    )
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     seven = spark.range(1).select(
         F.lit(-7).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit(SEVEN).alias("payload")
     )
-    turns = chat.canonical_turns(rows.unionByName(seven), keys=("conv_id", "turn"))
+    keys = ("conv_id", "turn")
+    turns = chat.row_turns(rows, keys).unionByName(chat.canonical_turns(seven, keys=keys))
     done = chat.format_turns(turns, "conv_id", ("turn", "pos"))
     read = done.select(
         "conv_id",

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -71,3 +72,37 @@ def test_edges(spark):
     rows = [(None, 1, "user", "a", "", 0), (2, None, "user", "b", "", 0), (2, None, "user", "b", "", 0), (2, 0, "user", "a", "", 0)]
     got = {r.conv: [t.text for t in r.turns] for r in read(spark, rows)}
     assert got == {None: ["a"], 2: ["b", "b", "a"]}
+
+
+LONG = 21_000_000
+
+
+def test_text_above_the_limit_of_json(spark, tmp_path):
+    """The registered query keeps a text that try_parse_json gives up, and JSON records of that length are read."""
+    from adjudica.llm import queries
+
+    rows = spark.createDataFrame([(1, 0, "user", "Hi"), (1, 1, "assistant", "")], "conv_id bigint, turn int, role string, text string")
+    long = F.when(F.col("turn") == 1, F.repeat(F.lit("x"), LONG)).otherwise(F.col("text"))
+    rows.withColumn("text", long).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in queries.op2_chat_format(spark, str(tmp_path)).collect()}
+    assert (got[1].n_turns, got[1].loss_chars) == (2, LONG)
+    assert got[1].loss_sha256 == hashlib.sha256(b"x" * LONG).hexdigest()
+
+    record = spark.range(1).select(F.to_json(F.struct(F.lit("user").alias("role"), F.repeat(F.lit("x"), LONG).alias("text"))).alias("payload"))
+    assert chat.canonical_turns(record).select("layout", F.length("text")).collect() == [("turn", LONG)]
+
+
+def test_unread_records_stop_formatting(spark):
+    records = spark.createDataFrame([(1, '{"role": "user", "text": "a"}'), (2, '{"something": 1}')], "conv int, payload string")
+    turns = chat.canonical_turns(records, keys=("conv",))
+    with pytest.raises(Exception, match="no known layout in conversation 2"):
+        chat.format_turns(turns, "conv", ("pos",)).collect()
+    read = chat.format_turns(turns.where("layout is not null"), "conv", ("pos",))
+    assert [r.formatted for r in read.collect()] == ["<s>[INST] a [/INST]"]
+
+
+def test_row_turns(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "user", "a")], "k int, role string, text string")
+    assert sorted(map(tuple, chat.row_turns(df, ("k",)).collect())) == [(1, "turn", 0, "", ""), (2, "turn", 0, "user", "a")]
+    with pytest.raises(ValueError, match="no layout"):
+        chat.row_turns(df.drop("text"), ("k",))
