@@ -1,7 +1,8 @@
 """Near-duplicate classes: ProbMinHash sketches, banding, exact verification, components.
 
-1. Every text gives a sketch of its five-word shingles, weighted by 1 + ln(count), and keys of its
-   bands. Texts with the same set of shingles become one node.
+1. Every text gives a sketch of its set of five-word shingles, and keys of its bands; a text that
+   repeats a shingle gives those of a second sketch too, weighted by 1 + ln(count). Texts with the
+   same set of shingles become one node, which has the bands of all of them.
 2. Nodes that share a band key are candidates. No bucket is expanded to all its pairs: each node is
    first paired with its bucket's smallest node.
 3. Candidate pairs are verified by the exact Jaccard similarity of their sets of shingles. Only
@@ -13,7 +14,8 @@
    component need no test, as they change nothing. So the classes are the same as if all pairs of
    all buckets had been verified.
 
-Two texts at similarity s share a band with probability 1 - (1 - s^rows)^bands: 0.99995 at 0.8.
+Two texts whose sets have similarity s share a band of the first sketch with probability
+1 - (1 - s^rows)^bands, 0.99995 at 0.8, however often either repeats its shingles.
 """
 
 from __future__ import annotations
@@ -44,10 +46,17 @@ def _text_key(text: str) -> Column:
 
 def _sketched(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, digests, keys = [], [], []
+        sizes, digests, keys, more, n_more = [], [], [], [], []
         for _, texts in textbatch.slices(batch.column("text")):
             owner, ids, counts = shingles.distinct_shingles(texts)
-            sketches = shingles.prob_min_hash(len(texts), owner, ids, 1 + np.log(counts), bands * rows)
+            sketches = shingles.prob_min_hash(len(texts), owner, ids, np.ones(len(ids)), bands * rows)
+            repeats = np.bincount(owner, counts > 1, len(texts)) > 0
+            some, number = repeats[owner], np.cumsum(repeats) - 1
+            weighted = shingles.prob_min_hash(
+                int(repeats.sum()), number[owner[some]], ids[some], 1 + np.log(counts[some]), bands * rows
+            )
+            more.append(shingles.band_keys(weighted, bands))
+            n_more.append(repeats * bands)
             sizes.append(np.bincount(owner, minlength=len(texts)))
             digests.append(shingles.set_digests(len(texts), owner, ids))
             keys.append(shingles.band_keys(sketches, bands))
@@ -55,6 +64,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Itera
             continue
         digest, flat = np.concatenate(digests), np.concatenate(keys)
         offsets = pa.array(np.arange(len(flat) + 1) * bands, pa.int32())
+        more_offsets = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(n_more)))), pa.int32())
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("row"),
@@ -65,18 +75,20 @@ def _sketched(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Itera
                 pa.array(digest[:, 0]),
                 pa.array(digest[:, 1]),
                 pa.ListArray.from_arrays(offsets, pa.array(flat.reshape(-1))),
+                pa.ListArray.from_arrays(more_offsets, pa.array(np.concatenate(more).reshape(-1), pa.int64())),
             ],
-            names=["row", "id", "k1", "k2", "n", "s1", "s2", "bands"],
+            names=["row", "id", "k1", "k2", "n", "s1", "s2", "bands", "more"],
         )
 
 
 def sketches(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """row, id, text key, n (distinct shingles), set digest, band keys; from row, id, text."""
+    """row, id, text key, n (distinct shingles), set digest, band keys of the set (bands) and, where a
+    shingle repeats, of the counts (more); from row, id, text."""
     keyed = texts.select("row", "id", "text", _text_key("text").alias("k")).select("row", "id", "text", "k.*")
     schema = StructType([f for f in keyed.schema if f.name != "text"])
     for name in ("n", "s1", "s2"):
         schema = schema.add(name, LongType())
-    schema = schema.add("bands", ArrayType(LongType()))
+    schema = schema.add("bands", ArrayType(LongType())).add("more", ArrayType(LongType()))
     return keyed.mapInArrow(lambda batches: _sketched(batches, bands, rows), schema)
 
 
@@ -211,7 +223,9 @@ def near_classes(
         .select("__set", "__node.*", F.col("__set.n").alias("n")),
         "near-nodes",
     )
-    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
+    counted = stored.select(digest, F.explode("more").alias("band")).distinct()
+    counted = materialise(counted.join(nodes.select("__set", "node", "n"), "__set").select("node", "n", "band"), "near-bands")
+    banded = nodes.select("node", "n", F.explode("bands").alias("band")).unionByName(counted)
     first = materialise(_star_pairs(banded, similarity), "near-pairs")
     ends = first.select(F.explode(F.array("a", "b")).alias("node"))
     links = materialise(verified(first, _stored_sets(texts, nodes, ends), similarity), "near-links")

@@ -80,6 +80,20 @@ def test_large_group_and_many_strays(frame, prose):
     assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == sorted(plain_classes(rows))
 
 
+def test_one_text_repeats_a_passage(frame, prose):
+    """Counts do not keep texts apart whose sets are similar."""
+    rows = []
+    for pair in range(8):
+        words = prose(700 + pair, 104)
+        rows.append((2 * pair, " ".join(words)))
+        rows.append((2 * pair + 1, " ".join(words + words[:34] * 1000 + prose(800 + pair, 10))))
+    rows.append((99, rows[1][1] + " " + rows[1][1]))  # another count variant
+    got = nd.near_classes(frame(rows)).collect()
+    want = plain_classes(rows)
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in got) == sorted(want)
+    assert all(n > 1 for *_, n in want)
+
+
 def test_drop_near(frame, prose):
     words = prose(4, 200)
     text, other = " ".join(words), " ".join(prose(5, 200))
