@@ -25,8 +25,11 @@ def binary_codes(vectors: DataFrame, vec_id: str, embedding: str, bits: int = CO
     """id, code: bit j is the sign of the sum of the components j, j + bits, j + 2 * bits, ...
 
     Missing and NULL components count as 0; a bit is on when the sum is above 0. Rows without an id
-    or an embedding are left out. Rows that agree in id and code are one.
+    or an embedding are left out. Rows that agree in id and code are one. A code is one long, so it
+    has 64 bits at most.
     """
+    if bits > 64:
+        raise ValueError("a code has 64 bits at most")
     named = vectors.select(F.col(vec_id).alias("id"), F.col(embedding).cast("array<double>").alias("e"))
     named = named.where("id is not null and e is not null")
     longest = named.agg(F.max(F.size("e"))).first()[0] or 0
@@ -40,7 +43,7 @@ def binary_codes(vectors: DataFrame, vec_id: str, embedding: str, bits: int = CO
         return F.when(total > 0, 1).otherwise(0).cast("long")
 
     places = F.sequence(F.lit(0), F.lit(bits - 1))
-    code = F.aggregate(places, F.lit(0).cast("long"), lambda acc, j: acc * 2 + bit(j))
+    code = F.aggregate(places, F.lit(0).cast("long"), lambda acc, j: F.shiftleft(acc, 1).bitwiseOR(bit(j)))
     return named.select("id", code.alias("code")).distinct()
 
 

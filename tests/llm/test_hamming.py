@@ -39,3 +39,11 @@ def test_few_rows(spark):
     assert search(spark, rows, 5, 32) == [(0, 1, 1, 1)]
     assert search(spark, rows[:1], 5, 32) == []
     assert search(spark, rows[1:], 5, 32) == [] and search(spark, [], 5, 32) == []
+
+
+def test_codes_of_64_bits(spark):
+    """The first bit is the sign of the long: it overflows nothing and counts as others."""
+    rows = [(0, [1.0] * 64, 0, 0), (1, [-1.0] + [1.0] * 63, 0, 0), (2, [1.0] * 63 + [-1.0], 0, 0)]
+    assert sorted(search(spark, rows, 5, 64)) == sorted(plain([r[:2] for r in rows], 5, 64)) == [(0, 1, 1, 1), (0, 2, 2, 1)]
+    with pytest.raises(ValueError, match="64 bits"):
+        search(spark, rows, 5, 128)
