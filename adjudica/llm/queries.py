@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from adjudica.llm import chat, cosine, exact_dedup, hamming, language, line_dedup, mixing, near_dedup, packing, quality, token_counts
+from adjudica.llm import chat, cosine, exact_dedup, hamming, language, line_dedup, mixing, near_dedup, packing, quality, token_counts, trie
 from adjudica.sources import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,3 +257,81 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
     )
+
+
+#: CRC-32 of a decimal number in SQL: the table of the reversed polynomial, then one step per byte.
+_CRC_SQL = """
+    bits as (
+      select i, 0 as step, i::bigint as v from range(256) r(i)
+      union all
+      select i, step + 1, xor(v >> 1, (v & 1) * 3988292384) from bits where step < 8
+    ), crc_table as (
+      select list(v order by i) as steps from bits where step = 8
+    )
+"""
+
+
+@_query(
+    f"""
+    with recursive {_CRC_SQL}, t as (
+      select conv_id, row_number() over (
+               partition by conv_id
+               order by turn nulls first, md5(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))
+             ) as place,
+             md5(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as turn_id,
+             len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as words
+      from conversations where conv_id is not null
+    ), c as (
+      select conv_id,
+             xor(list_reduce(
+               list_prepend(4294967295::bigint, list_transform(range(1, length(conv_id::varchar) + 1),
+                                                               lambda i: ord(substr(conv_id::varchar, i, 1))::bigint)),
+               lambda crc, b: xor(crc >> 8, steps[(xor(crc, b) & 255) + 1])
+             ), 4294967295) % 4 as h
+      from (select distinct conv_id from t), crc_table
+    ), rebuilt as (
+      select c.conv_id, t.place, turn_id, words from c join t on t.conv_id = c.conv_id - c.conv_id % 20 and t.place <= h
+      union all
+      select c.conv_id, h + t.place, turn_id, words from c join t using (conv_id) where t.place > h
+    ), paths as (
+      select conv_id, list(turn_id order by place) filter (turn_id is not null) as path, list(words order by place) as words
+      from (select conv_id, place, turn_id, words from rebuilt
+            union all select conv_id, null, null, null from c where conv_id not in (select conv_id from rebuilt))
+      group by conv_id
+    ), members as (
+      select conv_id, coalesce(path, []) as path, unnest(range(0, coalesce(len(path), 0) + 1)) as depth,
+             coalesce(len(path), 0) as length, words
+      from paths
+    ), nodes as (
+      select depth, path[1:depth] as prefix, min(conv_id) as conv_id, count(*) as n_convs,
+             case when depth > 0 then any_value(words[depth]) else 0 end as last_words,
+             sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (length = depth), '')) as ends_sha256
+      from members group by depth, path[1:depth]
+    ), linked as (
+      select n.*, p.conv_id as parent_conv_id,
+             (select count(*) from nodes k where k.depth = n.depth + 1 and k.prefix[1:n.depth] = n.prefix) as n_children
+      from nodes n left join nodes p on p.depth = n.depth - 1 and p.prefix = n.prefix[1:n.depth - 1]
+    )
+    select n.conv_id, n.depth, n.parent_conv_id, n.n_convs, n.n_children,
+           count(*) filter (s.n_children = 0) as n_leaves,
+           sum((s.n_convs - 1) * s.last_words)::bigint as saved_tokens, n.ends_sha256
+    from linked n join linked s on s.depth >= n.depth and s.prefix[1:n.depth] = n.prefix
+    group by all
+    """
+)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt with the first turns of its group's first one."""
+    lists = scratch.materialise(trie.turn_lists(_read(spark, sf_dir, "conversations")), "turn-lists")
+    heads = lists.select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    shared = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    own = lists.select("*", (F.col("conv_id") - F.col("conv_id") % 20).alias("base"), shared.alias("h"))
+    rebuilt = own.join(heads, "base", "left").select(
+        "conv_id",
+        F.concat(
+            F.when(F.col("head").isNull(), F.array().cast(lists.schema["turns"].dataType)).otherwise(
+                F.slice("head", F.lit(1), F.col("h"))
+            ),
+            F.slice("turns", F.col("h") + 1, F.greatest(F.size("turns") - F.col("h"), F.lit(0))),
+        ).alias("turns"),
+    )
+    return trie.prefix_trie(rebuilt)
