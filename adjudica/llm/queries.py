@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from adjudica.llm import chat, cosine, exact_dedup, hamming, language, line_dedup, mixing, near_dedup, packing, quality, token_counts, trie
+from adjudica.llm import chat, cosine, exact_dedup, hamming, language, lexical, line_dedup, mixing, near_dedup, packing, quality, token_counts, trie
 from adjudica.sources import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,6 +259,49 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_TERMS_SQL = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    + r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+
+@_query(
+    f"""
+    with d as (
+      select doc_id, row_number() over () as row, {_TERMS_SQL} as terms from documents
+    ), t as (
+      select row, unnest(terms) as term from d
+    ), tf as (
+      select row, term, count(*) as tf from t group by row, term
+    ), n as (
+      select row, any_value(doc_id) as doc_id, any_value(len(terms))::bigint as n from d where len(terms) > 0 group by row
+    ), corpus as (
+      select count(*)::bigint as n_docs, sum(n)::bigint as length from n
+    ), m as (
+      select row, doc_id, 50 + ((50 * n * n_docs) // length)::bigint as m from n, corpus
+    ), df as (
+      select term, count(*) as df from tf group by term
+    ), i as (
+      select item_id, row_number() over () as item, {_TERMS_SQL} as terms from benchmark
+    ), q as (
+      select distinct item_id, item, unnest(terms) as term from i
+    ), w as (
+      select item_id, item, term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint as w
+      from q join df using (term), corpus
+    ), scored as (
+      select item_id, item, doc_id, row, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score
+      from w join tf using (term) join m using (row) group by all
+    )
+    select item_id, row_number() over (partition by item order by score desc, doc_id)::int as rank, doc_id, score
+    from scored where score > 0
+    qualify rank <= 50
+    """
+)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return lexical.rank(_read(spark, sf_dir, "benchmark"), _read(spark, sf_dir, "documents"), k=50)
+
+
 #: CRC-32 of a decimal number in SQL: the table of the reversed polynomial, then one step per byte.
 _CRC_SQL = """
     bits as (
