@@ -33,8 +33,10 @@ from adjudica.sources.scratch import materialise
 FILTER_BITS = 1 << 22
 #: Terms of a block of items, about.
 BLOCK_TERMS = 16_384
-ITEM_LEAF = 8
-DOC_LEAF = 64
+ITEM_LEAF = 1
+DOC_LEAF = 16
+#: Leaves of documents after which the items' bounds are taken anew; older ones are lower, never wrong.
+RENEW = 16
 AXES = 24
 #: One in so many documents sets the first bounds.
 SEED_SHARE = 32
@@ -116,7 +118,7 @@ def _filter_of(items: DataFrame) -> np.ndarray:
 def _halves(points: np.ndarray, leaf: int) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
     """An order of the points, and nodes (from, to, left child, right child) over it; -1: a leaf.
 
-    Nodes come before their children. A node is halved along its widest axis.
+    Nodes come before their children. A node is halved along the direction in which it is widest.
     """
     order, nodes, work = np.arange(len(points)), [], [(0, len(points), -1, 0)]
     while work:
@@ -127,8 +129,8 @@ def _halves(points: np.ndarray, leaf: int) -> tuple[np.ndarray, list[tuple[int,
             nodes[parent][2 + side] = here
         if hi - lo > leaf:
             part = points[order[lo:hi]]
-            axis = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
-            order[lo:hi] = order[lo:hi][np.argsort(part[:, axis], kind="stable")]
+            axis = np.linalg.eigh(np.cov(part.T))[1][:, -1]
+            order[lo:hi] = order[lo:hi][np.argsort(part @ axis, kind="stable")]
             middle = (lo + hi) // 2
             work += [(middle, hi, here, 1), (lo, middle, here, 0)]
     return order, [tuple(n) for n in nodes]
@@ -151,8 +153,11 @@ class Items:
         axes = _axes(self.terms) * self.weights[:, None]
         norm = np.maximum(np.sqrt(has @ (self.weights.astype(float) ** 2)), 1)[:, None]
         order, self.nodes = _halves((has @ axes) / norm, ITEM_LEAF)
-        self.numbers, self.has = numbers[order], has[order]
-        self.maxima = np.stack([self.has[lo:hi].max(axis=0) for lo, hi, _, _ in self.nodes])
+        self.numbers = numbers[order]
+        self.children = np.array([node[2:] for node in self.nodes])
+        # Terms are rows here, so that those of a document node are gathered in one go.
+        self.has = np.ascontiguousarray(has[order].T.astype(np.uint8))
+        self.maxima = np.stack([self.has[:, lo:hi].max(axis=1) for lo, hi, _, _ in self.nodes], axis=1)
 
     def node_bounds(self, theta: np.ndarray) -> np.ndarray:
         """The weakest k-th score of each node's items."""
@@ -203,14 +208,14 @@ class Documents:
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         return place[first], np.maximum.reduceat(value, first)
 
-    def scores(self, k: int, has: np.ndarray) -> np.ndarray:
-        """Scores of a leaf's documents (rows) for the items (columns) whose terms ``has`` tells."""
+    def scores(self, k: int, has: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Scores of a leaf's documents (rows) for the chosen items (columns of ``has``)."""
         lo, hi, _, _ = self.nodes[k]
         place = self.maxima[k][0]
         part = slice(self.offsets[lo], self.offsets[hi])
         dense = np.zeros((hi - lo, len(place)), float if self.exact else np.int64)
         dense[self.row[part] - lo, np.searchsorted(place, self.place[part])] = self.value[part]
-        return dense @ has[:, place].T.astype(dense.dtype)
+        return dense @ has[np.ix_(place, chosen)].astype(dense.dtype)
 
 
 class Best:
@@ -241,7 +246,7 @@ def search_batch(items: Items, docs: Documents, best: Best, null: np.ndarray, id
     """Walk both trees together; returns how many pairs of an item and a document were scored."""
     null, ids = null[docs.order], ids[docs.order]
     bounds = items.node_bounds(best.theta)
-    scored, work = 0, [(0, np.array([0]))]
+    scored, leaves_done, work = 0, 0, [(0, np.array([0]))]
     while work:
         node, open_ = work.pop()
         place, value = docs.maxima[node]
@@ -250,32 +255,34 @@ def search_batch(items: Items, docs: Documents, best: Best, null: np.ndarray, id
         lo, hi, left, right = docs.nodes[node]
         leaves: list[int] = []
         while True:
-            top = items.maxima[open_][:, place] @ value.astype(float)
+            top = value.astype(float) @ items.maxima[np.ix_(place, open_)].astype(float)
             # A little is added where floats may round.
             keep = (top * (1 if docs.exact else 1 + 1e-9) >= bounds[open_]) & (top > 0)
             open_ = open_[keep]
             if left >= 0 or not len(open_):
                 break
-            inner = [c for k in open_ for c in items.nodes[k][2:] if c >= 0]
-            leaves += [k for k in open_ if items.nodes[k][2] < 0]
-            if not inner:
+            leaves += open_[items.children[open_, 0] < 0].tolist()
+            open_ = items.children[open_[items.children[open_, 0] >= 0]].ravel()
+            if not len(open_):
                 break
-            open_ = np.array(inner)
         if left >= 0:
             if len(open_):
-                next_ = np.array([c for k in open_ for c in (items.nodes[k][2:] if items.nodes[k][2] >= 0 else (k,))])
+                ends = items.children[open_, 0] < 0
+                next_ = np.concatenate([open_[ends], items.children[open_[~ends]].ravel()])
                 work += [(left, next_), (right, next_)]
             continue
         if not leaves:
             continue
         chosen = np.concatenate([np.arange(*items.nodes[k][:2]) for k in leaves])
-        scores = docs.scores(node, items.has[chosen])
+        scores = docs.scores(node, items.has, chosen)
         scored += scores.size
         hits = (scores >= best.theta[chosen]) & (scores > 0)
         for column in np.flatnonzero(hits.any(axis=0)):
             at = np.flatnonzero(hits[:, column])
             best.add(chosen[column], scores[at, column].astype(np.int64), null[lo:hi][at], ids[lo:hi][at])
-        bounds = items.node_bounds(best.theta)
+        leaves_done += 1
+        if leaves_done % RENEW == 0:
+            bounds = items.node_bounds(best.theta)
     return scored
 
 
