@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from adjudica.llm import chat, cosine, exact_dedup, hamming, language, lexical, line_dedup, mixing, near_dedup, packing, quality, token_counts, trie
+from adjudica.llm import chat, cosine, exact_dedup, hamming, language, lexical, line_dedup, metric_join, mixing, near_dedup, packing, quality, token_counts, trie
 from adjudica.sources import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,6 +259,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query(
+    r"""
+    with recursive w as (
+      select doc_id, row_number() over () as row,
+             regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x20\x09-\x0D]+') as words
+      from documents
+    ), s as (
+      select distinct row, unnest(list_transform(range(1, greatest(len(words) - 4, 1) + 1),
+                                                 lambda i: array_to_string(words[i:i + 4], ' '))) as shingle
+      from w where len(words) > 0
+    ), n as (
+      select row, count(*) as n from s group by row
+    ), pairs as (
+      select a.row as a, b.row as b, count(*) as common
+      from s a join s b on a.shingle = b.shingle and a.row <> b.row group by all
+    ), links as (
+      select a, b from pairs join n x on x.row = a join n y on y.row = b where 100 * common >= 80 * (x.n + y.n - common)
+    ), reached as (
+      select row as a, row as b from w union select r.a, l.b from reached r join links l on l.a = r.b
+    )
+    select w.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(o.doc_id) as component_id
+    from w left join n using (row) join reached r on r.a = w.row join w o on o.row = r.b
+    group by w.row, w.doc_id
+    """
+)
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the number of its shingles and its component of linked documents."""
+    return metric_join.linked_classes(_read(spark, sf_dir, "documents"))
+
+
 _TERMS_SQL = (
     "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     + r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
@@ -322,7 +353,7 @@ _CRC_SQL = """
                order by turn nulls first, md5(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))
              ) as place,
              md5(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as turn_id,
-             len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as words
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as words
       from conversations where conv_id is not null
     ), c as (
       select conv_id,
