@@ -12,7 +12,7 @@ A slice of texts is one matrix product: counts of its distinct trigrams times th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -64,7 +64,7 @@ def text_vectors(texts: list[str], dimensions: int) -> np.ndarray:
     first, rest = np.divmod(distinct, len(alphabet) ** 2)
     second, third = np.divmod(rest, len(alphabet))
     rotated_two, rotated_one = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
-    step = 8192  # distinct trigrams a product takes: bounds memory where an alphabet is large
+    step = 2048  # distinct trigrams a product takes: bounds memory where an alphabet is large
     for at in range(0, len(distinct), step):
         part = slice(at, at + step)
         bound = rotated_two[first[part]] * rotated_one[second[part]] * base[third[part]]
@@ -176,19 +176,32 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], doc_id: str = "
     return found.withColumnRenamed("id", "doc_id")
 
 
-def _known(batches: Iterator[pa.RecordBatch], names: list[str], prototypes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pair = pa.RecordBatch.from_arrays([batch.column("text"), batch.column("text")], names=["id", "text"])
-        found = next(_predictions(iter([pair]), names, prototypes)).column("lang_pred").to_pylist()
-        yield batch.select(["doc"]).filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
+def _named(texts: Iterator[pa.Array], names: list[str], prototypes: np.ndarray) -> Iterator[pa.Array]:
+    for column in texts:
+        batch = pa.RecordBatch.from_arrays([pa.nulls(len(column)), column], names=["id", "text"])
+        yield next(_predictions(iter([batch]), names, prototypes)).column("lang_pred")
+
 
+def keep_identified(
+    docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", lang: str = "lang",
+    wanted: Collection[str] | None = None,
+) -> DataFrame:
+    """The rows of ``docs`` that get a language, with all their columns; the language found is in ``lang``.
 
-def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that get a language, with all their columns: those with ``und`` go."""
+    Rows with ``und`` go, and with ``wanted`` those of other languages too. Where ``docs`` has no
+    column ``lang``, none is added. Only texts go to Python workers; the other columns wait in the JVM.
+    """
     names = sorted(prototypes)
     if not names:
         return docs.limit(0)
     matrix = np.stack([prototypes[n] for n in names]).astype(np.float32)
-    packed = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"))
-    kept = packed.mapInArrow(lambda batches: _known(batches, names, matrix), StructType([packed.schema["doc"]]))
-    return kept.select("doc.*")
+
+    @F.arrow_udf("string")
+    def name(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _named(texts, names, matrix)
+
+    found = docs.withColumn("__found", name(F.col(text)))
+    kept = found.where(F.col("__found") != UNKNOWN)
+    if wanted is not None:
+        kept = kept.where(F.col("__found").isin(*wanted)) if wanted else kept.limit(0)
+    return kept.select(*[F.col("__found").alias(lang) if c == lang else F.col(f"`{c}`") for c in docs.columns])

@@ -13,7 +13,7 @@ from adjudica.sources.scratch import materialise
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that get a language; those without any letter go.
+    """Documents that get a language, which is then their ``lang``; those without any letter go.
 
     Profiles are learned from the labelled documents themselves. Where none has a label, no document
     can get a language, and none is left.

@@ -36,6 +36,9 @@ def test_edges(frame, prototypes):
     kept = language.keep_identified(frame(rows), prototypes)
     assert kept.columns == frame(rows).columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["4", "5", "5", "None"]
+    assert {r.lang for r in kept.collect() if r.doc_id == 4} == {"ee"}
+    assert [r.doc_id for r in language.keep_identified(frame(rows), prototypes, wanted=["ee"]).where("doc_id = 4").collect()] == [4]
+    assert language.keep_identified(frame(rows), prototypes, wanted=[]).count() == 0
     assert language.identify(frame([]), prototypes).count() == 0
 
 

@@ -1,5 +1,8 @@
 """The registered queries of this folder: those with a check in SQL against it, the others by their contract."""
 
+import os
+import subprocess
+import sys
 import zlib
 
 import pytest
@@ -25,6 +28,16 @@ def test_all_are_registered():
     assert {*queries.QUERIES, "pipeline"} <= set(entry_points.queries())
 
 
+def test_other_queries_survive_a_missing_package():
+    code = """
+import sys
+sys.modules["public_tokenizers"] = None
+import __spark_entry__ as e
+assert len(e.queries()) > 100 and not any(q.startswith("op") or q == "pipeline" for q in e.queries())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry_points.__file__))
+
+
 @pytest.mark.parametrize("name", ["op2_chat_format", "op4_mixing", "op5_exact_dedup", "op6_topk_search"])
 def test_native_plans(spark, sf_dir, name):
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
