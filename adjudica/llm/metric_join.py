@@ -10,7 +10,8 @@ other regions a text must also visit so that no link is lost. Texts with the sam
    own; in a fixed order of all shingles the first is its home. Its window: of two texts within r
    each has one of the first n - ceil(0.8 n) + 1 of its shingles in common with the other, so it
    visits just these regions. Regions of one node are left at once.
-2. Regions of up to LEAF nodes give pairs. The first shingles of both texts up to a common bound are
+2. Which regions several nodes visit, and which more than LEAF, is counted in tasks and kept as two
+   bitmaps of fixed size. Regions of up to LEAF nodes give pairs. The first shingles of both texts up to a common bound are
    all known, and each that only one of them has counts towards their difference. Pairs whose
    difference is then too large already are dropped, the others are compared as whole sets.
 3. Wider regions are joined again, with their nodes alone: shingles that are frequent among these
@@ -41,14 +42,17 @@ from adjudica.sources.scratch import materialise
 #: Links need this share of the union in common, in hundredths.
 PERCENT = 80
 #: Nodes of a region whose pairs are taken as they are.
-LEAF = 16
+LEAF = 64
 #: A shingle is frequent in a batch when so many of its nodes have it.
 FREQUENT = 8
 #: Texts taken as pivots of a wide region.
 PIVOTS = 2
 #: Times that wide regions are cut by texts.
 CUTS = 2
-FILTER_BITS = 1 << 25
+#: Bits of the filters over regions, as a power of 2.
+FILTER_LOG = 25
+#: Visits of regions that one task brings together, about.
+PART_VISITS = 2_000_000
 _BLANK = np.zeros(128, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -132,66 +136,162 @@ def _set_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(texts: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, ids: the sets of the wanted nodes, each text read from one of its rows."""
-    keys = rows.join(wanted.distinct(), "node").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("__key"))
+def _sets(texts: DataFrame, rows: DataFrame, wanted: DataFrame, near: str | None = None) -> DataFrame:
+    """node, ids: the sets of the wanted nodes, each text read from one of its rows; stored by ``near``."""
+    carried = [near] if near else []
+    keys = rows.join(wanted.distinct(), "node").groupBy("node", *carried).agg(F.min(F.struct("k1", "k2")).alias("__key"))
     keys = materialise(keys, "join-wanted")
     keyed = texts.select(_text_key("text").alias("__key"), "text")
-    near = membership.flagged(keyed, F.col("__key"), membership.bitmap_of(keys, F.col("__key")), "__on").where("__on")
-    single = near.groupBy("__key").agg(F.first("text").alias("text"))
-    found = single.join(keys, "__key").select("node", "text").mapInArrow(_set_lists, "node bigint, ids array<bigint>")
-    return materialise(found, "join-sets")
+    on = membership.flagged(keyed, F.col("__key"), membership.bitmap_of(keys, F.col("__key")), "__on").where("__on")
+    single = on.groupBy("__key").agg(F.first("text").alias("text")).join(keys, "__key").select("node", "text", *carried)
+    single = single.repartitionByRange(near, "node") if near else single
+    return materialise(single.select("node", "text").mapInArrow(_set_lists, "node bigint, ids array<bigint>"), "join-sets")
 
 
 def _places(keys: np.ndarray) -> np.ndarray:
-    return (textbatch.mixed(keys.view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return (textbatch.mixed(keys.view(np.uint64)) >> np.uint64(64 - FILTER_LOG)).astype(np.int64)
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_places(batch.column("home").to_numpy()) + 1)], names=["place"])
+def _on(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = _places(keys)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def _bits(keys: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits over the keys (home): 4 MB, whatever their number."""
-    parts = (
-        keys.select("home").mapInArrow(_marked, "place bigint")
-        .groupBy(F.bitmap_bucket_number("place").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-        .collect()
-    )
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for part in parts:
-        bits = np.frombuffer(bytes(part["bits"]), np.uint8)
-        out[(part["bucket"] - 1) * len(bits) : part["bucket"] * len(bits)] = bits
-    return out
+def _blobs(places: np.ndarray, parts: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The columns, cut by stretches of places, as rows (part, bytes of each column)."""
+    part = (places * parts) >> FILTER_LOG
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    cut = [c[order] for c in columns]
+    filled = np.flatnonzero(np.diff(bounds))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(filled.astype(np.int32)),
+            *[pa.array([c[bounds[k] : bounds[k + 1]].tobytes() for k in filled], pa.binary()) for c in cut],
+        ],
+        names=["part", *[f"c{i}" for i in range(len(cut))]],
+    )
 
 
-def _on(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = _places(keys)
-    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+def _joined(table: pa.Table, types: list) -> list[np.ndarray]:
+    return [
+        np.concatenate([np.frombuffer(x, kind) for x in table.column(f"c{i}").to_pylist()])
+        for i, kind in enumerate(types)
+    ]
+
+
+def _homes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lists = batch.column("homes")
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    return lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(offsets)), offsets
+
+
+def _tallied(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """How many different nodes of a batch visit each region."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, owner, _ = _homes(batch)
+        node = batch.column("node").to_numpy()[owner]
+        order = np.lexsort((node, keys))
+        keys, node = keys[order], node[order]
+        fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])))[: len(keys)]
+        keys, counts = np.unique(keys[fresh], return_counts=True)
+        if len(keys):
+            yield from _blobs(_places(keys), parts, [keys, counts.astype(np.int64)])
+
+
+def _tally_bits(table: pa.Table, parts: int, leaf: int) -> pa.Table:
+    """One part of two bitmaps: of the regions that several nodes visit, and of those of more than ``leaf``."""
+    keys, counts = _joined(table, [np.int64, np.int64])
+    keys, which = np.unique(keys, return_inverse=True)
+    total = np.bincount(which, counts, len(keys))
+    part = table.column("part")[0].as_py()
+    lo, hi = -(-(part << FILTER_LOG) // parts), -(-((part + 1) << FILTER_LOG) // parts)
+    rows = []
+    for least in (2, leaf + 1):
+        bits = np.zeros(hi - lo, bool)
+        bits[_places(keys[total >= least]) - lo] = True
+        rows.append(np.packbits(bits, bitorder="little").tobytes())
+    return pa.table({"lo": [lo], "n": [hi - lo], "several": [rows[0]], "wide": [rows[1]]}, schema=_BITS)
+
+
+_BITS = pa.schema([("lo", pa.int64()), ("n", pa.int64()), ("several", pa.binary()), ("wide", pa.binary())])
+
+
+def _bitmaps(visiting: DataFrame, parts: int, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both bitmaps, of 4 MB each, whatever the number of regions."""
+    tallied = visiting.select("node", "homes").mapInArrow(
+        lambda batches: _tallied(batches, parts), "part int, c0 binary, c1 binary"
+    )
+    found = tallied.groupBy("part").applyInArrow(
+        lambda table: _tally_bits(table, parts, leaf), "lo bigint, n bigint, several binary, wide binary"
+    )
+    several, wide = np.zeros(1 << FILTER_LOG, bool), np.zeros(1 << FILTER_LOG, bool)
+    for row in found.collect():
+        for out, name in ((several, "several"), (wide, "wide")):
+            part = np.unpackbits(np.frombuffer(bytes(row[name]), np.uint8), bitorder="little")
+            out[row["lo"] : row["lo"] + row["n"]] = part[: row["n"]]
+    return np.packbits(several, bitorder="little"), np.packbits(wide, bitorder="little")
 
 
-def _shared(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each region of a node that may hold others: its rank there and its last region."""
+def _narrow(batches: Iterator[pa.RecordBatch], several: np.ndarray, wide: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """For each visit of a region of few nodes: region, node, its size, rank, last and number of wide regions."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, owner, offsets = _homes(batch)
+        in_wide = _on(wide, keys)
+        n_wide = np.bincount(owner, in_wide, batch.num_rows).astype(np.int32)
+        at = np.flatnonzero(_on(several, keys) & ~in_wide)
+        if len(at):
+            own = owner[at]
+            columns = [
+                keys[at], batch.column("node").to_numpy()[own], batch.column("n").to_numpy()[own].astype(np.int64),
+                (at - offsets[own] + 1).astype(np.int32), keys[offsets[own + 1] - 1], n_wide[own],
+            ]
+            yield from _blobs(_places(keys[at]), parts, columns)
+
+
+def _wide(batches: Iterator[pa.RecordBatch], wide: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        lists = batch.column("homes")
-        keys, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        at = np.flatnonzero(_on(bits, keys))
+        keys, owner, _ = _homes(batch)
+        at = np.flatnonzero(_on(wide, keys))
         own = owner[at]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(keys[at]),
-                pa.array(batch.column("node").to_numpy()[own]),
-                pa.array(batch.column("n").to_numpy()[own]),
-                pa.array((at - offsets[own] + 1).astype(np.int64)),
-                pa.array(keys[offsets[own + 1] - 1]),
-            ],
-            names=["home", "node", "n", "rank", "last"],
-        )
+        columns = [keys[at], batch.column("node").to_numpy()[own], batch.column("n").to_numpy()[own]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["home", "node", "n"])
+
+
+def _small_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of the nodes that share a region, with the number of regions shared in this part."""
+    home, node, n, rank, last, wide = _joined(table, [np.int64, np.int64, np.int64, np.int32, np.int64, np.int32])
+    order = np.lexsort((node, home))
+    fresh = order[np.concatenate(([True], (home[order][1:] != home[order][:-1]) | (node[order][1:] != node[order][:-1])))]
+    home, node, n, rank, last, wide = (c[fresh] for c in (home, node, n, rank, last, wide))
+    left, right, step = [], [], 1
+    while True:  # rows of a region lie together, few of them
+        same = np.flatnonzero(home[step:] == home[:-step]) if step < len(home) else np.zeros(0, np.int64)
+        if not len(same):
+            break
+        x, y = n[same], n[same + step]
+        fit = 100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)
+        left.append(same[fit])
+        right.append(same[fit] + step)
+        step += 1
+    x, y = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
+    order = np.lexsort((rank[x], node[y], node[x]))
+    x, y = x[order], y[order]
+    final = np.flatnonzero(np.concatenate(((node[x][1:] != node[x][:-1]) | (node[y][1:] != node[y][:-1]), [True]))[: len(x)])
+    counts = np.diff(np.concatenate(([-1], final)))
+    x, y = x[final], y[final]  # the pair's last shared region of the part
+    columns = [node[x], node[y], counts, n[x], n[y], rank[x], rank[y], last[x], last[y], wide[x], wide[y]]
+    return pa.Table.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=_PAIR)
+
+
+_PAIR = ["a", "b", "common", "x_n", "y_n", "x_rank", "y_rank", "x_last", "y_last", "x_wide", "y_wide"]
 
 
 def _fits(n: Column, m: Column) -> Column:
@@ -203,38 +303,31 @@ def _few_differ(differ: Column, n: Column, m: Column) -> Column:
     return (100 + PERCENT) * differ <= (100 - PERCENT) * (n + m)
 
 
-def _regions(visiting: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _regions(visiting: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of small regions that may be linked, and rows (home, node, n) of wide regions."""
-    homes = visiting.select("node", F.explode("homes").alias("home"))
-    several = homes.groupBy("home").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    bits = _bits(several)
-    rows = visiting.select("node", "n", "homes").mapInArrow(
-        lambda batches: _shared(batches, bits), "home bigint, node bigint, n bigint, rank bigint, last bigint"
-    )
-    rows = materialise(rows.distinct(), "join-visits")
-    sizes = rows.groupBy("home").agg(F.count("*").alias("size")).where("size > 1")
-    sized = materialise(rows.join(sizes, "home"), "join-regions")
-    wide = sized.where(F.col("size") > LEAF)
-    in_wide = wide.groupBy("node").agg(F.count("*").alias("wide"))
-    small = sized.where(F.col("size") <= LEAF).join(in_wide, "node", "left").select(
-        "home", F.struct("node", "n", "rank", "last", F.coalesce("wide", F.lit(0)).alias("wide")).alias("x")
-    )
-    met = small.join(small.withColumnRenamed("x", "y"), "home").where(
-        (F.col("x.node") < F.col("y.node")) & _fits(F.col("x.n"), F.col("y.n"))
+    visits = visiting.agg(F.sum(F.size("homes"))).first()[0] or 0
+    parts = max(int(visiting.sparkSession.conf.get("spark.sql.shuffle.partitions")), visits // PART_VISITS)
+    several, wide = _bitmaps(visiting, parts, leaf)
+    blobs = visiting.select("node", "n", "homes").mapInArrow(
+        lambda batches: _narrow(batches, several, wide, parts),
+        "part int, " + ", ".join(f"c{i} binary" for i in range(6)),
     )
-    pairs = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
-        F.count("*").alias("common"),
-        *[F.max(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("n", "rank", "last", "wide")],
+    found = blobs.groupBy("part").applyInArrow(_small_pairs, ", ".join(f"{c} bigint" for c in _PAIR))
+    pairs = found.groupBy("a", "b").agg(
+        F.sum("common").alias("common"), *[F.max(c).alias(c) for c in _PAIR[3:]]
     )
-    # Up to the smaller of both last regions all shingles of both are known.
+    # Up to the smaller of both last regions all shingles of both are known. What they share in wide
+    # regions is not counted, so as much as possible is assumed.
     common = F.col("common") + F.least("x_wide", "y_wide")
-
-    visits = {side: F.expr(f"{side}_n - ({PERCENT} * {side}_n + 99) div 100 + 1") for side in "xy"}
-    known = F.when(F.col("x_last") <= F.col("y_last"), visits["x"] + F.col("y_rank")).otherwise(
-        visits["y"] + F.col("x_rank")
+    visits_of = {side: F.expr(f"{side}_n - ({PERCENT} * {side}_n + 99) div 100 + 1") for side in "xy"}
+    known = F.when(F.col("x_last") <= F.col("y_last"), visits_of["x"] + F.col("y_rank")).otherwise(
+        visits_of["y"] + F.col("x_rank")
     )
     near = pairs.where(_few_differ(known - 2 * common, F.col("x_n"), F.col("y_n"))).select("a", "b")
-    return materialise(near, "join-pairs"), wide.select("home", "node", "n")
+    rows = visiting.select("node", "n", "homes").mapInArrow(
+        lambda batches: _wide(batches, wide), "home bigint, node bigint, n bigint"
+    )
+    return materialise(near, "join-pairs"), materialise(rows.distinct(), "join-wide")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -251,10 +344,22 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, counts = np.unique(batch.column("ids").flatten().to_numpy(), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[counts >= FREQUENT])], names=["home"])
+        yield pa.RecordBatch.from_arrays([pa.array(_places(ids[counts >= least]) + 1)], names=["place"])
+
+
+def _bits(places: DataFrame) -> np.ndarray:
+    """A bitmap of 4 MB over places (from 1 on), whatever their number."""
+    parts = places.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    )
+    out = np.zeros((1 << FILTER_LOG) // 8, np.uint8)
+    for part in parts.collect():
+        bits = np.frombuffer(bytes(part["bits"]), np.uint8)
+        out[(part["bucket"] - 1) * len(bits) : part["bucket"] * len(bits)] = bits
+    return out
 
 
 def _reordered(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -319,7 +424,9 @@ def _last_pairs(cells: DataFrame) -> DataFrame:
     return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def linked_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def linked_classes(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leaf: int = LEAF, frequent: int = FREQUENT
+) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
     ``component_id`` is the smallest id of the texts that links lead to, the row's own included;
@@ -338,14 +445,12 @@ def linked_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     stored = materialise(described, "join-texts")
     rows = stored.where("n > 0").select("node", "k1", "k2")
 
-    pairs, wide = _regions(stored.where("size(homes) > 0"))
-    first = wide.groupBy("node").agg(F.min("home").alias("near"))
-    sets = _sets(texts, rows, first.select("node"))
+    pairs, wide = _regions(stored.where("size(homes) > 0"), leaf)
     # Nodes of a common region lie together, so that counts of a batch show what is frequent there.
-    together = first.join(sets, "node").repartitionByRange("near", "node").select("ids")
-    bits = _bits(together.mapInArrow(_frequent, "home bigint"))
+    sets = _sets(texts, rows, wide.groupBy("node").agg(F.min("home").alias("near")), "near")
+    bits = _bits(sets.select("ids").mapInArrow(lambda batches: _frequent(batches, frequent), "place bigint"))
     again = sets.mapInArrow(lambda batches: _reordered(batches, bits), "node bigint, n bigint, homes array<bigint>")
-    more, alike = _regions(materialise(again, "join-again"))
+    more, alike = _regions(materialise(again, "join-again"), leaf)
     pairs = pairs.unionByName(more).distinct()
     whole = _sets(texts, rows, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     links = materialise(_measured(pairs, whole).where("linked").select("a", "b"), "join-links")

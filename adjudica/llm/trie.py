@@ -193,7 +193,7 @@ def _digest_of_ends(conv: np.ndarray) -> str:
     return hashlib.sha256(",".join(map(str, conv.tolist())).encode()).hexdigest()
 
 
-def _shard_rows(shard: Shard, number: int) -> Iterator[dict]:
+def _shard_rows(shard: Shard, number: int, most: int) -> Iterator[dict]:
     """Rows of one shard: complete nodes, parts of nodes that may go on elsewhere, pieces, its ends."""
     paths = [shard.path(last=False), shard.path(last=True)]
     digest_of: list[dict[int, bytes]] = [{} for _ in shard.levels]
@@ -226,12 +226,12 @@ def _shard_rows(shard: Shard, number: int) -> Iterator[dict]:
                 yield row | {"kind": "node", "ends_sha256": done}
                 continue
             yield row | {"kind": "part"}
-            for piece in range(0, len(ended), PIECE):
-                ids = ",".join(map(str, ended[piece : piece + PIECE].tolist()))
-                yield {"kind": "piece", "digest": own, "shard": number, "piece": piece // PIECE, "ids": ids}
+            for piece in range(0, len(ended), most):
+                ids = ",".join(map(str, ended[piece : piece + most].tolist()))
+                yield {"kind": "piece", "digest": own, "shard": number, "piece": piece // most, "ids": ids}
 
 
-def _shard_tasks(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _shard_tasks(batches: Iterator[pa.RecordBatch], schema: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
     filled = [batch for batch in batches if batch.num_rows]
     if not filled:
         return
@@ -242,7 +242,7 @@ def _shard_tasks(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterat
     flat = ids.flatten().to_numpy().reshape(-1, 2)
     shard = Shard(conv, offsets - offsets[0], flat, words.flatten().to_numpy())
     held: list[dict] = []
-    for row in _shard_rows(shard, TaskContext.get().partitionId()):
+    for row in _shard_rows(shard, TaskContext.get().partitionId(), most):
         held.append(row)
         if len(held) == 10_000:
             yield pa.RecordBatch.from_pylist(held, schema)
@@ -297,7 +297,7 @@ def _counted_twice(edges: DataFrame) -> DataFrame:
     )
 
 
-def prefix_trie(lists: DataFrame) -> DataFrame:
+def prefix_trie(lists: DataFrame, piece: int = PIECE) -> DataFrame:
     """One row per node of the trie over (conv_id, turns) as ``turn_lists`` gives them.
 
     conv_id (the smallest member), depth, parent_conv_id (the parent's; NULL at the root), n_convs,
@@ -319,7 +319,7 @@ def prefix_trie(lists: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(empty.schema)
     ranged = paths.repartitionByRange(shards, "ids", "conv_id")
     # Written once: where the ranges lie is decided by a sample.
-    stored = materialise(ranged.mapInArrow(lambda b: _shard_tasks(b, arrow), empty.schema), "trie-shards")
+    stored = materialise(ranged.mapInArrow(lambda b: _shard_tasks(b, arrow, piece), empty.schema), "trie-shards")
 
     pieces = stored.where("kind = 'piece'").select("digest", "shard", "piece", "ids")
     pieces = pieces.repartition("digest").sortWithinPartitions("digest", "shard", "piece").select("digest", "ids")

@@ -47,7 +47,6 @@ def found(spark, items, docs, k, partitions=3):
 def test_equals_brute_force(spark, monkeypatch, k, block, share):
     monkeypatch.setattr(lexical, "BLOCK_TERMS", block)
     monkeypatch.setattr(lexical, "SEED_SHARE", share)
-    monkeypatch.setattr(lexical, "DOC_LEAF", 4)
     monkeypatch.setattr(lexical, "ITEM_LEAF", 3)
     draw = random.Random(k)
     themes = [[f"{t}{draw.choice('äÖxYz9')}{i}" for i in range(40)] for t in ("a", "B", "ß", "日")]

@@ -38,17 +38,15 @@ def brute(rows):
     return sorted(((doc, len(sets[i]), least.get(root(i))) for i, (doc, _) in enumerate(rows)), key=repr)
 
 
-def found(spark, rows, partitions=3):
+def found(spark, rows, partitions=3, **options):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
     frame = frame.select("*", *[F.lit(i).alias(c) for i, c in enumerate(["node", "n", "homes", "id", "home", "ids"])])
-    out = metric_join.linked_classes(frame)
+    out = metric_join.linked_classes(frame, **options)
     return sorted((tuple(r) for r in out.select("doc_id", "n_shingles", "component_id").collect()), key=repr)
 
 
-@pytest.mark.parametrize("seed,leaf", [(1, 16), (2, 2), (3, 1)])
-def test_equals_all_pairs(spark, monkeypatch, prose, seed, leaf):
-    monkeypatch.setattr(metric_join, "LEAF", leaf)
-    monkeypatch.setattr(metric_join, "FREQUENT", 3)
+@pytest.mark.parametrize("seed,leaf", [(1, 64), (2, 2), (3, 4)])
+def test_equals_all_pairs(spark, prose, seed, leaf):
     draw, words = random.Random(seed), prose(seed, 400)
     passage = prose(seed + 50, 60)
     rows = []
@@ -70,7 +68,7 @@ def test_equals_all_pairs(spark, monkeypatch, prose, seed, leaf):
         rows.append("\t".join(text).upper())
     rows = [(i, t) for i, t in enumerate(rows)]
     draw.shuffle(rows)
-    assert found(spark, rows) == brute(rows)
+    assert found(spark, rows, leaf=leaf, frequent=3) == brute(rows)
 
 
 def test_edges_of_words_nulls_repeats(spark):

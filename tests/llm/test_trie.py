@@ -84,8 +84,7 @@ def test_without_turns_and_without_conversations(spark):
     assert trie.prefix_trie(lists.limit(0)).count() == 0
 
 
-def test_the_list_of_a_large_node_is_put_together_from_pieces(spark, monkeypatch):
-    monkeypatch.setattr(trie, "PIECE", 3)
+def test_the_list_of_a_large_node_is_put_together_from_pieces(spark):
     conversations = {c: [("user", "same")] for c in range(50)}
     frame = spark.createDataFrame(rows_of(conversations), SCHEMA)
-    assert set(found(trie.prefix_trie(trie.turn_lists(frame)))) == brute(conversations)
+    assert set(found(trie.prefix_trie(trie.turn_lists(frame), piece=3))) == brute(conversations)
