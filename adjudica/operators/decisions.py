@@ -73,8 +73,8 @@ AnyDecision = Decision | Rule | Score
 
 
 def guarded(guard: ColumnBuilder, rule: Rule) -> Rule:
-    """The rule, asked only where ``guard`` holds."""
-    return replace(rule, fires=lambda: F.when(guard(), rule.fires()).otherwise(F.lit(False)))
+    """The rule, asked where ``guard`` holds or is unknown: what may apply is asked."""
+    return replace(rule, fires=lambda: F.when(F.coalesce(guard(), F.lit(True)), rule.fires()).otherwise(F.lit(False)))
 
 
 def for_jurisdiction(code: str, rule: Rule) -> Rule:

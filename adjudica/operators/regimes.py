@@ -59,6 +59,11 @@ def basic_governance() -> Regime:
     return Regime((rules.positive_premium(), rules.max_loss_ratio(0.85), rules.coverage_cap(10.0)))
 
 
+def stated_guards() -> Regime:
+    """What rules by place and line are chosen by has to be there."""
+    return Regime((rules.unknown_jurisdiction(), rules.unknown_product_line()))
+
+
 def risk_budget() -> Regime:
     return Regime(
         (
@@ -75,11 +80,11 @@ def joint() -> Regime:
 
 
 def california_regime() -> Regime:
-    return compose(federal(), california(), internal_underwriting(), basic_governance())
+    return compose(federal(), california(), internal_underwriting(), basic_governance(), stated_guards())
 
 
 def new_york_regime() -> Regime:
-    return compose(federal(), new_york(), internal_underwriting(), basic_governance())
+    return compose(federal(), new_york(), internal_underwriting(), basic_governance(), stated_guards())
 
 
 def proposal_joint(zip_weight: float = 0.5, age_weight: float = 0.3) -> Regime:

@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import (
+    ArrayType,
     BooleanType,
     DataType,
     DateType,
@@ -117,6 +118,8 @@ def check_field(f: StructField, source: StructType) -> Checked:
     error = F.when(raw.isNull(), none if optional else F.lit(f"{f.name}: missing")).when(
         value.isNull(), F.lit(f"{f.name}: not a {f.dataType.simpleString()}")
     )
+    if isinstance(f.dataType, ArrayType):
+        error = error.when(F.exists(value, lambda x: x.isNull()), F.lit(f"{f.name}: holds a missing value"))
     allowed = f.metadata.get("allowed")
     if allowed:
         error = error.when(~value.isin(*allowed), F.lit(f"{f.name}: not allowed"))

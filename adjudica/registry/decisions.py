@@ -162,7 +162,7 @@ def conjunction_law(spark, sf_dir):
 
 @query(
     f"with p as ({bindings.PROPOSALS}), {_JOINT_P} select proposal_id, concat('[', case when rules = '' then '[]' else "
-    """'[{"rule_name":"premium","message":"Negative premium","context":{}}]' end, ',', cast(score as varchar), ']') as payload_json from violations"""
+    """'[{"rule_name":"premium","message":"premium is not above zero","context":{}}]' end, ',', cast(score as varchar), ']') as payload_json from violations"""
 )
 def payload_json(spark, sf_dir):
     return joint_proposals(spark, sf_dir).select("proposal_id", "payload_json")
@@ -173,7 +173,7 @@ def payload_json(spark, sf_dir):
 
 def _premium(row):
     bad = row["premium"] <= 0
-    return ([{"rule_name": "premium", "message": "Negative premium"}] if bad else [], 0.0)
+    return ([{"rule_name": "premium", "message": "premium is not above zero"}] if bad else [], 0.0)
 
 
 def _zip(row):

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from adjudica.operators import analytics, decisions, monoids, rules
-from adjudica.registry import query, r6
+from adjudica.operators import analytics, decisions, monoids, regimes, rules
+from adjudica.plans import underwriting
+from adjudica.registry import names, query, r6
 from adjudica.sources import bindings
 
 UNDERWRITING_FIRES = {
@@ -167,25 +168,25 @@ _PROTECTED = "list_filter(rating_factors, lambda f: f in ('race', 'color', 'reli
 _UNAPPROVED = "list_filter(rating_factors, lambda f: f not in ('driving_record', 'miles_driven', 'years_driving_experience'))"
 _SAYS = {
     "federal_protected_class": (
-        "federal/protected_class", f"concat('rating factors prohibited under federal law: ', to_json({_PROTECTED}))", f"array_to_string({_PROTECTED}, ', ')", "0e0"),
+        "federal/protected_class", f"concat('factors that federal law bars from rating: ', to_json({_PROTECTED}))", f"array_to_string({_PROTECTED}, ', ')", "0e0"),
     "federal_aca_min_loss_ratio": (
-        "federal/aca_min_loss_ratio", "'ACA: health loss ratio # below 0.80 floor'", "''", "expected_claim / premium"),
+        "federal/aca_min_loss_ratio", "'health claims are too small a part of the premium, ratio # , floor 0.80'", "''", "expected_claim / premium"),
     "ca_prop_103": (
-        "ca/prop_103", f"concat('Prop 103: rating factors not in approved auto set: ', to_json({_UNAPPROVED}))", f"array_to_string({_UNAPPROVED}, ', ')", "0e0"),
+        "ca/prop_103", f"concat('factors California does not approve for auto rating: ', to_json({_UNAPPROVED}))", f"array_to_string({_UNAPPROVED}, ', ')", "0e0"),
     "ca_min_auto_liability": (
-        "ca/min_auto_liability", "'California auto liability minimum is 15,000'", "''", "coverage"),
+        "ca/min_auto_liability", "'auto cover in California starts at 15,000'", "''", "coverage"),
     "ny_min_auto_liability": (
-        "ny/min_auto_liability", "'New York auto liability minimum is 25,000'", "''", "coverage"),
-    "guardrail_consent": ("guardrail/consent", "'insured consent for data use is required'", "''", "0e0"),
+        "ny/min_auto_liability", "'auto cover in New York starts at 25,000'", "''", "coverage"),
+    "guardrail_consent": ("guardrail/consent", "'the insured has not agreed to the use of data'", "''", "0e0"),
     "guardrail_rate_stability": (
-        "guardrail/rate_stability", "'year-over-year premium change # exceeds cap 0.25'", "''", "abs(premium - prior_premium) / prior_premium"),
+        "guardrail/rate_stability", "'premium moved against last year by # , cap 0.25'", "''", "abs(premium - prior_premium) / prior_premium"),
     "guardrail_explainability": (
-        "guardrail/explainability", "'model explainability # below floor 0.6'", "''", "explainability_score"),
+        "guardrail/explainability", "'the model explains itself only to # , floor 0.6'", "''", "explainability_score"),
     "guardrail_reinsurance_cession": (
-        "guardrail/reinsurance_cession", "'coverage # exceeds 100000.0; cession # below required 0.5'", "''", "coverage + cession"),
-    "positive_premium": ("positive_premium", "'premium must be > 0'", "''", "premium"),
-    "max_loss_ratio": ("max_loss_ratio", "'loss ratio # exceeds cap 0.85'", "''", "expected_claim / premium"),
-    "coverage_cap": ("coverage_cap", "'coverage exceeds 10.0x premium'", "''", "coverage + premium"),
+        "guardrail/reinsurance_cession", "'coverage # above 100000.0 asks for cession of 0.5, there is #'", "''", "coverage + cession"),
+    "positive_premium": ("positive_premium", "'no premium above zero'", "''", "premium"),
+    "max_loss_ratio": ("max_loss_ratio", "'claims take # of the premium, cap 0.85'", "''", "expected_claim / premium"),
+    "coverage_cap": ("coverage_cap", "'coverage is more than 10.0 premiums'", "''", "coverage + premium"),
 }
 _SAID = " union all ".join(
     f"select proposal_id, '{name}' as rule_name, {text} as message, {factors} as factors, round({numbers}, 4) as numbers "
@@ -215,3 +216,66 @@ def rule_messages(spark, sf_dir):
         F.coalesce(F.try_element_at("context", F.lit("factors")), F.lit("")).alias("factors"),
         F.round(numbers, 4).alias("numbers"),
     )
+
+
+# Of thirteen rows one each has: no factors, a factor missing among others, no place, no line, no
+# claim, no coverage, no premium, and a claim, coverage or premium that is no number.
+UNCLEAR = f"""
+select proposal_id,
+  case proposal_id % 13 when 6 then null when 9 then cast('NaN' as double) else premium end as premium,
+  case proposal_id % 13 when 5 then null when 8 then cast('NaN' as double) else coverage end as coverage,
+  case proposal_id % 13 when 4 then null when 7 then cast('NaN' as double) else expected_claim end as expected_claim,
+  case when proposal_id % 13 = 2 then null else jurisdiction end as jurisdiction,
+  case when proposal_id % 13 = 3 then null else product_line end as product_line,
+  case proposal_id % 13 when 0 then null when 1 then array('driving_record', cast(null as string)) else rating_factors end as rating_factors,
+  consent, prior_premium, explainability_score, cession
+from ({bindings.UNDERWRITING}) u
+"""
+_UNCLEAR_SQL = UNCLEAR.replace("array('driving_record', cast(null as string))", "['driving_record', null]")
+
+# A condition that is good, for each rule of the Californian regime in its order; the rule fires unless it is true.
+_GOOD = {
+    "federal/aca_min_loss_ratio": "coalesce(product_line <> 'Health', false) or premium <= 0 or (not isnan(premium) and not isnan(expected_claim) and expected_claim / premium >= 8e-1)",
+    "federal/protected_class": "len(rating_factors) = len(list_filter(rating_factors, lambda f: f not in ('race', 'color', 'religion', 'national_origin', 'sex', 'disability', 'genetic_information')))",
+    "ca/min_auto_liability": "coalesce(jurisdiction <> 'CA', false) or coalesce(product_line <> 'Auto', false) or (coverage >= 15000e0 and not isnan(coverage))",
+    "ca/prop_103": "coalesce(jurisdiction <> 'CA', false) or coalesce(product_line <> 'Auto', false) or len(rating_factors) = len(list_filter(rating_factors, lambda f: f in ('driving_record', 'miles_driven', 'years_driving_experience')))",
+    "guardrail/reinsurance_cession": "(coverage <= 100000e0 and not isnan(coverage)) or cession >= 5e-1",
+    "guardrail/explainability": "explainability_score >= 6e-1",
+    "guardrail/rate_stability": "prior_premium is null or prior_premium <= 0 or (not isnan(premium) and abs(premium - prior_premium) / prior_premium <= 25e-2)",
+    "guardrail/consent": "consent",
+    "positive_premium": "premium > 0 and not isnan(premium)",
+    "max_loss_ratio": "premium <= 0 or (not isnan(premium) and not isnan(expected_claim) and expected_claim / premium <= 85e-2)",
+    "coverage_cap": "coverage <= 10e0 * premium and not isnan(coverage) and not isnan(premium)",
+    "guardrail/unknown_jurisdiction": "jurisdiction <> ''",
+    "guardrail/unknown_product_line": "product_line <> ''",
+}
+_WHY = "concat_ws(',', " + ", ".join(f"case when not coalesce({good}, false) then '{name}' end" for name, good in _GOOD.items()) + ")"
+
+
+@query(f"with s as ({_UNCLEAR_SQL}) select proposal_id, {_WHY} as fired, {_WHY} = '' as admitted from s")
+def rules_on_unclear_rows(spark, sf_dir):
+    """The Californian regime on rows that lack something, without a contract before it."""
+    bindings.tables(spark, sf_dir, "orders", "customer")
+    system = regimes.california_regime().decisions
+    judged = decisions.validate(spark.sql(UNCLEAR), system, monoids.VIOLATIONS, decisions.adm_no_violation)
+    return judged.select("proposal_id", names("payload").alias("fired"), "admitted")
+
+
+_ABSENT = "concat_ws('; ', " + ", ".join(
+    f"case when {c} is null then '{c}: missing' end" if c != "rating_factors"
+    else "case when rating_factors is null then 'rating_factors: missing' when len(list_filter(rating_factors, lambda f: f is null)) > 0 then 'rating_factors: holds a missing value' end"
+    for c in ("premium", "coverage", "expected_claim", "jurisdiction", "product_line", "rating_factors", "consent", "explainability_score", "cession")
+) + ")"
+
+
+@query(
+    f"""with s as ({_UNCLEAR_SQL}), w as (select proposal_id, {_ABSENT} as absent, {_WHY} as fired from s)
+select proposal_id, case when absent <> '' then 'refused' when fired = '' then 'admitted' else 'rejected' end as side,
+  case when absent <> '' then absent else fired end as why from w"""
+)
+def underwriting_gate(spark, sf_dir):
+    """Rows by contract first, then by the Californian regime: refused, rejected or admitted, and why."""
+    bindings.tables(spark, sf_dir, "orders", "customer")
+    rows = spark.sql(UNCLEAR)
+    gated = underwriting.gate(rows, regimes.california_regime().decisions, keep=["proposal_id"])
+    return underwriting.outcomes(gated, ["proposal_id"])

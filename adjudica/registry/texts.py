@@ -117,7 +117,7 @@ def running_spend(spark, sf_dir):
 
 
 _LETTERS = f"""with p as ({bindings.PROPOSALS}), {_JOINT_P}, l as (
-  select *, concat('Draft a polite rejection letter. Reasons: premium: Negative premium. Risk context: ',
+  select *, concat('Draft a polite rejection letter. Reasons: premium: premium is not above zero. Risk context: ',
     cast(score as varchar), '.') as prompt from violations where not (rules = '' and score < 1e0))
 select proposal_id, case when rules = '' then 'No violations found.' else concat('[mock-completion] ', prompt) end as explanation,
   cast(case when rules = '' then 0 else greatest(1, length(prompt) // 4) end as bigint) as explanation_tokens from l"""

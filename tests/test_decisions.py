@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from adjudica import schemas
 from adjudica.operators import analytics, decisions, monoids, regimes, rules
 from adjudica.operators.decisions import adm_below, adm_joint, adm_no_violation
-from adjudica.plans import outcomes
+from adjudica.plans import outcomes, underwriting as gate
 from adjudica.registry.decisions import CALLABLES
 
 GOLDEN = [
@@ -89,6 +89,36 @@ def test_missing_values_are_not_good(spark):
     assert judged.first()["admitted"] is False
 
 
+@pytest.mark.parametrize(
+    "change, rule",
+    [
+        ({"rating_factors": None}, "ca/prop_103"),
+        ({"rating_factors": ["driving_record", None]}, "federal/protected_class"),
+        ({"jurisdiction": None, "rating_factors": ["credit_score"]}, "ca/prop_103"),
+        ({"jurisdiction": None}, "guardrail/unknown_jurisdiction"),
+        ({"product_line": None}, "guardrail/unknown_product_line"),
+        ({"expected_claim": None}, "max_loss_ratio"),
+        ({"expected_claim": float("nan"), "product_line": "Health"}, "federal/aca_min_loss_ratio"),
+        ({"coverage": None}, "ca/min_auto_liability"),
+        ({"coverage": float("nan")}, "ca/min_auto_liability"),
+        ({"premium": None, "prior_premium": 1000.0}, "guardrail/rate_stability"),
+    ],
+)
+def test_no_rule_fails_open(spark, change, rule):
+    assert rule in fired(underwriting(spark, [change]), regimes.california_regime().decisions)[0]
+
+
+def test_gate_keeps_every_row_on_one_side(spark):
+    changes = [{}, {"rating_factors": [None]}, {"product_line": "Boat"}, {"consent": False}, {"prior_premium": None}]
+    rows = underwriting(spark, changes).select(F.monotonically_increasing_id().alias("row"), "*")
+    gated = gate.gate(rows, regimes.california_regime().decisions, keep=["row"])
+    got = [(r["side"], r["why"]) for r in gate.outcomes(gated, ["row"]).orderBy("row").collect()]
+    assert got == [
+        ("admitted", ""), ("refused", "rating_factors: holds a missing value"), ("refused", "product_line: not allowed"),
+        ("rejected", "guardrail/consent"), ("admitted", ""),
+    ]
+
+
 def test_premium_of_zero_is_no_division(spark):
     df = underwriting(spark, [{"premium": 0.0, "prior_premium": 0.0, "product_line": "Health"}])
     assert fired(df, regimes.california_regime().decisions) == [["positive_premium", "coverage_cap"]]
@@ -109,8 +139,8 @@ def test_demo_regime(spark):
     value = decisions.evaluate(regimes.demo().decisions, monoids.VIOLATIONS)
     got = [[(v["rule_name"], v["message"]) for v in r[0]] for r in df.select(value).collect()]
     assert got == [
-        [("federal/protected_class", "Prohibited factors: ['origin', 'race']")],
-        [("ca/prop_103", "Premium must be positive")],
+        [("federal/protected_class", "barred factors: ['origin', 'race']")],
+        [("ca/prop_103", "an observed premium of zero or less")],
     ]
 
 
@@ -255,6 +285,8 @@ def test_bundle_order():
         "positive_premium",
         "max_loss_ratio",
         "coverage_cap",
+        "guardrail/unknown_jurisdiction",
+        "guardrail/unknown_product_line",
     ]
 
 
