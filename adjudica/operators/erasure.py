@@ -32,12 +32,14 @@ class Erasure(NamedTuple):
     ``audit``      audit rows for the requests carried out in this batch
     ``snapshots``  one row per erased row: its request and its content before the change
     ``statuses``   one row per request: erased, already_erased or not_found
+    ``matched``    the rows that requests hit, as they were
     """
 
     table: DataFrame
     audit: DataFrame
     snapshots: DataFrame
     statuses: DataFrame
+    matched: DataFrame
 
 
 def check_columns(requests: DataFrame, schema: StructType) -> list[str]:
@@ -133,8 +135,10 @@ def erase(
             for c in table.columns
         ]
     )
-    body = F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"})
-    snapshots = marked.where(hit).select(
+    body = F.to_json(F.struct(*[c for c in table.columns if not c.startswith("__")]), {"ignoreNullFields": "false"})
+    # Matched rows are few; audit, snapshots and statuses all come from them, not from the table again.
+    matched = materialise(marked.where(hit), "matched-rows")
+    snapshots = matched.select(
         F.explode(F.col("__hits.erasure_id")).alias("erasure_id"), body.alias("pre_erasure_snapshot")
     )
     found = snapshots.groupBy("erasure_id").agg(
@@ -171,6 +175,7 @@ def erase(
         audit_rows,
         snapshots,
         statuses.select(*KEY, "status", "erasure_id", "n_rows"),
+        matched.select(*table.columns),
     )
 
 

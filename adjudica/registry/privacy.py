@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from adjudica import schemas
 from adjudica.functions.tokens import token
-from adjudica.operators import erasure, privacy, views
+from adjudica.operators import erasure, file_erasure, privacy, views
 from adjudica.registry import query, r6
 from adjudica.registry.tables import plain
-from adjudica.sources import bindings
+from adjudica.sources import bindings, file_table, scratch
 
 
 def _token_sql(column: str, transformation: str) -> str:
@@ -170,6 +170,51 @@ def erase(spark, sf_dir):
     return plain(_batch(spark, sf_dir)[0].table, "proposal_id")
 
 
+def _by_files(spark, sf_dir):
+    """The same batch over a table of 64 files with an index of names and ZIP codes; ages have none."""
+    df = bindings.proposals(spark, sf_dir).withColumn("shelf", F.col("proposal_id") % 64)
+    table = file_table.create(df, scratch.new_path(spark, "file-table"), ["holder_name", "zip_code"], partition_by=["shelf"])
+    bindings.tables(spark, sf_dir, "supplier")
+    audit = spark.sql(_AUDIT).withColumn("erased_at", F.col("erased_at").cast("timestamp_ntz"))
+    # Without the requests by age, which no index covers.
+    requests = spark.sql(_REQUESTS).where("where_column <> 'age'")
+    before = table.files()
+    result = file_erasure.erase(
+        table, requests, audit, schemas.PROPOSAL, "proposals", erased_by="privacy-desk", reason="subject request",
+        at=F.lit("2026-06-01 00:00:00").cast("timestamp_ntz"),
+        erasure_id=F.concat_ws("-", F.lit("e"), "where_column", "where_value"),
+    )
+    file_erasure.publish(table, result, scratch.new_path(spark, "file-audit"))
+    return table, result, before
+
+
+_BY_FILES = _ERASURE.replace(f"({_REQUESTS})", f"(select * from ({_REQUESTS}) r where where_column <> 'age')")
+
+
+@query(
+    _BY_FILES + """select proposal_id, holder_kind, case when g then null else holder_name end as holder_name, round(premium, 6) as premium,
+  case when g then null else zip_code end as zip_code, case when g then null else age end as age, schema_version,
+  cast(schema_effective_date as varchar) as schema_effective_date, erased or g as erased
+from (select p.*, proposal_id in (select proposal_id from gone) as g from p)"""
+)
+def erase_by_files(spark, sf_dir):
+    """The table after an erasure that wrote only the files with a subject anew."""
+    return plain(_by_files(spark, sf_dir)[0].read(), "proposal_id")
+
+
+@query(
+    _BY_FILES + """select p.proposal_id % 64 as shelf, count(*) as n_rows, bool_or(p.proposal_id in (select proposal_id from gone)) as rewritten
+from p group by all"""
+)
+def erasure_files_rewritten(spark, sf_dir):
+    """Which of the table's files the erasure replaced: those with a subject, and no others."""
+    table, _, before = _by_files(spark, sf_dir)
+    kept = table.files().select("path", F.lit(True).alias("kept"))
+    return before.join(kept, "path", "left").select(
+        F.regexp_extract("path", "shelf=([0-9]+)", 1).cast("bigint").alias("shelf"), "n_rows", F.col("kept").isNull().alias("rewritten")
+    )
+
+
 @query(
     _ERASURE + """select q.where_column, q.where_value,
   case when a.erasure_id is not null then 'already_erased' when h.n > 0 then 'erased' else 'not_found' end as status,
