@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from adjudica.operators import ordered
+from adjudica.sources.scratch import materialise
+
+#: Ranges a stretch of the order is cut into at a time.
+RANGES = 64
 
 
 class Budgeted(NamedTuple):
@@ -18,6 +23,53 @@ class Budgeted(NamedTuple):
     spent: int
 
 
+class Threshold(NamedTuple):
+    """The first key at which the running sum passes the cap: the sum before it, its rows and their cost."""
+
+    key: dict
+    before: int
+    cost: int
+
+
+def _splitters(rows: DataFrame, key: Column, ranges: int) -> list:
+    """Up to ``ranges`` - 1 different keys, drawn by their hash, in order."""
+    drawn = rows.select(key.alias("k")).distinct().orderBy(F.xxhash64("k")).limit(ranges - 1)
+    return [r["k"] for r in drawn.orderBy("k").collect()]
+
+
+def first_beyond(narrow: DataFrame, order: Sequence[str], cost: str, cap: int, ranges: int = RANGES) -> Threshold | None:
+    """The key of (order) at which the sum of ``cost``, taken in key order, passes the cap; None if it does not.
+
+    A search in ever narrower stretches of the order: some keys, drawn by hash, cut the stretch, one
+    aggregation gives the sum of each part, and the part that crosses the cap is next. It ends at one
+    key, however many rows share it. No rows are sorted or brought together, and the driver gets
+    as many sums as there are parts. ``narrow`` is read twice in each of about log(keys) / log(ranges) rounds.
+    """
+    key, types = F.struct(*order), narrow.select(*order).schema
+    inside, before = narrow, 0
+    while True:
+        cuts = _splitters(inside, key, ranges)
+        if not cuts:
+            return None
+        bounds = F.array(*[_literal(cut, types) for cut in cuts])
+        # A part for each cut's own key, and one for the keys between two cuts.
+        part = 2 * F.size(F.filter(bounds, lambda x: x < key)) + F.array_contains(bounds, key).cast("int")
+        sums = inside.groupBy(part.alias("part")).agg(
+            F.coalesce(F.sum(cost), F.lit(0)).alias("sum"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.max(cost).alias("cost")
+        )
+        crossed = None
+        for row in sorted(sums.collect(), key=lambda r: r["part"]):
+            if before + row["sum"] > cap:
+                crossed = row
+                break
+            before += row["sum"]
+        if crossed is None:
+            return None
+        if crossed["lo"] == crossed["hi"]:
+            return Threshold(crossed["lo"].asDict(), int(before), int(crossed["cost"]))
+        inside = narrow.where((key >= _literal(crossed["lo"], types)) & (key <= _literal(crossed["hi"], types)))
+
+
 def within_budget(
     df: DataFrame,
     order: Sequence[str],
@@ -27,72 +79,38 @@ def within_budget(
 ) -> Budgeted:
     """Charge calls in order and stop at the first that would pass ``cap``; reaching it is fine.
 
-    Only the ordering key of the breaching call is needed, so the wide rows are not shuffled: the
-    narrow (order, tokens) pairs are summed per range segment, the segment that crosses the cap is
-    found, and that segment alone is walked row by row. Calls with equal keys are charged from the
-    cheapest on, so what is charged and what is returned agree also where keys tie.
+    Calls with equal keys are charged from the cheapest on, and calls of equal cost there in the
+    order of a hash of their content; calls that are equal in all are alike, and so many of them are
+    charged as the cap allows. The wide rows are read twice: for their narrow (order, cost, hash)
+    rows, which are stored, and for the result, a filter on the threshold. ``segments`` is the number
+    of parts of each round of the search for it.
     """
-    narrow = df.select(*order, tokens.cast("bigint").alias("__tokens"))
-    key = F.struct(*order)
-    sums = (
-        narrow.repartitionByRange(segments or ordered.default_segments(df), *order)
-        .groupBy(F.spark_partition_id().alias("__segment"))
-        .agg(
-            F.sum("__tokens").alias("__sum"),
-            F.min(key).alias("__first"),
-            F.max(key).alias("__last"),
-        )
-    )
-    upto = Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = sums.withColumn("__upto", F.sum("__sum").over(upto))
-    # One row: the first segment whose end lies past the cap, and the overall spend.
-    found = ranked.agg(
-        F.min_by(
-            F.struct("__first", "__last", (F.col("__upto") - F.col("__sum")).alias("before")),
-            F.when(F.col("__upto") > cap, F.col("__first")),
-        ).alias("segment"),
-        F.bool_or(F.col("__upto") > cap).alias("breached"),
-        F.coalesce(F.sum("__sum"), F.lit(0)).alias("spent"),
-    ).first()
-    if not found["breached"]:
-        return Budgeted(df, False, int(found["spent"]))
-
-    segment = found["segment"]
-    inside = narrow.where(
-        (key >= _literal_key(segment["__first"], order, narrow))
-        & (key <= _literal_key(segment["__last"], order, narrow))
-    )
-    walk = Window.orderBy(*order, "__tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    charged = F.col("__charged") + F.lit(segment["before"])
-    stop = (
-        inside.withColumn("__charged", F.sum("__tokens").over(walk))
-        .where(charged > cap)
-        .agg(
-            F.min_by(
-                F.struct(key.alias("at"), (charged - F.col("__tokens")).alias("spent")),
-                F.struct(*order, "__tokens"),
-            ).alias("stop")
-        )
-        .first()["stop"]
-    )
-    at = _literal_key(stop["at"], order, narrow)
-    earlier = narrow.where((key >= _literal_key(segment["__first"], order, narrow)) & (key < at))
-    before = earlier.agg(F.coalesce(F.sum("__tokens"), F.lit(0))).first()[0] + segment["before"]
-    # Of the calls that share the breaching key, those that were charged before it.
-    tied = Window.orderBy("__cost").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    charged_ties = (
-        df.where(key == at)
-        .withColumn("__cost", tokens.cast("bigint"))
-        .withColumn("__sum", F.sum("__cost").over(tied))
-        .where(F.col("__sum") + F.lit(before) <= cap)
-        .select(*df.columns)
-    )
-    return Budgeted(df.where(key < at).unionByName(charged_ties), True, int(stop["spent"]))
-
-
-def _literal_key(row, order: Sequence[str], frame: DataFrame) -> Column:
-    types = {f.name: f.dataType for f in frame.schema.fields}
-    return F.struct(*[F.lit(row[c]).cast(types[c]).alias(c) for c in order])
+    content = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    extra = {
+        "__cost": tokens.cast("bigint"),
+        "__h1": F.xxhash64(F.lit(1), content),
+        "__h2": F.xxhash64(F.lit(2), content),
+    }
+    full = [*order, *extra]
+    narrow = materialise(df.select(*order, *[c.alias(n) for n, c in extra.items()]), "budget")
+    total = narrow.agg(F.coalesce(F.sum("__cost"), F.lit(0))).first()[0]
+    stop = first_beyond(narrow, full, "__cost", cap, max(segments or RANGES, 2))
+    if stop is None:
+        return Budgeted(df, False, int(total))
+    at = _literal(stop.key, narrow.select(*full).schema)
+    keyed = df.select("*", *[c.alias(n) for n, c in extra.items()])
+    # All calls at the threshold are alike: some of their copies are still paid for.
+    paid = max((cap - stop.before) // stop.cost, 0)
+    earlier = keyed.where(F.struct(*full) < at).select(*df.columns)
+    rows = earlier
+    if paid:
+        one = keyed.where(F.struct(*full) == at).agg(F.first(content).alias("__row"))
+        rows = earlier.unionByName(one.select("__row", F.explode(F.sequence(F.lit(1), F.lit(paid)))).select("__row.*"))
+    return Budgeted(rows, True, int(stop.before + paid * stop.cost))
+
+
+def _literal(row, schema: StructType) -> Column:
+    return F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def running_spend(df: DataFrame, order: Sequence[str], tokens: Column, cap: int) -> DataFrame:

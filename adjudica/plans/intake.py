@@ -32,6 +32,7 @@ class RunResult:
     tokens: int
     budget: int | None
     rule_breakdown: dict[str, int] = field(default_factory=dict)
+    breached: bool = False
 
 
 def run(
@@ -45,9 +46,13 @@ def run(
     keep: Sequence[str] = ("text_id",),
     tokenise: bool = False,
     text: str = "text",
+    stop_in_order: Sequence[str] | None = None,
 ) -> RunResult:
     """Extract, dispatch, tokenise, judge and write below the folder ``out``.
 
+    A batch above ``max_tokens`` is refused; with ``stop_in_order`` its texts are taken in that order
+    up to the first whose extraction would pass the cap, and the run goes on with those before it.
+
     The long texts are read once: their few extracted columns are written as a table, and
     quarantine and outcomes both start from it. Counts come from metrics observed while writing.
     """
@@ -56,7 +61,11 @@ def run(
     fields = schemas.extraction_fields(schema)
 
     tokens = costs.extract_tokens(F.col(text), len(fields))
-    if max_tokens is not None:
+    breached = False
+    if max_tokens is not None and stop_in_order is not None:
+        paid_for = affordable(texts, stop_in_order, len(fields), max_tokens, text)
+        texts, breached = paid_for.rows, paid_for.breached
+    elif max_tokens is not None:
         # Costs come from lengths alone; a batch that is too dear is refused before it writes.
         wanted = int(texts.agg(F.coalesce(F.sum(tokens), F.lit(0))).first()[0])
         if wanted > max_tokens:
@@ -94,6 +103,7 @@ def run(
         tokens=total,
         budget=max_tokens,
         rule_breakdown=breakdown,
+        breached=breached,
     )
 
 

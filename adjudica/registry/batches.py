@@ -59,3 +59,26 @@ def batch_run(spark, sf_dir):
         [row],
         "extracted bigint, tokens bigint, quarantined bigint, contracts bigint, rejections bigint, premium_rule bigint",
     )
+
+
+@query(
+    _EXTRACTED + """, o as (select x.*, t.seq, sum(x.tokens) over (order by t.seq rows unbounded preceding) as total from x join t using (text_id)),
+limits as (select sum(tokens) * 3 // 5 as cap from x),
+paid as (select o.* from o, limits where total <= cap),
+c as (select * from paid where holder_name is not null and premium is not null and zip_code is not null and age is not null)
+select count(*) as extracted, cast((select sum(tokens) from paid) as bigint) as tokens, true as breached,
+  count(*) filter (premium <= 0) as premium_rule from c"""
+)
+def batch_stopped(spark, sf_dir):
+    """A batch with three fifths of what it costs stops at the first call that it cannot pay."""
+    texts = bindings.raw_texts(spark, sf_dir)
+    result = intake.run(
+        texts,
+        scratch.new_path(spark, "stopped"),
+        regimes.proposal_joint(0.5, 0.6).decisions,
+        adm_joint(1.0),
+        max_tokens=_total(texts) * 3 // 5,
+        stop_in_order=["seq"],
+    )
+    row = (result.extracted, result.tokens, result.breached, result.rule_breakdown.get("premium", 0))
+    return spark.createDataFrame([row], "extracted bigint, tokens bigint, breached boolean, premium_rule bigint")

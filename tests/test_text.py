@@ -100,6 +100,32 @@ def test_budget_stops_before_the_cap(spark, cap, want, spent, breached, segments
     assert (out.spent, out.breached) == (spent, breached)
 
 
+def test_budget_where_a_third_of_the_calls_share_a_key(spark):
+    """Ties are paid from the cheapest on, and alike calls as often as the cap allows; nothing goes through one task."""
+    rows = [(i, 0 if i % 3 == 0 else i, 1 + i % 4, "x") for i in range(900)] + [(-1, 0, 7, "same")] * 50
+    df = spark.createDataFrame(rows, "i int, k int, tokens int, t string").repartition(4)
+    costs = sorted((k, tokens) for _, k, tokens, _ in rows)
+    for cap in (0, 1, 300, 749, 750, 780, 1000, 1100, 2000, 10**6):
+        total, want = 0, []
+        for k, tokens in costs:
+            if total + tokens > cap:
+                break
+            total += tokens
+            want.append((k, tokens))
+        out = budget.within_budget(df, ["k"], F.col("tokens"), cap, segments=5)
+        assert sorted((r["k"], r["tokens"]) for r in out.rows.collect()) == want
+        assert (out.spent, out.breached) == (total, len(want) < len(rows))
+        if out.breached:
+            assert "Window" not in out.rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_budget_orders_missing_keys_first(spark):
+    df = spark.createDataFrame([(None, 5), (2, 5), (1, 5), (None, None)], "k int, tokens int")
+    out = budget.within_budget(df, ["k"], F.col("tokens"), 11)
+    assert sorted(map(str, (tuple(r) for r in out.rows.collect()))) == ["(1, 5)", "(None, 5)", "(None, None)"]
+    assert out.spent == 10
+
+
 def test_budget_of_nothing(spark):
     out = budget.within_budget(calls(spark, [1]).where("false"), ["i"], F.col("tokens"), 5)
     assert out.rows.count() == 0 and not out.breached and out.spent == 0
@@ -153,6 +179,16 @@ def test_whole_batch(spark, tmp_path):
     assert spark.read.parquet(f"{out}/raw_quarantine").count() == 0
 
 
+def test_batch_stops_at_the_first_call_it_cannot_pay(spark, tmp_path):
+    costs_ = [max(1, len(t) // 4 + 20) for t in TEXTS]
+    result = intake.run(
+        texts_frame(spark), str(tmp_path / "batch"), regimes.proposal_joint().decisions, adm_joint(1.0),
+        max_tokens=costs_[0] + costs_[1], stop_in_order=["text_id"],
+    )
+    assert result.breached and result.tokens == costs_[0] + costs_[1] and result.extracted <= 2
+    assert {r["text_id"] for r in spark.read.parquet(str(tmp_path / "batch/extracted")).collect()} <= {"t0", "t1"}
+
+
 def test_batch_over_budget_stops(spark, tmp_path):
     with pytest.raises(intake.BudgetExceeded):
         intake.run(
