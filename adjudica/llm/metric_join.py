@@ -9,12 +9,12 @@ other regions a text must also visit so that no link is lost. Texts with the sam
    1 - 1/n from each of its own n shingles and at 1 from all others, so its nearest pivots are its
    own; in a fixed order of all shingles the first is its home. Its window: of two texts within r
    each has one of the first n - ceil(0.8 n) + 1 of its shingles in common with the other, so it
-   visits just these regions. Regions of one node are left at once.
+   visits these regions, and a few more. Regions of one node are left at once.
 2. Which regions several nodes visit, and which more than LEAF, is counted in tasks and kept as two
    bitmaps of fixed size. Regions of up to LEAF nodes give pairs. The first shingles of both texts up to a common bound are
    all known, and each that only one of them has counts towards their difference. Pairs whose
    difference is then too large already are dropped, the others are compared as whole sets.
-3. Wider regions are joined again, with their nodes alone: shingles that are frequent among these
+3. Wider regions are joined again, with those of their nodes that may still have a link there: shingles that are frequent among these
    come last in the order, so common passages stop being anybody's home.
 4. What is still wide are texts that are alike. There the pivots are texts: each node's distance to
    its region's pivots is taken, the region falls into Voronoi cells, and a node whose distance to
@@ -53,6 +53,10 @@ CUTS = 2
 FILTER_LOG = 25
 #: Visits of regions that one task brings together, about.
 PART_VISITS = 2_000_000
+#: A hash below which nearly all sets visit all of their shingles' regions.
+KNOWN = np.int64(0.18 * (1 << int(shingles.ID_BITS)))
+MORE = 1.0
+FAR = np.int64(1 << 40)
 _BLANK = np.zeros(128, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -89,8 +93,12 @@ def shingle_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _visits(n: np.ndarray) -> np.ndarray:
-    """How many of its first shingles' regions a set of n visits; none, where it is empty."""
-    return np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
+    """How many of its first shingles' regions a set of n visits; none, where it is empty.
+
+    Some more than a link needs, so that nearly every set visits all of its shingles below KNOWN.
+    """
+    needed = n - (PERCENT * n + 99) // 100 + 1
+    return np.where(n > 0, np.minimum(needed + np.floor(MORE * np.sqrt(n)).astype(np.int64), n), 0)
 
 
 def _first_of(owner: np.ndarray, keys: np.ndarray, n: np.ndarray, take: np.ndarray) -> pa.ListArray:
@@ -255,14 +263,41 @@ def _narrow(batches: Iterator[pa.RecordBatch], several: np.ndarray, wide: np.nda
 
 
 def _wide(batches: Iterator[pa.RecordBatch], wide: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Visits of wide regions, each with the number of the node's shingles below KNOWN (below) and how
+    many of these visit wide regions (shared). A node that does not visit all of them has none below."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, owner, _ = _homes(batch)
-        at = np.flatnonzero(_on(wide, keys))
+        keys, owner, offsets = _homes(batch)
+        in_wide = _on(wide, keys)
+        n = batch.column("n").to_numpy().astype(np.int64)
+        low = keys < KNOWN
+        below = np.bincount(owner, low, len(n)).astype(np.int64)
+        shared = np.bincount(owner, low & in_wide, len(n)).astype(np.int64)
+        # All of a node's shingles below KNOWN are among its visits if one at least is above, or if it visits all.
+        wholly = (below < np.diff(offsets)) | (np.diff(offsets) == n)
+        at = np.flatnonzero(in_wide)
         own = owner[at]
-        columns = [keys[at], batch.column("node").to_numpy()[own], batch.column("n").to_numpy()[own]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["home", "node", "n"])
+        columns = [keys[at], batch.column("node").to_numpy()[own], n[own], np.where(wholly, below, -FAR)[own], shared[own]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["home", "node", "n", "below", "shared"])
+
+
+def _still_possible(rows: DataFrame) -> DataFrame:
+    """The visits of wide regions that may belong to a link which no smaller region shows.
+
+    Two such nodes share only shingles of wide regions, and below KNOWN no more of them than either
+    has. All their others there differ: below(x) + below(y) - 2 min(shared(x), shared(y)) of them at
+    least. So the smallest values in a region, among nodes of like size, tell which cannot be linked.
+    """
+    own = (100 + PERCENT) * F.col("below") - (100 - PERCENT) * F.col("n")
+    both = 2 * (100 + PERCENT) * F.col("shared")
+    size = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))
+    sized = rows.select("home", "node", "n", size.alias("size"), own.alias("own"), both.alias("both"))
+    reach = sized.select("home", F.explode(F.array(*[F.col("size") + k for k in (-1, 0, 1)])).alias("size"), "own", "both")
+    reach = reach.groupBy("home", "size").agg(F.min("own").alias("__own"), F.min(F.col("own") - F.col("both")).alias("__less"))
+    met = sized.join(reach, ["home", "size"])
+    possible = (F.col("own") + F.col("__own") - F.col("both") <= 0) & (F.col("own") + F.col("__less") <= 0)
+    return met.where(possible).select("home", "node", "n")
 
 
 def _small_pairs(table: pa.Table) -> pa.Table:
@@ -303,7 +338,7 @@ def _few_differ(differ: Column, n: Column, m: Column) -> Column:
     return (100 + PERCENT) * differ <= (100 - PERCENT) * (n + m)
 
 
-def _regions(visiting: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
+def _regions(visiting: DataFrame, leaf: int, by_hash: bool) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of small regions that may be linked, and rows (home, node, n) of wide regions."""
     visits = visiting.agg(F.sum(F.size("homes"))).first()[0] or 0
     parts = max(int(visiting.sparkSession.conf.get("spark.sql.shuffle.partitions")), visits // PART_VISITS)
@@ -319,15 +354,21 @@ def _regions(visiting: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
     # Up to the smaller of both last regions all shingles of both are known. What they share in wide
     # regions is not counted, so as much as possible is assumed.
     common = F.col("common") + F.least("x_wide", "y_wide")
-    visits_of = {side: F.expr(f"{side}_n - ({PERCENT} * {side}_n + 99) div 100 + 1") for side in "xy"}
+    visits_of = {
+        side: F.expr(f"least({side}_n, {side}_n - ({PERCENT} * {side}_n + 99) div 100 + 1 + floor({MORE}D * sqrt({side}_n)))")
+        for side in "xy"
+    }
     known = F.when(F.col("x_last") <= F.col("y_last"), visits_of["x"] + F.col("y_rank")).otherwise(
         visits_of["y"] + F.col("x_rank")
     )
     near = pairs.where(_few_differ(known - 2 * common, F.col("x_n"), F.col("y_n"))).select("a", "b")
     rows = visiting.select("node", "n", "homes").mapInArrow(
-        lambda batches: _wide(batches, wide), "home bigint, node bigint, n bigint"
+        lambda batches: _wide(batches, wide), "home bigint, node bigint, n bigint, below bigint, shared bigint"
     )
-    return materialise(near, "join-pairs"), materialise(rows.distinct(), "join-wide")
+    rows = materialise(rows.distinct(), "join-visits")
+    rows = _still_possible(rows) if by_hash else rows.drop("below", "shared")
+    sizes = rows.groupBy("home").agg(F.min("node").alias("__lo"), F.max("node").alias("__hi")).where("__lo <> __hi")
+    return materialise(near, "join-pairs"), materialise(rows.join(sizes.select("home"), "home"), "join-wide")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -445,12 +486,12 @@ def linked_classes(
     stored = materialise(described, "join-texts")
     rows = stored.where("n > 0").select("node", "k1", "k2")
 
-    pairs, wide = _regions(stored.where("size(homes) > 0"), leaf)
+    pairs, wide = _regions(stored.where("size(homes) > 0"), leaf, True)
     # Nodes of a common region lie together, so that counts of a batch show what is frequent there.
     sets = _sets(texts, rows, wide.groupBy("node").agg(F.min("home").alias("near")), "near")
     bits = _bits(sets.select("ids").mapInArrow(lambda batches: _frequent(batches, frequent), "place bigint"))
     again = sets.mapInArrow(lambda batches: _reordered(batches, bits), "node bigint, n bigint, homes array<bigint>")
-    more, alike = _regions(materialise(again, "join-again"), leaf)
+    more, alike = _regions(materialise(again, "join-again"), leaf, False)
     pairs = pairs.unionByName(more).distinct()
     whole = _sets(texts, rows, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     links = materialise(_measured(pairs, whole).where("linked").select("a", "b"), "join-links")
