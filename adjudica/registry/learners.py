@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from adjudica.operators import learners, ordered
+from adjudica.operators import learners, ordered, parallel_fold
 from adjudica.registry import query, r6
 from adjudica.sources import bindings
 
@@ -280,6 +280,19 @@ def composed_learner(spark, sf_dir):
     )
 
 
+@query(
+    _COMPOSED + "select f.learner_id, round(a, 6) as a, round(b, 6) as b, round(g, 6) as g, m.n from f join m on m.learner_id = f.learner_id and m.n = f.rn"
+)
+def composed_learner_parallel(spark, sf_dir):
+    """The composed learner with all chunks of a learner's history folded at once."""
+    both = learners.compose(learners.linear_scalar(ETA, 0.5), learners.linear(ETA, [0.1, 0.2]))
+    out = parallel_fold.fit_in_parallel(
+        bindings.points(spark, sf_dir), both, ORDER, F.array("x0", "x1"), F.col("y"), chunk_rows=64
+    )
+    numbers = {"a": F.col("state.f")[0], "b": F.col("state.f")[1], "g": F.col("state.g")}
+    return out.select("learner_id", *[r6(c).alias(n) for n, c in numbers.items()], "n")
+
+
 @query(
     f"""with p as ({bindings.POINTS})
 select learner_id, round((1e0 * 1e0 + sum(y) / 4e0) / (1e0 + count(*) / 4e0), 6) as first_mean,
