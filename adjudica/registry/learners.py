@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from adjudica import schemas
 from adjudica.operators import learners, ordered, parallel_fold
 from adjudica.registry import query, r6
-from adjudica.sources import bindings
+from adjudica.sources import bindings, observation_log, scratch
 
 ORDER = ["ts", "event_id"]
 ETA = 0.01
@@ -172,6 +173,43 @@ def state_as_of_each(spark, sf_dir):
     return out.select("question", "learner_id", "n", r6("mean").alias("mean"))
 
 
+def _stored_log(spark, sf_dir):
+    """The log in four appends, one of them given twice, the last not yet in the index."""
+    rows = bindings.observations(spark, sf_dir)
+    log = observation_log.ObservationLog(spark, scratch.new_path(spark, "observations"))
+    columns = schemas.OBSERVATIONS.names
+    for part in (0, 1, 1, 2):
+        log.append(rows.where(F.col("event_id") % 4 == part).select(*columns), f"part-{part}")
+        log.refresh()
+    log.append(rows.where(F.col("event_id") % 4 == 3).select(*columns), "part-3")
+    return log
+
+
+@query(_O + " select learner_id, count(*) as n, round(sum(observation), 4) as total, min(ts) as first_ts from o group by learner_id")
+def observations_stored(spark, sf_dir):
+    """The stored log after its appends, read back: a repeated append adds nothing."""
+    return _stored_log(spark, sf_dir).read().groupBy("learner_id").agg(
+        F.count("*").alias("n"), F.round(F.sum("observation"), 4).alias("total"), F.min("ts").alias("first_ts")
+    )
+
+
+@query(
+    _O + """, q as (select event_id as question, concat('u', cast(user_id as varchar)) as learner_id, ts from events where event_type = 'signup')
+select q.question, q.learner_id, count(o.observation) as n,
+  round((5e-1 * 5e1 + coalesce(sum(o.observation), 0e0) / 25e0) / (5e-1 + count(o.observation) / 25e0), 6) as mean
+from q left join o on o.learner_id = q.learner_id and o.ts <= q.ts group by q.question, q.learner_id"""
+)
+def state_from_index(spark, sf_dir):
+    """States as of each question's instant, from one bucket of the index and of the log."""
+    log = _stored_log(spark, sf_dir)
+    bindings.tables(spark, sf_dir, "events")
+    questions = spark.sql(
+        "select event_id as question, concat('u', cast(user_id as string)) as learner_id, ts from events where event_type = 'signup'"
+    )
+    out = log.state_as_of(questions, "question", (50.0, 0.5, 25.0))
+    return out.select("question", "learner_id", "n", r6("mean").alias("mean"))
+
+
 _SGD = f"""with recursive p as (select *, row_number() over (partition by learner_id order by ts, event_id) as rn from ({bindings.POINTS}) q),
 m as (select learner_id, max(rn) as n from p group by learner_id),
 f as (select learner_id, cast(0 as bigint) as rn, 0e0 as w0, 0e0 as w1 from m
