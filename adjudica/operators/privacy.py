@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from adjudica.functions.masks import mask
+from adjudica.functions import permutation
 from adjudica.functions.tokens import token
 from adjudica.schemas import PII_CATEGORIES
 
@@ -90,6 +91,21 @@ def tokenise(
     return df.withColumns(replaced) if replaced else df
 
 
+def permute(df: DataFrame, schema: StructType, key: str | Column) -> DataFrame:
+    """Replace direct identifiers by tokens that never collide and that the key alone takes back.
+
+    The key is part of the plan; give it as a column read from a table of keys to keep it out of logs.
+    """
+    names = [c for c in token_columns(schema) if c in df.columns]
+    return df.withColumns({c: permutation.permute(F.col(c), key) for c in names}) if names else df
+
+
+def restore(df: DataFrame, schema: StructType, key: str | Column) -> DataFrame:
+    """Undo :func:`permute`: a projection, without a map and without a join."""
+    names = [c for c in token_columns(schema) if c in df.columns]
+    return df.withColumns({c: permutation.restore(F.col(c), key) for c in names}) if names else df
+
+
 def token_map(
     df: DataFrame, columns: Sequence[str], transformation_for: Callable[[str], str] = _same_name
 ) -> DataFrame:

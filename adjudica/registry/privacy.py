@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from adjudica import schemas
+from adjudica.functions import permutation
 from adjudica.functions.tokens import token
 from adjudica.operators import erasure, file_erasure, privacy, views
 from adjudica.registry import query, r6
@@ -124,6 +125,56 @@ def mask_by_tier(spark, sf_dir):
     return analyst.unionByName(local)
 
 
+_KEY = "registry-key"
+
+
+def _round_sql() -> str:
+    """One round of the permutation over column s, whose hash is h: the same steps as on the other side."""
+    ch = "substr(s, cast(i + 1 as int), 1)"
+    drawn = " + ".join(
+        f"{16 ** (3 - k)} * (instr('0123456789abcdef', substr(h, cast(4 * (i % 16) + {k + 1} as int), 1)) - 1)" for k in range(4)
+    )
+    cases = " ".join(
+        f"when {ch} between '{first}' and '{chr(ord(first) + count - 1)}' then chr(cast({ord(first)} + (unicode({ch}) - {ord(first)} + {drawn}) % {count} as int))"
+        for first, count in permutation.CLASSES
+    )
+    return f"array_to_string(list_transform(range(0, length(s)), lambda i: case when (i + r) % 2 <> 0 then {ch} {cases} else {ch} end), '')"
+
+
+_MASKED_CASES = " ".join(
+    f"when substr(s, cast(i + 1 as int), 1) between '{first}' and '{chr(ord(first) + count - 1)}' then '{first}'"
+    for first, count in permutation.CLASSES
+)
+_MASKED = f"array_to_string(list_transform(range(0, length(s)), lambda i: case when (i + r) % 2 <> 0 then substr(s, cast(i + 1 as int), 1) {_MASKED_CASES} else substr(s, cast(i + 1 as int), 1) end), '')"
+_PERMUTED = f"""{_P.replace("with p as", "with recursive p as", 1)}, f as (
+  select proposal_id, holder_name as s, 0 as r from p
+  union all
+  select proposal_id, {_round_sql()} as s, r + 1
+  from (select *, sha256(concat('{_KEY}|', cast(r as varchar), '|', {_MASKED})) as h from f where r < {permutation.ROUNDS}) x)"""
+
+
+@query(_PERMUTED + f" select proposal_id, s as holder_name from f where r = {permutation.ROUNDS}")
+def permute_names(spark, sf_dir):
+    """Names as tokens of a keyed permutation."""
+    return privacy.permute(bindings.proposals(spark, sf_dir), schemas.PROPOSAL, _KEY).select("proposal_id", "holder_name")
+
+
+@query(_P + " select proposal_id, holder_name from p")
+def restore_names(spark, sf_dir):
+    """Tokens taken back by the key, without a map."""
+    tokens = privacy.permute(bindings.proposals(spark, sf_dir), schemas.PROPOSAL, _KEY)
+    return privacy.restore(tokens, schemas.PROPOSAL, _KEY).select("proposal_id", "holder_name")
+
+
+@query(_P + " select count(distinct holder_name) as names, count(distinct holder_name) as tokens from p")
+def permuted_collisions(spark, sf_dir):
+    """As many different tokens as names."""
+    both = bindings.proposals(spark, sf_dir).select(
+        "holder_name", permutation.permute(F.col("holder_name"), _KEY).alias("token")
+    )
+    return both.agg(F.count_distinct("holder_name").alias("names"), F.count_distinct("token").alias("tokens"))
+
+
 # Requests: holders deep in debt by name, suppliers' areas by ZIP code, suppliers' names (unknown
 # as holders), and one whole age. Some of the names were erased before.
 _REQUESTS = """select 'holder_name' as where_column, c_name as where_value from customer where c_acctbal < -5e2

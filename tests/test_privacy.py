@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adjudica import schemas
+from adjudica.functions import permutation
 from adjudica.functions.masks import feature_set, mask
 from adjudica.functions.tokens import token
 from adjudica.operators import erasure, privacy, views, visibility
@@ -190,3 +191,29 @@ def test_publish(spark, tmp_path):
 def test_null_marker_hides_a_row(spark):
     df = holders(spark).withColumn("erased", F.when(F.col("age") > 30, F.lit(False)))
     assert df.where(views.visible()).count() == 2
+
+
+def test_permutation_of_all_short_names(spark):
+    letters = [chr(ord("a") + i) for i in range(26)]
+    names = spark.createDataFrame([(a,) for a in letters], "c string")
+    every = names.crossJoin(names.toDF("d")).crossJoin(names.toDF("e")).select(F.concat("c", "d", "e").alias("name"))
+    out = every.select("name", permutation.permute(F.col("name"), "k").alias("token"))
+    assert out.select("token").distinct().count() == 26**3
+    assert out.where(~F.col("token").rlike("^[a-z]{3}$")).count() == 0
+    assert out.where(permutation.restore(F.col("token"), "k") != F.col("name")).count() == 0
+    assert out.where("token = name").count() < 10
+
+
+def test_permutation_keeps_shapes_and_takes_back(spark):
+    texts = ["", "a", "Z", "7", "Ana-Maria O'Neill 42", "Zoë Ångström", "日本 x1", "-- !", None, "Ab1 " * 40]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(
+        "t", permutation.permute(F.col("t"), "k").alias("token"), permutation.permute(F.col("t"), F.lit("other")).alias("other")
+    ).select("*", permutation.restore(F.col("token"), "k").alias("back"))
+    for t, token, other, back in rows.collect():
+        assert back == t
+        if t:
+            assert [c.isalnum() and c.isascii() for c in t] == [c.isalnum() and c.isascii() for c in token]
+            assert [(c.isupper(), c.isdigit()) for c in t] == [(c.isupper(), c.isdigit()) for c in token]
+    long = [r for r in rows.collect() if r["t"] and len(r["t"]) > 15]
+    assert all(r["token"] != r["t"] and r["other"] != r["token"] for r in long)
