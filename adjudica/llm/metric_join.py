@@ -92,13 +92,13 @@ def shingle_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (key >> shingles.ID_BITS).astype(np.int64), (key & mask).astype(np.int64)
 
 
-def _visits(n: np.ndarray) -> np.ndarray:
+def _visits(n: np.ndarray, more: float = MORE) -> np.ndarray:
     """How many of its first shingles' regions a set of n visits; none, where it is empty.
 
     Some more than a link needs, so that nearly every set visits all of its shingles below KNOWN.
     """
     needed = n - (PERCENT * n + 99) // 100 + 1
-    return np.where(n > 0, np.minimum(needed + np.floor(MORE * np.sqrt(n)).astype(np.int64), n), 0)
+    return np.where(n > 0, np.minimum(needed + np.floor(more * np.sqrt(n)).astype(np.int64), n), 0)
 
 
 def _first_of(owner: np.ndarray, keys: np.ndarray, n: np.ndarray, take: np.ndarray) -> pa.ListArray:
@@ -195,6 +195,15 @@ def _homes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(offsets)), offsets
 
 
+def _partners(n: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Sizes up to which a set of n can have a partner whom it first meets at its shingle of this rank.
+
+    Sets of n and m shingles have at least o = 80 (n + m) / 180 in common, so each has one among its
+    first n - o + 1. As whole numbers: 80 times the size.
+    """
+    return 100 * n - (100 + PERCENT) * (rank - 1)
+
+
 def _tallied(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """How many different nodes of a batch visit each region."""
     for batch in batches:
@@ -278,8 +287,11 @@ def _wide(batches: Iterator[pa.RecordBatch], wide: np.ndarray) -> Iterator[pa.Re
         wholly = (below < np.diff(offsets)) | (np.diff(offsets) == n)
         at = np.flatnonzero(in_wide)
         own = owner[at]
-        columns = [keys[at], batch.column("node").to_numpy()[own], n[own], np.where(wholly, below, -FAR)[own], shared[own]]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["home", "node", "n", "below", "shared"])
+        columns = [
+            keys[at], batch.column("node").to_numpy()[own], n[own], np.where(wholly, below, -FAR)[own], shared[own],
+            _partners(n[own], at - offsets[own] + 1),
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["home", "node", "n", "below", "shared", "upto"])
 
 
 def _still_possible(rows: DataFrame) -> DataFrame:
@@ -291,13 +303,33 @@ def _still_possible(rows: DataFrame) -> DataFrame:
     """
     own = (100 + PERCENT) * F.col("below") - (100 - PERCENT) * F.col("n")
     both = 2 * (100 + PERCENT) * F.col("shared")
-    size = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))
-    sized = rows.select("home", "node", "n", size.alias("size"), own.alias("own"), both.alias("both"))
-    reach = sized.select("home", F.explode(F.array(*[F.col("size") + k for k in (-1, 0, 1)])).alias("size"), "own", "both")
-    reach = reach.groupBy("home", "size").agg(F.min("own").alias("__own"), F.min(F.col("own") - F.col("both")).alias("__less"))
+    sized = rows.select("home", "node", "n", "upto", _size().alias("size"), own.alias("own"), both.alias("both"))
+    reach = _nearby(sized).groupBy("home", "size").agg(F.min("own").alias("__own"), F.min(F.col("own") - F.col("both")).alias("__less"))
     met = sized.join(reach, ["home", "size"])
     possible = (F.col("own") + F.col("__own") - F.col("both") <= 0) & (F.col("own") + F.col("__less") <= 0)
-    return met.where(possible).select("home", "node", "n")
+    return met.where(possible).select("home", "node", "n", "upto")
+
+
+def _size() -> Column:
+    """A class of sizes; linked sets are in the same or in neighbouring ones."""
+    return F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))
+
+
+def _nearby(sized: DataFrame) -> DataFrame:
+    """Every row once for each class of sizes that its links may be in."""
+    rest = [c for c in sized.columns if c != "size"]
+    return sized.select(*rest, F.explode(F.array(*[F.col("size") + k for k in (-1, 0, 1)])).alias("size"))
+
+
+def _with_partners(rows: DataFrame) -> DataFrame:
+    """The visits that some other visit of the region, of a like size, can be first met at."""
+    sized = rows.select("home", "node", "n", "upto", _size().alias("size"))
+    reach = _nearby(sized).groupBy("home", "size").agg(
+        F.min("n").alias("__low"), F.max("upto").alias("__high"), F.count("*").alias("__count")
+    )
+    met = sized.join(reach, ["home", "size"]).where("__count > 1")
+    fits = (PERCENT * F.col("__low") <= F.col("upto")) & (PERCENT * F.col("n") <= F.col("__high"))
+    return met.where(fits).select("home", "node", "n")
 
 
 def _small_pairs(table: pa.Table) -> pa.Table:
@@ -306,6 +338,7 @@ def _small_pairs(table: pa.Table) -> pa.Table:
     order = np.lexsort((node, home))
     fresh = order[np.concatenate(([True], (home[order][1:] != home[order][:-1]) | (node[order][1:] != node[order][:-1])))]
     home, node, n, rank, last, wide = (c[fresh] for c in (home, node, n, rank, last, wide))
+    upto = _partners(n, rank.astype(np.int64))
     left, right, step = [], [], 1
     while True:  # rows of a region lie together, few of them
         same = np.flatnonzero(home[step:] == home[:-step]) if step < len(home) else np.zeros(0, np.int64)
@@ -319,14 +352,16 @@ def _small_pairs(table: pa.Table) -> pa.Table:
     x, y = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
     order = np.lexsort((rank[x], node[y], node[x]))
     x, y = x[order], y[order]
+    meets = (PERCENT * n[y] <= upto[x]) & (PERCENT * n[x] <= upto[y])
     final = np.flatnonzero(np.concatenate(((node[x][1:] != node[x][:-1]) | (node[y][1:] != node[y][:-1]), [True]))[: len(x)])
     counts = np.diff(np.concatenate(([-1], final)))
+    any_meets = np.logical_or.reduceat(meets, np.concatenate(([0], final[:-1] + 1))) if len(final) else meets
     x, y = x[final], y[final]  # the pair's last shared region of the part
-    columns = [node[x], node[y], counts, n[x], n[y], rank[x], rank[y], last[x], last[y], wide[x], wide[y]]
+    columns = [node[x], node[y], counts, n[x], n[y], rank[x], rank[y], last[x], last[y], wide[x], wide[y], any_meets]
     return pa.Table.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=_PAIR)
 
 
-_PAIR = ["a", "b", "common", "x_n", "y_n", "x_rank", "y_rank", "x_last", "y_last", "x_wide", "y_wide"]
+_PAIR = ["a", "b", "common", "x_n", "y_n", "x_rank", "y_rank", "x_last", "y_last", "x_wide", "y_wide", "meets"]
 
 
 def _fits(n: Column, m: Column) -> Column:
@@ -342,6 +377,7 @@ def _regions(visiting: DataFrame, leaf: int, by_hash: bool) -> tuple[DataFrame,
     """Pairs (a, b) of small regions that may be linked, and rows (home, node, n) of wide regions."""
     visits = visiting.agg(F.sum(F.size("homes"))).first()[0] or 0
     parts = max(int(visiting.sparkSession.conf.get("spark.sql.shuffle.partitions")), visits // PART_VISITS)
+    more = MORE if by_hash else 0.0
     several, wide = _bitmaps(visiting, parts, leaf)
     blobs = visiting.select("node", "n", "homes").mapInArrow(
         lambda batches: _narrow(batches, several, wide, parts),
@@ -355,18 +391,18 @@ def _regions(visiting: DataFrame, leaf: int, by_hash: bool) -> tuple[DataFrame,
     # regions is not counted, so as much as possible is assumed.
     common = F.col("common") + F.least("x_wide", "y_wide")
     visits_of = {
-        side: F.expr(f"least({side}_n, {side}_n - ({PERCENT} * {side}_n + 99) div 100 + 1 + floor({MORE}D * sqrt({side}_n)))")
+        side: F.expr(f"least({side}_n, {side}_n - ({PERCENT} * {side}_n + 99) div 100 + 1 + floor({more}D * sqrt({side}_n)))")
         for side in "xy"
     }
     known = F.when(F.col("x_last") <= F.col("y_last"), visits_of["x"] + F.col("y_rank")).otherwise(
         visits_of["y"] + F.col("x_rank")
     )
-    near = pairs.where(_few_differ(known - 2 * common, F.col("x_n"), F.col("y_n"))).select("a", "b")
+    near = pairs.where("meets > 0").where(_few_differ(known - 2 * common, F.col("x_n"), F.col("y_n"))).select("a", "b")
     rows = visiting.select("node", "n", "homes").mapInArrow(
-        lambda batches: _wide(batches, wide), "home bigint, node bigint, n bigint, below bigint, shared bigint"
+        lambda batches: _wide(batches, wide), "home bigint, node bigint, n bigint, below bigint, shared bigint, upto bigint"
     )
     rows = materialise(rows.distinct(), "join-visits")
-    rows = _still_possible(rows) if by_hash else rows.drop("below", "shared")
+    rows = _with_partners(_still_possible(rows) if by_hash else rows)
     sizes = rows.groupBy("home").agg(F.min("node").alias("__lo"), F.max("node").alias("__hi")).where("__lo <> __hi")
     return materialise(near, "join-pairs"), materialise(rows.join(sizes.select("home"), "home"), "join-wide")
 
@@ -414,7 +450,7 @@ def _reordered(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[
         keys = ids | (_on(bits, ids).astype(np.int64) << np.int64(shingles.ID_BITS))
         keys = keys[np.lexsort((keys, owner))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array(n), _first_of(owner, keys, n, _visits(n))], names=["node", "n", "homes"]
+            [batch.column("node"), pa.array(n), _first_of(owner, keys, n, _visits(n, 0.0))], names=["node", "n", "homes"]
         )
 
 
