@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adjudica.operators import ordered
 from adjudica.operators import ordered
 from adjudica.operators.decisions import (
     AnyDecision,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from adjudica import schemas
 from adjudica.functions import permutation
 from adjudica.functions.tokens import token
-from adjudica.operators import erasure, file_erasure, privacy, views
+from adjudica.operators import erasure, file_erasure, privacy, sealed, views
 from adjudica.registry import query, r6
 from adjudica.registry.tables import plain
 from adjudica.sources import bindings, file_table, scratch
@@ -358,3 +358,20 @@ def snapshot_retention(spark, sf_dir):
     )
     kept = erasure.retain_snapshots(audit, F.lit("2001-06-01"))
     return kept.select("o_orderkey", "pre_erasure_snapshot")
+
+
+@query(
+    """select o_orderkey, o_custkey, case when o_orderdate::date + interval 7 year >= date '2001-06-15' and o_custkey <> (select min(o_custkey) from orders)
+  then o_orderpriority end as pre_erasure_snapshot from orders"""
+)
+def sealed_retention(spark, sf_dir):
+    """Snapshots under data keys of their subjects: some keys expire, one subject is forgotten."""
+    audit = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", "o_custkey", F.col("o_orderdate").alias("erased_at"), F.col("o_orderpriority").alias("pre_erasure_snapshot")
+    )
+    keys = sealed.KeyStore(spark, scratch.new_path(spark, "keys"), F.lit(b"0123456789abcdef"), ["o_custkey"])
+    keys.add(audit, as_of=F.lit("2000-01-01"))
+    stored = scratch.materialise(keys.seal(audit), "sealed-audit")
+    keys.expire(F.lit("2001-06-15"))
+    keys.forget(audit.select(F.min("o_custkey").alias("o_custkey")).first().asDict())
+    return keys.open(stored).select("o_orderkey", "o_custkey", "pre_erasure_snapshot")

@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from adjudica.functions import costs, masks
-from adjudica.operators import analytics, decisions, monoids, regimes, rules, visibility
+from adjudica.operators import analytics, decisions, monoids, regimes, rules, score_sketches, visibility
 from adjudica.operators.decisions import Decision, adm_joint, lift_all
 from adjudica.plans import outcomes, replay
 from adjudica.registry import query, r6
 from adjudica.registry.decisions import _BASIC, _RISK, _U, _fired
 from adjudica.registry.rules import UNDERWRITING_FIRES, UNDERWRITING_SCORES
-from adjudica.sources import bindings
+from adjudica.sources import bindings, scratch
 
 _SEVERE = f"""greatest(case when {UNDERWRITING_FIRES['guardrail_consent'][1]} then 4 else 0 end,
   case when {UNDERWRITING_FIRES['max_loss_ratio'][1]} then 2 else 0 end)"""
@@ -275,3 +275,41 @@ def partial_reveal(spark, sf_dir):
         masks.zip_prefix(F.col("zip_code")).alias("zip_code"),
         masks.year_only(F.col("schema_effective_date")).alias("effective_year"),
     )
+
+
+_BY_LINE = f"""{_U}, s as (select u.product_line, {_RISK} as score from u join orders on o_orderkey = proposal_id
+  where o_orderdate::date >= date '1993-01-01' and o_orderdate::date < date '1997-01-01')"""
+
+
+@query(
+    _BY_LINE + " select product_line, count(*) as n, round(avg(score), 6) as mean_score, round(max(score), 6) as max_score, "
+    "count(*) filter (score > 9e-1) as n_outliers, true as quantiles_within_bound from s group by product_line"
+)
+def score_sketches_over_months(spark, sf_dir):
+    """Scores sketched and stored by month, one month written twice; a question over four years."""
+    score = decisions.evaluate(regimes.risk_budget().decisions, monoids.SCORE)
+    dates = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("proposal_id"), F.trunc("o_orderdate", "MM").alias("month")
+    )
+    scored = bindings.underwriting(spark, sf_dir).withColumn("score", score).join(dates, "proposal_id")
+    by, path = ["product_line"], scratch.new_path(spark, "sketches")
+    months = score_sketches.daily(scored, by, F.col("month"), F.col("score"))
+    score_sketches.store(months, path)
+    score_sketches.store(months.where("day = '1994-01-01'"), path)
+    span = "{0} >= '1993-01-01' and {0} < '1997-01-01'"
+    merged = score_sketches.merge(spark.read.parquet(path).where(span.format("day")), by)
+    found = score_sketches.statistics(merged, by, {"lower": 0.25, "upper": 0.9})
+    # Ranks of the quantiles found, counted over all scores of the span.
+    asked = {"median_score": 0.5, "lower": 0.25, "upper": 0.9}
+    pairs = scored.where(span.format("month")).select(*by, "score").join(found.select(*by, *asked), by)
+    ranks = pairs.groupBy(*by).agg(
+        *[F.avg((F.col("score") < F.col(q)).cast("double")).alias(f"{q}_low") for q in asked],
+        *[F.avg((F.col("score") <= F.col(q)).cast("double")).alias(f"{q}_high") for q in asked],
+    )
+    bound, within = score_sketches.rank_error(), F.lit(True)
+    for q, place in asked.items():
+        within = within & (F.col(f"{q}_low") <= place + bound) & (F.col(f"{q}_high") >= place - bound)
+    return found.join(ranks, by).select(
+        *by, "n", r6("mean_score").alias("mean_score"), r6("max_score").alias("max_score"), "n_outliers",
+        within.alias("quantiles_within_bound"),
+    )
