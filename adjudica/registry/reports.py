@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from adjudica.functions import costs, masks
-from adjudica.operators import analytics, decisions, monoids, regimes, rules, score_sketches, visibility
+from adjudica.operators import analytics, decisions, lineage, monoids, regimes, rules, score_sketches, visibility
 from adjudica.operators.decisions import Decision, adm_joint, lift_all
 from adjudica.plans import outcomes, replay
 from adjudica.registry import query, r6
@@ -313,3 +313,26 @@ def score_sketches_over_months(spark, sf_dir):
         *by, "n", r6("mean_score").alias("mean_score"), r6("max_score").alias("max_score"), "n_outliers",
         within.alias("quantiles_within_bound"),
     )
+
+
+# Columns are parts; each is the source of two others, so ways branch, meet again and close to cycles.
+_LINEAGE = """select p_partkey as source, p_partkey * 2 % (select max(p_partkey) from part) as target from part
+union all select p_partkey, (p_partkey * 3 + 1) % (select max(p_partkey) from part) from part where p_size % 2 = 0"""
+_OWN = """select p_partkey as field, case when p_size > 48 then 'direct' when p_size > 47 then 'quasi' when p_size > 45 then 'sensitive' end as category,
+  case when p_size % 3 = 0 then 'GLBA' when p_size % 3 = 1 then 'HIPAA' else 'CCPA' end as regime from part where p_size > 44"""
+
+
+@query(
+    f"""with recursive e as ({_LINEAGE}), l as ({_OWN}),
+t(field, tag) as (select field, category from l where category is not null union select field, regime from l
+  union select e.target, t.tag from t join e on e.source = t.field)
+select field, case min(case tag when 'direct' then 1 when 'quasi' then 2 when 'sensitive' then 3 end)
+    when 1 then 'direct' when 2 then 'quasi' when 3 then 'sensitive' end as category,
+  coalesce(string_agg(tag, ',' order by tag) filter (tag in ('GLBA', 'HIPAA', 'CCPA')), '') as regimes
+from t group by field"""
+)
+def inherited_labels(spark, sf_dir):
+    bindings.tables(spark, sf_dir, "part")
+    own = spark.sql(_OWN).withColumn("regimes", F.array("regime")).drop("regime")
+    labels = lineage.inherited_labels(own, spark.sql(_LINEAGE))
+    return labels.withColumn("regimes", F.array_join("regimes", ","))
