@@ -92,8 +92,8 @@ def distinct_observations(stream: DataFrame, bucket_seconds: int = 3600, ttl_ms:
 
     State is the list of times seen per learner and bucket of time, so a hot learner spreads over
     tasks; a bucket's rows of one micro-batch and its times must fit one task. Without ``ttl_ms``
-    times are kept for good, so the store grows with the distinct times. With it, the list is forgotten that long after its last change: a repeat after it counts again. NULL times
-    are one time.
+    times are kept for good, so the store grows with the distinct times. With it, the list is
+    forgotten that long after its last change: a repeat after it counts again. NULL times are one time.
     """
     at = micros(F.col("ts"))
     keyed = stream.select(
