@@ -6,60 +6,88 @@ they are and stay readable: the token of ``tokens`` is for such names. Rounds ta
 kind are moved on within their class by amounts that a keyed hash draws from all the others. As a
 round leaves what it hashes unchanged, it can be undone, so different strings get different tokens and the
 key gives the string back; no map is kept. A string of one character is moved by a constant.
+
+A batch's strings are turned together: their characters are one array, and only the hash is taken
+string by string.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Iterator, Sequence
+from hashlib import sha256
 
-from adjudica.functions.common import let
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, functions as F
 
 ROUNDS = 8
 #: First character and number of characters of each class.
 CLASSES = (("A", 26), ("a", 26), ("0", 10), ("À", 23), ("Ø", 7), ("à", 23), ("ø", 8))
 
 
-def _each(text: Column, body) -> Column:
-    """The characters of a text, each replaced by body(character, place from 0)."""
-    places = F.sequence(F.lit(0), F.length(text) - 1)
-    return F.array_join(F.transform(places, lambda i: body(F.substr(text, i + 1, F.lit(1)), i)), "")
+#: Characters turned at a time, unless one string has more: bounds memory.
+SLICE_CHARS = 400_000
+
+# First character and number of characters of each code point's class; 0 where it has none.
+_FIRST, _COUNT = np.zeros(256, np.int64), np.zeros(256, np.int64)
+for _first, _count in CLASSES:
+    _FIRST[ord(_first) : ord(_first) + _count] = ord(_first)
+    _COUNT[ord(_first) : ord(_first) + _count] = _count
 
 
-def _in_class(char: Column, first: str, count: int) -> Column:
-    return char.between(first, chr(ord(first) + count - 1))
+def _turned(texts: list[str], keys: list[str | None], numbers: Sequence[int], sign: int) -> list[bytes]:
+    """Each text after the rounds of these numbers."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lengths)
+    spans = list(zip((ends - lengths).tolist(), ends.tolist(), strict=True))
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    place = np.arange(len(owner)) - (ends - lengths)[owner]
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    known = np.where(points < len(_FIRST), points, 0)
+    first, count = _FIRST[known], np.maximum(_COUNT[known], 1)
 
+    def strings(of: np.ndarray) -> list[bytes]:
+        joined = of.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        return [joined[a:b].encode("utf-8", "surrogateescape") for a, b in spans]
 
-def _round(text: Column, number: Column, key: Column, sign: int) -> Column:
-    def turn(i: Column) -> Column:
-        return (i + number) % 2 == 0
+    for number in numbers:
+        turn = (_COUNT[known] > 0) & ((place + number) % 2 == 0)
+        # As concat_ws does, a NULL key is left out.
+        secrets = [(f"{number}|" if k is None else f"{k}|{number}|").encode("utf-8", "surrogateescape") for k in keys]
+        masked = strings(np.where(turn, first, points))
+        digests = b"".join(sha256(k + m).digest() for k, m in zip(secrets, masked, strict=True))
+        drawn = np.frombuffer(digests, ">u2").reshape(-1, 16)[owner, place % 16].astype(np.int64)
+        points = np.where(turn, first + (points - first + sign * drawn) % count, points)
+    return strings(points)
 
-    def masked(char: Column, i: Column) -> Column:
-        out = F.when(~turn(i), char)
-        for first, count in CLASSES:
-            out = out.when(_in_class(char, first, count), F.lit(first))
-        return out.otherwise(char)
 
-    def moved(digest: Column):
-        def body(char: Column, i: Column) -> Column:
-            drawn = F.conv(F.substr(digest, 4 * (i % 16) + 1, F.lit(4)), 16, 10).cast("int")
-            out = F.when(~turn(i), char)
-            for first, count in CLASSES:
-                place = F.pmod(F.ascii(char) - ord(first) + sign * drawn, F.lit(count))
-                out = out.when(_in_class(char, first, count), F.char(place + ord(first)))
-            return out.otherwise(char)
+def _slices(texts: list[str | None]) -> Iterator[slice]:
+    start, chars = 0, 0
+    for row, text in enumerate(texts):
+        size = len(text or "")
+        if chars and chars + size > SLICE_CHARS:
+            yield slice(start, row)
+            start, chars = row, 0
+        chars += size
+    yield slice(start, len(texts))
 
-        return body
 
-    digest = F.sha2(F.concat_ws("|", key, number.cast("string"), _each(text, masked)), 256)
-    return let(digest, lambda d: _each(text, moved(d)))
+def _strings(column: pa.Array) -> list[str | None]:
+    """Bytes that are no UTF-8 stay what they are."""
+    return [v if v is None else v.decode("utf-8", "surrogateescape") for v in column.cast(pa.binary()).to_pylist()]
 
 
 def _all_rounds(text: Column, key: str | Column, numbers: list[int], sign: int) -> Column:
-    secret = F.lit(key) if isinstance(key, str) else key
-    rounds = F.array(*[F.lit(n) for n in numbers])
-    return F.when(F.length(text) == 0, text).otherwise(
-        F.aggregate(rounds, text, lambda s, n: _round(s, n, secret, sign))
-    )
+    @F.arrow_udf("string")
+    def turned(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        values, secrets = _strings(texts), _strings(keys)
+        out: list[bytes | None] = []
+        for part in _slices(values):
+            done = _turned([v or "" for v in values[part]], secrets[part], numbers, sign)
+            out += [None if v is None else d for v, d in zip(values[part], done, strict=True)]
+        return pa.array(out, pa.binary()).view(pa.string())
+
+    return turned(text, F.lit(key) if isinstance(key, str) else key)
 
 
 def permute(text: Column, key: str | Column, rounds: int = ROUNDS) -> Column:

@@ -217,3 +217,26 @@ def test_permutation_keeps_shapes_and_takes_back(spark):
             assert [(c.isupper(), c.isdigit()) for c in t] == [(c.isupper(), c.isdigit()) for c in token]
     long = [r for r in rows.collect() if r["t"] and len(r["t"]) > 15]
     assert all(r["token"] != r["t"] and r["other"] != r["token"] for r in long)
+
+
+def test_permutation_turns_a_batch_of_names_together(spark):
+    names = spark.range(20_000).select(F.concat(F.lit("Name#"), F.col("id").cast("string")).alias("n"), F.lit("k").alias("k"))
+    both = names.withColumn("t", permutation.permute(F.col("n"), F.col("k"))).withColumn("b", permutation.restore(F.col("t"), "k"))
+    # No expression that Spark interprets character by character.
+    assert "lambda" not in both._jdf.queryExecution().executedPlan().toString()
+    assert both.where("n <> b").count() == 0 and both.select("t").distinct().count() == 20_000
+
+
+def test_permutation_slices_hold_every_text_once_and_bounded(monkeypatch):
+    monkeypatch.setattr(permutation, "SLICE_CHARS", 10)
+    texts = [None, "", "abcdef", "abcd", "x", "y" * 30, "", None, "zz"]
+    parts = [texts[p] for p in permutation._slices(texts)]
+    assert [t for part in parts for t in part] == texts
+    assert all(sum(len(t or "") for t in part) <= 10 or [len(t) for t in part if t] == [30] for part in parts)
+    assert [p.stop for p in permutation._slices([])] == [0]
+
+
+def test_permutation_of_bytes_that_are_no_text(spark):
+    df = spark.range(1).selectExpr("cast(X'61FF62C3' as string) as t")
+    out = df.select("t", permutation.permute(F.col("t"), "k").alias("token"))
+    assert out.where(permutation.restore(F.col("token"), "k") == F.col("t")).count() == 1
