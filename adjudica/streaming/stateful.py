@@ -63,10 +63,29 @@ def micros(ts: Column) -> Column:
 # Repeats counted once -----------------------------------------------------------------------
 
 
+NUMBERS = ("observation", "sigma2", "mu0", "kappa0")
+
+
+def _first_seen(rows: DataFrame) -> DataFrame:
+    """Rows whose (learner_id, at) came in no earlier micro-batch, by an aggregation with state.
+
+    ``current_timestamp`` is one instant for a whole micro-batch, and the same when it is run again.
+    """
+    now = F.current_timestamp()
+    # NaN counts as NULL, and a NULL observation is larger than any other.
+    numbers = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in NUMBERS]
+    dated = rows.select("learner_id", "at", now.alias("came"), *numbers)
+    row = F.struct("came", F.col("observation").isNull().alias("none"), *NUMBERS)
+    seen = dated.groupBy("learner_id", "at").agg(F.min(row).alias("first"), F.max("came").alias("last"))
+    # Both ends are asked for, so that a clock set back between micro-batches makes no row fresh again.
+    fresh = seen.where((F.col("first.came") == now) & (F.col("last") == now))
+    return fresh.select("learner_id", *[f"first.{c}" for c in NUMBERS])
+
+
 class _Unseen(StatefulProcessor):
-    """Rows whose time was not seen before in their bucket."""
+    """Rows whose time was not seen before in their bucket, or so long ago that it is forgotten."""
 
-    def __init__(self, ttl_ms: int | None):
+    def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -81,7 +100,7 @@ class _Unseen(StatefulProcessor):
         fresh = frame[~frame["at"].isin(known)]
         if len(fresh):
             self.seen.update(([int(v) for v in np.union1d(known, fresh["at"])],))
-            yield fresh[["learner_id", "observation", "sigma2", "mu0", "kappa0"]]
+            yield fresh[["learner_id", *NUMBERS]]
 
     def close(self) -> None:
         pass
@@ -90,23 +109,24 @@ class _Unseen(StatefulProcessor):
 def distinct_observations(stream: DataFrame, bucket_seconds: int = 3600, ttl_ms: int | None = None) -> DataFrame:
     """Observations with repeats of (learner_id, ts) taken once, however late the repeat or the row.
 
-    State is the list of times seen per learner and bucket of time, so a hot learner spreads over
-    tasks; a bucket's rows of one micro-batch and its times must fit one task. Without ``ttl_ms``
-    times are kept for good, so the store grows with the distinct times. With it, the list is
-    forgotten that long after its last change: a repeat after it counts again. NULL times are one time.
+    Of rows of one (learner_id, ts) in a micro-batch the smallest observation counts. NULL times are
+    one time. Without ``ttl_ms`` times are kept for good, so the store grows with the distinct times:
+    state is one row for each, and a hot learner spreads over tasks. With it, state is the list of
+    times seen per learner and bucket of ``bucket_seconds``, which is forgotten that long after its
+    last change: a repeat after it counts again. Then a bucket's rows of one micro-batch and its
+    times must fit one task, and each bucket with rows costs a call of Python.
     """
-    at = micros(F.col("ts"))
-    keyed = stream.select(
-        "learner_id",
-        F.floor(at / (bucket_seconds * 1_000_000)).alias("bucket"),
-        at.alias("at"),
-        *[F.col(c).cast("double").alias(c) for c in ("observation", "sigma2", "mu0", "kappa0")],
+    rows = stream.select(
+        "learner_id", micros(F.col("ts")).alias("at"), *[F.col(c).cast("double").alias(c) for c in NUMBERS]
     )
-    return keyed.groupBy("learner_id", "bucket").transformWithStateInPandas(
+    if ttl_ms is None:
+        return _first_seen(rows)
+    bucket = F.floor(F.col("at") / (bucket_seconds * 1_000_000))
+    return rows.withColumn("bucket", bucket).groupBy("learner_id", "bucket").transformWithStateInPandas(
         _Unseen(ttl_ms),
         "learner_id string, observation double, sigma2 double, mu0 double, kappa0 double",
         outputMode="Update",
-        timeMode="ProcessingTime" if ttl_ms is not None else "None",
+        timeMode="ProcessingTime",
     )
 
 

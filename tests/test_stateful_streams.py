@@ -59,6 +59,33 @@ def test_repeats_count_once_and_late_rows_count(spark, tmp_path, ttl_ms):
         assert got[w["learner_id"]]["posterior_mean"] == pytest.approx(w["posterior_mean"])
 
 
+def test_of_one_time_the_first_batch_counts_and_in_it_the_smallest(spark, tmp_path):
+    folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    nan = float("nan")
+
+    def at(minute, *values):
+        return [("u", START + dt.timedelta(minutes=minute), v, 25.0, 50.0, 0.5) for v in values]
+
+    for rows in (
+        at(0, 3.0, 2.0, None, nan) + at(1, None, nan),
+        at(0, 1.0) + at(1, 7.0) + at(2, -0.5, nan, 0.5),
+        at(2, -9.0) + at(3, 4.0),
+    ):
+        drop_file(spark, rows, OBSERVED, folder)
+        once = stateful.distinct_observations(stream_of(spark, OBSERVED, folder))
+        stateful.write_sums(once, out, mark).awaitTermination()
+    sums = {r["batch"]: (r["n"], r["total"]) for r in spark.read.parquet(out).collect()}
+    assert sums == {0: (2, 2.0), 1: (1, -0.5), 2: (1, 4.0)}
+
+
+def test_seen_times_are_kept_without_a_call_of_python_for_each_bucket(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    drop_file(spark, [("u", START, 1.0, 25.0, 50.0, 0.5)], OBSERVED, folder)
+    once = stateful.distinct_observations(stream_of(spark, OBSERVED, folder))
+    plan = once._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "TransformWithState" not in plan
+
+
 def composed():
     return stateful.compose(stateful.linear(0.01, [0.5]), stateful.linear(0.01, [0.1, 0.2]))
 
