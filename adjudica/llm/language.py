@@ -200,7 +200,8 @@ def keep_identified(
     def name(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from _named(texts, names, matrix)
 
-    found = docs.withColumn("__found", name(F.col(text)))
+    # Else the filter would ask for the language once more, by a second worker in each task.
+    found = docs.withColumn("__found", name.asNondeterministic()(F.col(text)))
     kept = found.where(F.col("__found") != UNKNOWN)
     if wanted is not None:
         kept = kept.where(F.col("__found").isin(*wanted)) if wanted else kept.limit(0)

@@ -61,3 +61,10 @@ def test_vectors_match_plain_binding():
                 v = [np.ones(dims, np.int8) if x is None else language.letter_vector(ord(x), dims) for x in (a, b, c)]
                 vector += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
         assert np.array_equal(language.text_vectors(["", sample, "x"], dims)[1], vector)
+
+
+def test_each_text_is_asked_once(frame):
+    prototypes = {"a": np.ones(64), "b": -np.ones(64)}
+    for wanted in (None, ["a"]):
+        kept = language.keep_identified(frame([(1, "abc")]), prototypes, wanted=wanted)
+        assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
