@@ -53,6 +53,8 @@ CUTS = 2
 FILTER_LOG = 25
 #: Visits of regions that one task brings together, about.
 PART_VISITS = 2_000_000
+#: Pairs of small regions that a task holds at a time, about.
+HELD_PAIRS = 500_000
 #: A hash below which nearly all sets visit all of their shingles' regions.
 KNOWN = np.int64(0.18 * (1 << int(shingles.ID_BITS)))
 MORE = 1.0
@@ -332,12 +334,25 @@ def _with_partners(rows: DataFrame) -> DataFrame:
     return met.where(fits).select("home", "node", "n")
 
 
-def _small_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of the nodes that share a region, with the number of regions shared in this part."""
-    home, node, n, rank, last, wide = _joined(table, [np.int64, np.int64, np.int64, np.int32, np.int64, np.int32])
+def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the nodes that share a region, some regions at a time, so that few pairs are held."""
+    columns = _joined(pa.Table.from_batches(batches), [np.int64, np.int64, np.int64, np.int32, np.int64, np.int32])
+    home, node = columns[:2]
     order = np.lexsort((node, home))
     fresh = order[np.concatenate(([True], (home[order][1:] != home[order][:-1]) | (node[order][1:] != node[order][:-1])))]
-    home, node, n, rank, last, wide = (c[fresh] for c in (home, node, n, rank, last, wide))
+    columns = [c[fresh] for c in columns]
+    starts = np.flatnonzero(np.diff(columns[0], prepend=columns[0][0] - 1))
+    sizes = np.diff(np.append(starts, len(fresh)))
+    turn = np.cumsum(sizes * (sizes - 1) // 2) // HELD_PAIRS
+    bounds = np.append(starts[np.flatnonzero(np.diff(turn, prepend=-1))], len(fresh))
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        yield _pairs_of(*(c[lo:hi] for c in columns))
+
+
+def _pairs_of(
+    home: np.ndarray, node: np.ndarray, n: np.ndarray, rank: np.ndarray, last: np.ndarray, wide: np.ndarray
+) -> pa.RecordBatch:
+    """The pairs of some regions, with the number of these regions that they share; rows are sorted by region."""
     upto = _partners(n, rank.astype(np.int64))
     left, right, step = [], [], 1
     while True:  # rows of a region lie together, few of them
@@ -356,9 +371,9 @@ def _small_pairs(table: pa.Table) -> pa.Table:
     final = np.flatnonzero(np.concatenate(((node[x][1:] != node[x][:-1]) | (node[y][1:] != node[y][:-1]), [True]))[: len(x)])
     counts = np.diff(np.concatenate(([-1], final)))
     any_meets = np.logical_or.reduceat(meets, np.concatenate(([0], final[:-1] + 1))) if len(final) else meets
-    x, y = x[final], y[final]  # the pair's last shared region of the part
+    x, y = x[final], y[final]  # the last region that the pair shares here
     columns = [node[x], node[y], counts, n[x], n[y], rank[x], rank[y], last[x], last[y], wide[x], wide[y], any_meets]
-    return pa.Table.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=_PAIR)
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=_PAIR)
 
 
 _PAIR = ["a", "b", "common", "x_n", "y_n", "x_rank", "y_rank", "x_last", "y_last", "x_wide", "y_wide", "meets"]

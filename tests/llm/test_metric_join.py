@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +93,30 @@ def test_the_bound_is_met_exactly(spark, extra, linked):
     text = [f"w{i}" for i in range(44)]
     rows = [(1, " ".join(text)), (2, " ".join([*text, *(f"x{i}" for i in range(extra))]))]
     assert {c for _, _, c in found(spark, rows)} == ({1} if linked else {1, 2})
+
+
+def test_pairs_of_many_full_regions_are_held_some_at_a_time(monkeypatch):
+    """op11_jaccard_join: a task's memory does not grow with the pairs of all of its regions."""
+    monkeypatch.setattr(metric_join, "HELD_PAIRS", 5000, raising=False)
+    rng = np.random.default_rng(3)
+    members = [rng.choice(200, metric_join.LEAF, replace=False) for _ in range(100)]
+    home = np.repeat(np.arange(100), metric_join.LEAF)
+    node = np.concatenate(members)
+    again = rng.permutation(np.concatenate((np.arange(len(home)), np.arange(50))))  # some visits come twice
+    home, node = home[again], node[again]
+    n, rank = np.full(len(home), 100), np.ones(len(home), np.int32)
+    columns = [home, node, n, rank, node + 1000, np.zeros(len(home), np.int32)]
+    halves = [[c[:3000].tobytes() for c in columns], [c[3000:].tobytes() for c in columns]]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *[pa.array([c]) for c in half]], names=["part", *[f"c{i}" for i in range(6)]])
+        for half in halves
+    ]
+    common, largest = Counter(), 0
+    for out in metric_join._small_pairs(iter(batches)):
+        largest = max(largest, out.num_rows)
+        for row in out.to_pylist():
+            assert row["x_last"] == row["a"] + 1000 and row["y_last"] == row["b"] + 1000 and row["meets"] == 1
+            common[tuple(sorted((row["a"], row["b"])))] += row["common"]
+    expected = Counter(pair for nodes in members for pair in combinations(sorted(nodes.tolist()), 2))
+    assert common == expected
+    assert largest <= 5000 + metric_join.LEAF**2 // 2
