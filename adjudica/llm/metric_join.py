@@ -13,7 +13,8 @@ other regions a text must also visit so that no link is lost. Texts with the sam
 2. Which regions several nodes visit, and which more than LEAF, is counted in tasks and kept as two
    bitmaps of fixed size. Regions of up to LEAF nodes give pairs. The first shingles of both texts up to a common bound are
    all known, and each that only one of them has counts towards their difference. Pairs whose
-   difference is then too large already are dropped, the others are compared as whole sets.
+   difference is then too large already are dropped, then those whose odd sketches differ too much.
+   The others are compared as whole sets.
 3. Wider regions are joined again, with those of their nodes that may still have a link there: shingles that are frequent among these
    come last in the order, so common passages stop being anybody's home.
 4. What is still wide are texts that are alike. There the pivots are texts: each node's distance to
@@ -35,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adjudica.llm import membership, shingles, textbatch
+from adjudica.llm import membership, rows as numbered, shingles, textbatch
 from adjudica.llm.components import components
 from adjudica.sources.scratch import materialise
 
@@ -110,6 +111,18 @@ def _first_of(owner: np.ndarray, keys: np.ndarray, n: np.ndarray, take: np.ndarr
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))), pa.int32()), pa.array(keys[chosen]))
 
 
+def _sketches(n: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> list[bytes]:
+    """Odd sketches: which of a set's bits, n of them or up to twice as many, an odd number of its shingles falls on.
+
+    The numbers of bits are powers of 2, so the longer of two is folded to the length of the other.
+    """
+    bits = np.int64(1) << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    ends = np.cumsum(bits)
+    at = (ends - bits)[owner] + (ids & (bits - 1)[owner])
+    odd = np.packbits((np.bincount(at, minlength=ends[-1] if len(ends) else 0) & 1).astype(np.uint8))
+    return [odd[lo // 8 : hi // 8].tobytes() for lo, hi in zip(ends - bits, ends, strict=True)]
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, texts in textbatch.slices(batch.column("text")):
@@ -120,42 +133,37 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             single = np.zeros(len(texts), bool)
             single[np.unique(node, return_index=True)[1]] = True
             visits = np.where(single, _visits(n), 0)
-            row = [batch.column(c).slice(start, len(texts)) for c in ("id", "k1", "k2")]
+            row = [batch.column(c).slice(start, len(texts)) for c in ("id", "file", "index")]
+            sketches = pa.array(_sketches(n, owner, ids), pa.binary(), mask=visits == 0)
             yield pa.RecordBatch.from_arrays(
-                [*row, pa.array(node), pa.array(n), _first_of(owner, ids, n, visits)],
-                names=["id", "k1", "k2", "node", "n", "homes"],
+                [*row, pa.array(node), pa.array(n), _first_of(owner, ids, n, visits), sketches],
+                names=["id", "file", "index", "node", "n", "homes", "sketch"],
             )
 
 
-def _text_key(text: str) -> Column:
-    content = F.coalesce(F.col(text), F.lit(""))
-    return F.struct(F.xxhash64(content).alias("k1"), F.xxhash64(F.lit(1), content).alias("k2"))
-
-
-def _set_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_lists(batches: Iterator[pa.RecordBatch], wide: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The sets of texts, each with the first of its shingles that may have a wide region (near)."""
     for batch in batches:
         for start, texts in textbatch.slices(batch.column("text")):
             owner, ids = shingle_ids(texts)
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts)))))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("node").slice(start, len(texts)),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)),
-                ],
-                names=["node", "ids"],
-            )
+            n = np.bincount(owner, minlength=len(texts)).astype(np.int64)
+            node = shingles.set_digests(len(texts), owner, ids.view(np.uint64))[:, 0]
+            at = _on(wide, ids)
+            which, first = np.unique(owner[at], return_index=True)
+            near = np.zeros(len(texts), np.int64)
+            near[which] = ids[at][first]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(near), lists], names=["node", "near", "ids"])
 
 
-def _sets(texts: DataFrame, rows: DataFrame, wanted: DataFrame, near: str | None = None) -> DataFrame:
-    """node, ids: the sets of the wanted nodes, each text read from one of its rows; stored by ``near``."""
-    carried = [near] if near else []
-    keys = rows.join(wanted.distinct(), "node").groupBy("node", *carried).agg(F.min(F.struct("k1", "k2")).alias("__key"))
-    keys = materialise(keys, "join-wanted")
-    keyed = texts.select(_text_key("text").alias("__key"), "text")
-    on = membership.flagged(keyed, F.col("__key"), membership.bitmap_of(keys, F.col("__key")), "__on").where("__on")
-    single = on.groupBy("__key").agg(F.first("text").alias("text")).join(keys, "__key").select("node", "text", *carried)
-    single = single.repartitionByRange(near, "node") if near else single
-    return materialise(single.select("node", "text").mapInArrow(_set_lists, "node bigint, ids array<bigint>"), "join-sets")
+def _sets(source: DataFrame, rows: DataFrame, wanted: DataFrame, wide: np.ndarray) -> DataFrame:
+    """node, near, ids: the sets of the wanted nodes, and of few others. Each is made from the text of
+    one of its rows, where that is read, so that no text goes to a shuffle."""
+    keys = rows.join(wanted.distinct(), "node").groupBy("node").agg(F.min(F.struct("file", "index")).alias("key"))
+    bitmap = membership.bitmap_of(materialise(keys, "join-wanted"), F.col("key"))
+    on = membership.flagged(source, F.struct("file", "index"), bitmap, "__on").where("__on")
+    sets = on.select("text").mapInArrow(lambda batches: _set_lists(batches, wide), "node bigint, near bigint, ids array<bigint>")
+    return materialise(sets, "join-sets")
 
 
 def _places(keys: np.ndarray) -> np.ndarray:
@@ -388,8 +396,8 @@ def _few_differ(differ: Column, n: Column, m: Column) -> Column:
     return (100 + PERCENT) * differ <= (100 - PERCENT) * (n + m)
 
 
-def _regions(visiting: DataFrame, leaf: int, by_hash: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of small regions that may be linked, and rows (home, node, n) of wide regions."""
+def _regions(visiting: DataFrame, leaf: int, by_hash: bool) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Pairs (a, b) of small regions that may be linked, rows (home, node, n) of wide regions and their bitmap."""
     visits = visiting.agg(F.sum(F.size("homes"))).first()[0] or 0
     parts = max(int(visiting.sparkSession.conf.get("spark.sql.shuffle.partitions")), visits // PART_VISITS)
     more = MORE if by_hash else 0.0
@@ -417,9 +425,36 @@ def _regions(visiting: DataFrame, leaf: int, by_hash: bool) -> tuple[DataFrame,
         lambda batches: _wide(batches, wide), "home bigint, node bigint, n bigint, below bigint, shared bigint, upto bigint"
     )
     rows = materialise(rows.distinct(), "join-visits")
-    rows = _with_partners(_still_possible(rows) if by_hash else rows)
+    # Stored, as it is read twice.
+    rows = materialise(_with_partners(_still_possible(rows) if by_hash else rows), "join-partners")
     sizes = rows.groupBy("home").agg(F.min("node").alias("__lo"), F.max("node").alias("__hi")).where("__lo <> __hi")
-    return materialise(near, "join-pairs"), materialise(rows.join(sizes.select("home"), "home"), "join-wide")
+    return materialise(near, "join-pairs"), materialise(rows.join(sizes.select("home"), "home"), "join-wide"), wide
+
+
+def _sketches_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches do not differ in more bits than linked sets may differ in shingles."""
+    for batch in batches:
+        sides = [[np.frombuffer(x, np.uint8) for x in batch.column(c).to_pylist()] for c in ("__x", "__y")]
+        differ = np.zeros(batch.num_rows, np.int64)
+        for k, (x, y) in enumerate(zip(*sides, strict=True)):
+            least = min(len(x), len(y))
+            folded = np.bitwise_xor.reduce(x.reshape(-1, least)) ^ np.bitwise_xor.reduce(y.reshape(-1, least))
+            differ[k] = np.bitwise_count(folded).sum()
+        size = batch.column("__n").to_numpy().astype(np.int64)
+        yield batch.select(["a", "b"]).filter(pa.array((100 + PERCENT) * differ <= (100 - PERCENT) * size))
+
+
+def _likely(pairs: DataFrame, described: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be linked by their sketches, stored; these take a fortieth of their sets' bytes."""
+    pairs = materialise(pairs, "join-pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    single = described.where("sketch is not null").select("node", "n", "sketch")
+    held = membership.flagged(single, F.col("node"), membership.bitmap_of(nodes, F.col("node")), "__on").where("__on")
+    held = held.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    left = held.select(F.col("node").alias("a"), F.col("n").alias("__m"), F.col("sketch").alias("__x"))
+    right = held.select(F.col("node").alias("b"), "n", F.col("sketch").alias("__y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("__m") + F.col("n")).alias("__n"), "__x", "__y")
+    return materialise(both.mapInArrow(_sketches_fit, "a bigint, b bigint"), "join-likely")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -436,10 +471,26 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("ids")
+        places = pa.array(_places(lists.flatten().to_numpy()).astype(np.int32))
+        offsets = lists.offsets.to_numpy()
+        lists = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), places)
+        yield pa.RecordBatch.from_arrays([batch.column("near"), batch.column("node"), lists], names=["near", "node", "places"])
+
+
 def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, counts = np.unique(batch.column("ids").flatten().to_numpy(), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(_places(ids[counts >= least]) + 1)], names=["place"])
+        places, counts = np.unique(batch.column("places").flatten().to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(places[counts >= least].astype(np.int64) + 1)], names=["place"])
+
+
+def _frequent_bits(sets: DataFrame, least: int) -> np.ndarray:
+    """The frequent shingles. Nodes of a common region lie together, so that counts of a batch show what is frequent there."""
+    placed = sets.select("near", "node", "ids").mapInArrow(_placed, "near bigint, node bigint, places array<int>")
+    together = placed.repartitionByRange("near", "node").select("places")
+    return _bits(together.mapInArrow(lambda batches: _frequent(batches, least), "place bigint"))
 
 
 def _bits(places: DataFrame) -> np.ndarray:
@@ -524,30 +575,30 @@ def linked_classes(
     ``component_id`` is the smallest id of the texts that links lead to, the row's own included;
     NULL ids count only where there is no other. NULL texts and texts without words have no
     shingles and no links: each such row is a class of its own. Rows with equal sets are linked.
-    ``docs`` is read several times and must give the same texts each time. Other columns are not
-    read. An empty table gives an empty result.
+    Files are read several times; the ids and texts of any other frame are stored once. Other
+    columns are not read. An empty table gives an empty result.
     """
-    texts = docs.select(F.col(text).alias("text"))
-    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), _text_key(text).alias("k"))
-    source = source.select("id", "text", "k.*")
+    source = numbered.keyed(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
+    source = source.select(f"{numbered.DOC}.*", f"{numbered.ROW}.*")
     id_type = source.schema["id"].dataType.simpleString()
     described = source.mapInArrow(
-        _described, f"id {id_type}, k1 bigint, k2 bigint, node bigint, n bigint, homes array<bigint>"
+        _described, f"id {id_type}, file bigint, index bigint, node bigint, n bigint, homes array<bigint>, sketch binary"
     )
     stored = materialise(described, "join-texts")
-    rows = stored.where("n > 0").select("node", "k1", "k2")
-
-    pairs, wide = _regions(stored.where("size(homes) > 0"), leaf, True)
-    # Nodes of a common region lie together, so that counts of a batch show what is frequent there.
-    sets = _sets(texts, rows, wide.groupBy("node").agg(F.min("home").alias("near")), "near")
-    bits = _bits(sets.select("ids").mapInArrow(lambda batches: _frequent(batches, frequent), "place bigint"))
-    again = sets.mapInArrow(lambda batches: _reordered(batches, bits), "node bigint, n bigint, homes array<bigint>")
-    more, alike = _regions(materialise(again, "join-again"), leaf, False)
-    pairs = pairs.unionByName(more).distinct()
-    whole = _sets(texts, rows, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    rows = stored.where("n > 0").select("node", "file", "index")
+
+    pairs, wide, bits = _regions(stored.where("size(homes) > 0"), leaf, True)
+    sets = _sets(source, rows, wide.select("node"), bits)
+    common = _frequent_bits(sets, frequent)
+    again = sets.select("node", "ids").mapInArrow(lambda batches: _reordered(batches, common), "node bigint, n bigint, homes array<bigint>")
+    more, alike, _ = _regions(materialise(again, "join-again"), leaf, False)
+    pairs = _likely(pairs.unionByName(more).distinct(), stored)
+    whole = _sets(source, rows, pairs.select(F.explode(F.array("a", "b")).alias("node")), bits)
     links = materialise(_measured(pairs, whole).where("linked").select("a", "b"), "join-links")
 
     regions = alike
+    few = membership.bitmap_of(alike, F.col("node"))
+    sets = materialise(membership.flagged(sets.select("node", "ids"), F.col("node"), few, "__on").where("__on").drop("__on"), "join-alike")
     for cut in range(CUTS):
         cells, found = _cut(regions, sets, cut)
         links = materialise(links.unionByName(found).distinct(), "join-links")

@@ -120,3 +120,57 @@ def test_pairs_of_many_full_regions_are_held_some_at_a_time(monkeypatch):
     expected = Counter(pair for nodes in members for pair in combinations(sorted(nodes.tolist()), 2))
     assert common == expected
     assert largest <= 5000 + metric_join.LEAF**2 // 2
+
+
+def test_texts_are_not_shuffled_and_wide_visits_are_joined_once(spark, prose, monkeypatch, tmp_path):
+    """op11_jaccard_join: whole texts go to no shuffle, and the join of wide visits is not made twice."""
+    plans, materialise = {}, metric_join.materialise
+
+    def kept(df, label, *rest):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, label, *rest)
+
+    monkeypatch.setattr(metric_join, "materialise", kept)
+    words, passage = prose(5, 400), prose(6, 60)
+    draw = random.Random(5)
+    rows = [(i, " ".join([*passage, *(draw.choice(words) for _ in range(20 + i % 7))])) for i in range(30)]
+    rows += [(100 + i, " ".join([*words[:90], "end", str(i)])) for i in range(30)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    out = metric_join.linked_classes(spark.read.parquet(path), leaf=4, frequent=3)
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == brute(rows)
+    assert len(plans["join-sets"]) == 2
+    for plan in plans["join-sets"]:
+        dealt = re.findall(r"Exchange (?:hash|range)partitioning\(.*", plan)
+        assert all("_groupingexpression" in x for x in dealt), dealt  # the bitmap of wanted rows
+    for plan in plans["join-wide"]:
+        assert not re.search(r"Join \[home#\d+L?, size#\d+L?\]", plan)
+    assert "numbered" not in plans
+
+
+def test_sketches_drop_no_link_and_most_other_pairs():
+    """op11_jaccard_join: pairs are told apart before their sets are read, at the bound exactly."""
+    rng = np.random.default_rng(9)
+    sets, pairs, linked = [], [], []
+    for n in [1, 2, 5, 9, 63, 64, 65, 100, 128, 129, 700, 1000, 1025, 5000]:
+        for extra in [0, n // 4, n // 4 + 1, n // 2, n]:
+            for shared in (n, n // 2):
+                ids = rng.integers(0, 1 << 56, 2 * n + extra - shared, dtype=np.int64)
+                x, y = np.sort(ids[:n]), np.sort(np.concatenate((ids[:shared], ids[n:])))
+                pairs.append((len(sets), len(sets) + 1))
+                linked.append(100 * shared >= 80 * len(ids))
+                sets += [x, y]
+    n = np.array([len(s) for s in sets])
+    sketches = metric_join._sketches(n, np.repeat(np.arange(len(sets)), n), np.concatenate(sets))
+    assert all(64 <= 8 * len(s) < max(2 * k, 65) for s, k in zip(sketches, n, strict=True))
+    a, b = np.array(pairs).T
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(a), pa.array(b), pa.array(n[a] + n[b]), pa.array([sketches[i] for i in a]), pa.array([sketches[i] for i in b])],
+        names=["a", "b", "__n", "__x", "__y"],
+    )
+    (out,) = metric_join._sketches_fit(iter([batch]))
+    kept = set(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
+    assert all(pair in kept for pair, is_link in zip(pairs, linked, strict=True) if is_link)
+    far = [p for p in pairs if 60 <= n[p[0]] and len(np.intersect1d(sets[p[0]], sets[p[1]])) <= n[p[0]] // 2]
+    assert far and not kept.intersection(far)
+    assert metric_join._sketches(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)) == []
