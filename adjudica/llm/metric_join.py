@@ -11,7 +11,8 @@ other regions a text must also visit so that no link is lost. Texts with the sam
    each has one of the first n - ceil(0.8 n) + 1 of its shingles in common with the other, so it
    visits these regions, and a few more. Regions of one node are left at once.
 2. Which regions several nodes visit, and which more than LEAF, is counted in tasks and kept as two
-   bitmaps of fixed size. Regions of up to LEAF nodes give pairs. The first shingles of both texts up to a common bound are
+   bitmaps of bounded size. Nodes too few of whose regions have other visitors have no link and are left. Regions of up to LEAF
+   nodes give pairs: where two nodes' visits begin to agree and where they cease to. The first shingles of both texts up to a common bound are
    all known, and each that only one of them has counts towards their difference. Pairs whose
    difference is then too large already are dropped, then those whose odd sketches differ too much.
    The others are compared as whole sets.
@@ -52,6 +53,10 @@ PIVOTS = 2
 CUTS = 2
 #: Bits of the filters over regions, as a power of 2.
 FILTER_LOG = 25
+#: The filter of regions that several nodes visit grows with the visits, up to this.
+MOST_LOG = 27
+#: Bits that regions are counted by: more, so that few are taken for one.
+TALLY_LOG = 40
 #: Visits of regions that one task brings together, about.
 PART_VISITS = 2_000_000
 #: Pairs of small regions that a task holds at a time, about.
@@ -166,17 +171,35 @@ def _sets(source: DataFrame, rows: DataFrame, wanted: DataFrame, wide: np.ndarra
     return materialise(sets, "join-sets")
 
 
-def _places(keys: np.ndarray) -> np.ndarray:
-    return (textbatch.mixed(keys.view(np.uint64)) >> np.uint64(64 - FILTER_LOG)).astype(np.int64)
+def _one_row_each(described: DataFrame) -> DataFrame:
+    """Of the rows of each node one, and few others; rows of equal sets would visit the same regions."""
+    key = F.struct("file", "index")
+    visiting = described.where("size(homes) > 0")
+    firsts = membership.bitmap_of(visiting.groupBy("node").agg(F.min(key).alias("key")), F.col("key"))
+    firsts = materialise(firsts, "join-firsts")
+    return membership.flagged(visiting, key, firsts, "__on").where("__on").drop("__on")
+
+
+def _places(keys: np.ndarray, log: int = FILTER_LOG) -> np.ndarray:
+    return (textbatch.mixed(keys.view(np.uint64)) >> np.uint64(64 - log)).astype(np.int64)
 
 
 def _on(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = _places(keys)
+    place = _places(keys, (8 * len(bits)).bit_length() - 1)
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """All first bytes of the values, then all second ones and so on: those that are all zero take no room in a shuffle."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _unpacked(blob: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
+
+
 def _blobs(places: np.ndarray, parts: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The columns, cut by stretches of places, as rows (part, bytes of each column)."""
+    """The columns, cut by stretches of places, as rows (part, packed bytes of each column)."""
     part = (places * parts) >> FILTER_LOG
     order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
@@ -185,17 +208,14 @@ def _blobs(places: np.ndarray, parts: int, columns: list[np.ndarray]) -> Iterato
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(filled.astype(np.int32)),
-            *[pa.array([c[bounds[k] : bounds[k + 1]].tobytes() for k in filled], pa.binary()) for c in cut],
+            *[pa.array([_packed(c[bounds[k] : bounds[k + 1]]) for k in filled], pa.binary()) for c in cut],
         ],
         names=["part", *[f"c{i}" for i in range(len(cut))]],
     )
 
 
-def _joined(table: pa.Table, types: list) -> list[np.ndarray]:
-    return [
-        np.concatenate([np.frombuffer(x, kind) for x in table.column(f"c{i}").to_pylist()])
-        for i, kind in enumerate(types)
-    ]
+def _joined(table: pa.Table, types: list, read=np.frombuffer) -> list[np.ndarray]:
+    return [np.concatenate([read(x, kind) for x in table.column(f"c{i}").to_pylist()]) for i, kind in enumerate(types)]
 
 
 def _homes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,73 +235,107 @@ def _partners(n: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def _tallied(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """How many different nodes of a batch visit each region."""
+    """How many different nodes of a batch visit each region. Regions go by TALLY_LOG bits of their places,
+    in order, each as the step from the one before."""
     for batch in batches:
         if not batch.num_rows:
             continue
         keys, owner, _ = _homes(batch)
         node = batch.column("node").to_numpy()[owner]
-        order = np.lexsort((node, keys))
-        keys, node = keys[order], node[order]
-        fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])))[: len(keys)]
-        keys, counts = np.unique(keys[fresh], return_counts=True)
-        if len(keys):
-            yield from _blobs(_places(keys), parts, [keys, counts.astype(np.int64)])
-
-
-def _tally_bits(table: pa.Table, parts: int, leaf: int) -> pa.Table:
+        places = _places(keys, TALLY_LOG)
+        order = np.lexsort((node, places))
+        places, node = places[order], node[order]
+        fresh = np.concatenate(([True], (places[1:] != places[:-1]) | (node[1:] != node[:-1])))[: len(places)]
+        places, counts = np.unique(places[fresh], return_counts=True)
+        if len(places):
+            coarse = places >> (TALLY_LOG - FILTER_LOG)
+            part = (coarse * parts) >> FILTER_LOG
+            steps = np.diff(places, prepend=0)
+            first = np.concatenate(([True], part[1:] != part[:-1]))
+            steps[first] = places[first]
+            yield from _blobs(coarse, parts, [steps, counts.astype(np.int32)])
+
+
+def _tally_bits(table: pa.Table, parts: int, leaf: int, log: int) -> pa.Table:
     """One part of two bitmaps: of the regions that several nodes visit, and of those of more than ``leaf``."""
-    keys, counts = _joined(table, [np.int64, np.int64])
-    keys, which = np.unique(keys, return_inverse=True)
-    total = np.bincount(which, counts, len(keys))
+    places = np.concatenate([np.cumsum(_unpacked(x, np.int64)) for x in table.column("c0").to_pylist()])
+    counts = np.concatenate([_unpacked(x, np.int32) for x in table.column("c1").to_pylist()])
+    places, which = np.unique(places, return_inverse=True)
+    total = np.bincount(which, counts, len(places))
     part = table.column("part")[0].as_py()
     lo, hi = -(-(part << FILTER_LOG) // parts), -(-((part + 1) << FILTER_LOG) // parts)
     rows = []
-    for least in (2, leaf + 1):
-        bits = np.zeros(hi - lo, bool)
-        bits[_places(keys[total >= least]) - lo] = True
-        rows.append(np.packbits(bits, bitorder="little").tobytes())
+    for least, bits in ((2, log), (leaf + 1, FILTER_LOG)):
+        finer = bits - FILTER_LOG
+        on = np.zeros((hi - lo) << finer, bool)
+        on[(places[total >= least] >> (TALLY_LOG - bits)) - (lo << finer)] = True
+        rows.append(np.packbits(on, bitorder="little").tobytes())
     return pa.table({"lo": [lo], "n": [hi - lo], "several": [rows[0]], "wide": [rows[1]]}, schema=_BITS)
 
 
 _BITS = pa.schema([("lo", pa.int64()), ("n", pa.int64()), ("several", pa.binary()), ("wide", pa.binary())])
 
 
-def _bitmaps(visiting: DataFrame, parts: int, leaf: int) -> tuple[np.ndarray, np.ndarray]:
-    """Both bitmaps, of 4 MB each, whatever the number of regions."""
+def _bitmaps(visiting: DataFrame, parts: int, leaf: int, visits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both bitmaps, of up to 16 and of 4 MB, whatever the number of regions."""
+    log = min(max(FILTER_LOG, (visits // 2).bit_length()), MOST_LOG)
     tallied = visiting.select("node", "homes").mapInArrow(
         lambda batches: _tallied(batches, parts), "part int, c0 binary, c1 binary"
     )
     found = tallied.groupBy("part").applyInArrow(
-        lambda table: _tally_bits(table, parts, leaf), "lo bigint, n bigint, several binary, wide binary"
+        lambda table: _tally_bits(table, parts, leaf, log), "lo bigint, n bigint, several binary, wide binary"
     )
-    several, wide = np.zeros(1 << FILTER_LOG, bool), np.zeros(1 << FILTER_LOG, bool)
+    several, wide = (np.zeros(1 << (bits - 3), np.uint8) for bits in (log, FILTER_LOG))
     for row in found.collect():
-        for out, name in ((several, "several"), (wide, "wide")):
-            part = np.unpackbits(np.frombuffer(bytes(row[name]), np.uint8), bitorder="little")
-            out[row["lo"] : row["lo"] + row["n"]] = part[: row["n"]]
-    return np.packbits(several, bitorder="little"), np.packbits(wide, bitorder="little")
+        for out, name, finer in ((several, "several", log - FILTER_LOG), (wide, "wide", 0)):
+            # A part begins and ends inside a byte.
+            lo, n = row["lo"] << finer, row["n"] << finer
+            part = np.unpackbits(np.frombuffer(bytes(row[name]), np.uint8), bitorder="little")[:n]
+            whole = np.packbits(np.concatenate((np.zeros(lo % 8, np.uint8), part)), bitorder="little")
+            out[lo // 8 : lo // 8 + len(whole)] |= whole
+    return several, wide
+
 
+def _linkable(n: np.ndarray, owner: np.ndarray, several: np.ndarray, more: float) -> np.ndarray:
+    """Which nodes may have a link, from which of their visits are of regions that others visit too.
+
+    Of two linked sets, take the one, of k shingles, whose visits end first. All but k - ceil(0.8 k) of these
+    are shingles of the other, which visits them too. Here k is ceil(0.8 n) at least.
+    """
+    k = (PERCENT * n + 99) // 100
+    shared = np.minimum(1 + np.floor(more * np.sqrt(k)).astype(np.int64), (PERCENT * k + 99) // 100)
+    return np.bincount(owner, several, len(n)) >= shared
 
-def _narrow(batches: Iterator[pa.RecordBatch], several: np.ndarray, wide: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """For each visit of a region of few nodes: region, node, its size, rank, last and number of wide regions."""
+
+def _narrow(
+    batches: Iterator[pa.RecordBatch], several: np.ndarray, wide: np.ndarray, parts: int, more: float
+) -> Iterator[pa.RecordBatch]:
+    """For each visit of a region of few nodes: region, node, its size, rank, last and number of wide regions; the
+    number of such visits before it, the one before and the one after it (-1: none)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         keys, owner, offsets = _homes(batch)
-        in_wide = _on(wide, keys)
-        n_wide = np.bincount(owner, in_wide, batch.num_rows).astype(np.int32)
-        at = np.flatnonzero(_on(several, keys) & ~in_wide)
+        n = batch.column("n").to_numpy().astype(np.int64)
+        in_several, in_wide = _on(several, keys), _on(wide, keys)
+        n_wide = np.bincount(owner, in_wide, len(n)).astype(np.int32)
+        at = np.flatnonzero(in_several & ~in_wide & _linkable(n, owner, in_several | in_wide, more)[owner])
         if len(at):
-            own = owner[at]
+            own, home = owner[at], keys[at]
+            same = own[1:] == own[:-1]
+            before = np.concatenate(([-1], np.where(same, home[:-1], -1)))
+            after = np.concatenate((np.where(same, home[1:], -1), [-1]))
             columns = [
-                keys[at], batch.column("node").to_numpy()[own], batch.column("n").to_numpy()[own].astype(np.int64),
-                (at - offsets[own] + 1).astype(np.int32), keys[offsets[own + 1] - 1], n_wide[own],
+                home, batch.column("node").to_numpy()[own], n[own], (at - offsets[own] + 1).astype(np.int32),
+                keys[offsets[own + 1] - 1], n_wide[own], (np.arange(len(at)) - np.searchsorted(own, own)).astype(np.int32), before, after,
             ]
-            yield from _blobs(_places(keys[at]), parts, columns)
+            yield from _blobs(_places(home), parts, columns)
 
 
-def _wide(batches: Iterator[pa.RecordBatch], wide: np.ndarray) -> Iterator[pa.RecordBatch]:
+_VISIT = [np.int64, np.int64, np.int64, np.int32, np.int64, np.int32, np.int32, np.int64, np.int64]
+
+
+def _wide(batches: Iterator[pa.RecordBatch], several: np.ndarray, wide: np.ndarray, more: float) -> Iterator[pa.RecordBatch]:
     """Visits of wide regions, each with the number of the node's shingles below KNOWN (below) and how
     many of these visit wide regions (shared). A node that does not visit all of them has none below."""
     for batch in batches:
@@ -295,7 +349,7 @@ def _wide(batches: Iterator[pa.RecordBatch], wide: np.ndarray) -> Iterator[pa.Re
         shared = np.bincount(owner, low & in_wide, len(n)).astype(np.int64)
         # All of a node's shingles below KNOWN are among its visits if one at least is above, or if it visits all.
         wholly = (below < np.diff(offsets)) | (np.diff(offsets) == n)
-        at = np.flatnonzero(in_wide)
+        at = np.flatnonzero(in_wide & _linkable(n, owner, in_wide | _on(several, keys), more)[owner])
         own = owner[at]
         columns = [
             keys[at], batch.column("node").to_numpy()[own], n[own], np.where(wholly, below, -FAR)[own], shared[own],
@@ -342,9 +396,18 @@ def _with_partners(rows: DataFrame) -> DataFrame:
     return met.where(fits).select("home", "node", "n")
 
 
-def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of the nodes that share a region, some regions at a time, so that few pairs are held."""
-    columns = _joined(pa.Table.from_batches(batches), [np.int64, np.int64, np.int64, np.int32, np.int64, np.int32])
+def _small_pairs(batches: Iterator[pa.RecordBatch], runs: bool = False) -> Iterator[pa.RecordBatch]:
+    """Pairs of the nodes that share a region, some regions at a time, so that few pairs are held.
+
+    With ``runs``, visits are packed and tell the nodes' visits before and after them. A pair then comes
+    only where a run of visits that both make begins or ends; ``common`` adds up to the same.
+    """
+    table = pa.Table.from_batches(batches)
+    if runs:
+        columns = _joined(table, _VISIT, _unpacked)
+    else:
+        columns = _joined(table, _VISIT[:6])
+        columns += [np.zeros(len(columns[0]), np.int32), *[np.full(len(columns[0]), -1)] * 2]
     home, node = columns[:2]
     order = np.lexsort((node, home))
     fresh = order[np.concatenate(([True], (home[order][1:] != home[order][:-1]) | (node[order][1:] != node[order][:-1])))]
@@ -357,28 +420,54 @@ def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs_of(*(c[lo:hi] for c in columns))
 
 
+def _run_pairs(batches: Iterator[pa.RecordBatch], more: float) -> Iterator[pa.RecordBatch]:
+    """Pairs with what tells whether they may be linked: common, rank, least (of which a link takes as much), meets.
+
+    Up to the smaller of both last regions all shingles of both are known: those that the one visits, and
+    those of the other up to its rank. What they share in wide regions is not counted, so as much as
+    possible is assumed. The bound on what differs is linear in common and rank; least is the rest of it.
+    """
+    for batch in _small_pairs(batches, runs=True):
+        pair = {c: batch.column(c).to_numpy() for c in _PAIR}
+        x_ends = pair["x_last"] <= pair["y_last"]
+        visits = _visits(np.where(x_ends, pair["x_n"], pair["y_n"]), more)
+        hidden = np.minimum(pair["x_wide"], pair["y_wide"])
+        least = (100 + PERCENT) * (visits - 2 * hidden) - (100 - PERCENT) * (pair["x_n"] + pair["y_n"])
+        rank = np.where(x_ends, pair["y_rank"], pair["x_rank"])
+        columns = [pair["a"], pair["b"], pair["common"], rank, least, pair["meets"]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "common", "rank", "least", "meets"])
+
+
 def _pairs_of(
-    home: np.ndarray, node: np.ndarray, n: np.ndarray, rank: np.ndarray, last: np.ndarray, wide: np.ndarray
-) -> pa.RecordBatch:
-    """The pairs of some regions, with the number of these regions that they share; rows are sorted by region."""
+    home: np.ndarray, node: np.ndarray, n: np.ndarray, rank: np.ndarray, last: np.ndarray, wide: np.ndarray,
+    place: np.ndarray, before: np.ndarray, after: np.ndarray,
+) -> pa.RecordBatch:
+    """The pairs of some regions, with the number of these regions that they share; rows are sorted by region.
+
+    A run counts its last place and one less its first, each in the region where it is: there are the
+    pair's smallest and largest ranks as well.
+    """
     upto = _partners(n, rank.astype(np.int64))
     left, right, step = [], [], 1
     while True:  # rows of a region lie together, few of them
         same = np.flatnonzero(home[step:] == home[:-step]) if step < len(home) else np.zeros(0, np.int64)
         if not len(same):
             break
-        x, y = n[same], n[same + step]
-        fit = 100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)
-        left.append(same[fit])
-        right.append(same[fit] + step)
+        x, y = same, same + step
+        fit = 100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])
+        inside = (before[x] == before[y]) & (before[x] >= 0) & (after[x] == after[y]) & (after[x] >= 0)
+        left.append(x[fit & ~inside])
+        right.append(y[fit & ~inside])
         step += 1
     x, y = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
     order = np.lexsort((rank[x], node[y], node[x]))
     x, y = x[order], y[order]
+    begins, ends = ((side[x] != side[y]) | (side[x] < 0) for side in (before, after))
+    counts = np.where(begins, 1 - place[x].astype(np.int64), 0) + np.where(ends, place[x], 0)
     meets = (PERCENT * n[y] <= upto[x]) & (PERCENT * n[x] <= upto[y])
     final = np.flatnonzero(np.concatenate(((node[x][1:] != node[x][:-1]) | (node[y][1:] != node[y][:-1]), [True]))[: len(x)])
-    counts = np.diff(np.concatenate(([-1], final)))
-    any_meets = np.logical_or.reduceat(meets, np.concatenate(([0], final[:-1] + 1))) if len(final) else meets
+    first = np.concatenate(([0], final[:-1] + 1))
+    counts, any_meets = (np.add.reduceat(counts, first), np.logical_or.reduceat(meets, first)) if len(final) else (counts, meets)
     x, y = x[final], y[final]  # the last region that the pair shares here
     columns = [node[x], node[y], counts, n[x], n[y], rank[x], rank[y], last[x], last[y], wide[x], wide[y], any_meets]
     return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=_PAIR)
@@ -401,28 +490,23 @@ def _regions(visiting: DataFrame, leaf: int, by_hash: bool) -> tuple[DataFrame,
     visits = visiting.agg(F.sum(F.size("homes"))).first()[0] or 0
     parts = max(int(visiting.sparkSession.conf.get("spark.sql.shuffle.partitions")), visits // PART_VISITS)
     more = MORE if by_hash else 0.0
-    several, wide = _bitmaps(visiting, parts, leaf)
+    several, wide = _bitmaps(visiting, parts, leaf, visits)
     blobs = visiting.select("node", "n", "homes").mapInArrow(
-        lambda batches: _narrow(batches, several, wide, parts),
-        "part int, " + ", ".join(f"c{i} binary" for i in range(6)),
+        lambda batches: _narrow(batches, several, wide, parts, more),
+        "part int, " + ", ".join(f"c{i} binary" for i in range(len(_VISIT))),
     )
-    found = blobs.groupBy("part").applyInArrow(_small_pairs, ", ".join(f"{c} bigint" for c in _PAIR))
-    pairs = found.groupBy("a", "b").agg(
-        F.sum("common").alias("common"), *[F.max(c).alias(c) for c in _PAIR[3:]]
-    )
-    # Up to the smaller of both last regions all shingles of both are known. What they share in wide
-    # regions is not counted, so as much as possible is assumed.
-    common = F.col("common") + F.least("x_wide", "y_wide")
-    visits_of = {
-        side: F.expr(f"least({side}_n, {side}_n - ({PERCENT} * {side}_n + 99) div 100 + 1 + floor({more}D * sqrt({side}_n)))")
-        for side in "xy"
-    }
-    known = F.when(F.col("x_last") <= F.col("y_last"), visits_of["x"] + F.col("y_rank")).otherwise(
-        visits_of["y"] + F.col("x_rank")
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _run_pairs(batches, more)
+
+    found = blobs.groupBy("part").applyInArrow(
+        paired, "a bigint, b bigint, common bigint, rank bigint, least bigint, meets bigint"
     )
-    near = pairs.where("meets > 0").where(_few_differ(known - 2 * common, F.col("x_n"), F.col("y_n"))).select("a", "b")
+    pairs = found.groupBy("a", "b").agg(F.sum("common").alias("common"), *[F.max(c).alias(c) for c in ("rank", "least", "meets")])
+    differ = F.col("least") + (100 + PERCENT) * (F.col("rank") - 2 * F.col("common"))
+    near = pairs.where("meets > 0").where(differ <= 0).select("a", "b")
     rows = visiting.select("node", "n", "homes").mapInArrow(
-        lambda batches: _wide(batches, wide), "home bigint, node bigint, n bigint, below bigint, shared bigint, upto bigint"
+        lambda batches: _wide(batches, several, wide, more), "home bigint, node bigint, n bigint, below bigint, shared bigint, upto bigint"
     )
     rows = materialise(rows.distinct(), "join-visits")
     # Stored, as it is read twice.
@@ -587,7 +671,7 @@ def linked_classes(
     stored = materialise(described, "join-texts")
     rows = stored.where("n > 0").select("node", "file", "index")
 
-    pairs, wide, bits = _regions(stored.where("size(homes) > 0"), leaf, True)
+    pairs, wide, bits = _regions(_one_row_each(stored), leaf, True)
     sets = _sets(source, rows, wide.select("node"), bits)
     common = _frequent_bits(sets, frequent)
     again = sets.select("node", "ids").mapInArrow(lambda batches: _reordered(batches, common), "node bigint, n bigint, homes array<bigint>")

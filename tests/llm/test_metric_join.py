@@ -174,3 +174,113 @@ def test_sketches_drop_no_link_and_most_other_pairs():
     far = [p for p in pairs if 60 <= n[p[0]] and len(np.intersect1d(sets[p[0]], sets[p[1]])) <= n[p[0]] // 2]
     assert far and not kept.intersection(far)
     assert metric_join._sketches(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)) == []
+
+
+def _visiting(sets, of=metric_join._visits):
+    """A batch of nodes and the first shingles of their sets."""
+    n = np.array([len(s) for s in sets])
+    homes = [np.sort(s)[:k] for s, k in zip(sets, of(n), strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(len(sets)) * 7 + 1), pa.array(n), pa.array([h.tolist() for h in homes], pa.list_(pa.int64()))], names=["node", "n", "homes"]
+    ), homes
+
+
+def _near_copies(rng, n, copies, edits):
+    ids = rng.integers(0, 1 << 56, n, dtype=np.int64)
+    out = []
+    for _ in range(copies):
+        mine = ids.copy()
+        at = rng.choice(n, edits, replace=False)
+        mine[at] = rng.integers(0, 1 << 56, edits, dtype=np.int64)
+        out.append(mine)
+    return out
+
+
+@pytest.mark.parametrize("parts", [7, 500])
+def test_pairs_come_where_runs_begin_and_end(parts):
+    """op11_jaccard_join: rows of a pair do not grow with the parts that its regions lie in, and count the same."""
+    rng = np.random.default_rng(11)
+    sets = _near_copies(rng, 900, 20, 4) + _near_copies(rng, 300, 3, 90) + _near_copies(rng, 6, 2, 1)
+    batch, homes = _visiting(sets)
+    every, none = np.full(1 << 22, 255, np.uint8), np.zeros(1 << 22, np.uint8)
+    (blobs,) = metric_join._narrow(iter([batch, batch.slice(0, 0)]), every, none, parts, 1.0)
+    common, rows, rank, meets = Counter(), Counter(), Counter(), set()
+    for i in range(blobs.num_rows):
+        for out in metric_join._small_pairs(iter([blobs.slice(i, 1)]), runs=True):
+            for row in out.to_pylist():
+                pair = (row["a"] - 1) // 7, (row["b"] - 1) // 7
+                rows[pair] += 1
+                common[pair] += row["common"]
+                rank[pair] = max(rank[pair], row["x_rank"])
+                meets |= {pair} if row["meets"] else set()
+    expected = {}
+    for i, j in combinations(range(len(sets)), 2):
+        shared = np.intersect1d(homes[i], homes[j])
+        if len(shared) and 100 * min(len(sets[i]), len(sets[j])) >= 80 * max(len(sets[i]), len(sets[j])):
+            expected[i, j] = shared
+    assert common == {pair: len(shared) for pair, shared in expected.items()}
+    assert rank == {(i, j): np.searchsorted(homes[i], shared[-1]) + 1 for (i, j), shared in expected.items()}
+    linked = {(i, j) for i, j in expected if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert linked and linked <= meets
+    # 20 copies differ in up to 8 shingles each, few of them among the first 210.
+    assert sum(rows[pair] for pair in combinations(range(20), 2)) < 20 * 190
+
+
+def test_nodes_without_enough_company_have_no_link():
+    """op11_jaccard_join: a node that shares too few regions to be linked visits none; linked ones all stay."""
+    rng = np.random.default_rng(12)
+    sets = []
+    for n in (1, 2, 3, 5, 8, 21, 64, 100, 333, 1200):
+        for share in (1.0, 0.9, 0.8):  # a subset at the bound exactly, its missing shingles first or last
+            ids = np.sort(rng.integers(0, 1 << 56, n, dtype=np.int64))
+            keep = -(-int(round(share * 100)) * n // 100)
+            sets += [ids, ids[:keep]] + [ids, ids[n - keep :]]
+    unrelated = [rng.integers(0, 1 << 56, 500, dtype=np.int64) for _ in range(50)]
+    for i, s in enumerate(unrelated[1:]):
+        s[:9] = unrelated[i][-9:]  # some common shingles
+    batch, homes = _visiting(sets + unrelated)
+    n = batch.column("n").to_numpy()
+    flat, owner = np.concatenate(homes), np.repeat(np.arange(len(homes)), [len(h) for h in homes])
+    seen = Counter()
+    for i in range(len(homes)):
+        partner = i ^ 1
+        for key in homes[i] if i >= len(sets) else np.intersect1d(homes[i], homes[partner]):
+            seen[i, int(key)] += 1
+    others = Counter(int(k) for h in homes[len(sets) :] for k in h)
+    several = np.array([seen[o, int(k)] > 0 if o < len(sets) else others[int(k)] > 1 for o, k in zip(owner, flat, strict=True)])
+    stays = metric_join._linkable(n, owner, several, 1.0)
+    assert stays[: len(sets)].all()
+    assert not stays[len(sets) :].any()
+    plain = np.flatnonzero(n == 500)
+    assert metric_join._linkable(n, owner, several, 0.0)[plain].sum() <= len(plain)
+
+
+@pytest.mark.parametrize("log,parts", [(25, 12), (27, 53)])
+def test_counted_regions_are_those_of_several_nodes(log, parts):
+    """op11_jaccard_join: few bytes a visit, any size of the bitmap, parts that begin inside a byte."""
+    rng = np.random.default_rng(13)
+    sets = _near_copies(rng, 400, 9, 3) + [rng.integers(0, 1 << 56, 700, dtype=np.int64) for _ in range(200)]
+    batch, homes = _visiting(sets)
+    halves = [out for part in (batch.slice(0, 4), batch.slice(4)) for out in metric_join._tallied(iter([part]), parts)]
+    table = pa.Table.from_batches(halves)
+    assert table.nbytes < 40 * sum(map(len, homes))
+    several, wide = np.zeros(1 << log, bool), np.zeros(1 << 25, bool)
+    for part in set(table.column("part").to_pylist()):
+        mine = table.filter(pa.compute.equal(table.column("part"), part))
+        (row,) = metric_join._tally_bits(mine, parts, 4, log).to_pylist()
+        for bits, name, more in ((several, "several", log - 25), (wide, "wide", 0)):
+            on = np.unpackbits(np.frombuffer(row[name], np.uint8), bitorder="little")[: row["n"] << more]
+            bits[row["lo"] << more : (row["lo"] + row["n"]) << more] = on
+    keys, counts = np.unique(np.concatenate(homes), return_counts=True)
+    for bits, least in ((several, 2), (wide, 5)):
+        packed = np.packbits(bits, bitorder="little")
+        assert metric_join._on(packed, keys[counts >= least]).all()
+        assert metric_join._on(packed, keys[counts < least]).mean() < 0.01
+
+
+def test_one_row_of_equal_sets_visits(spark):
+    """op11_jaccard_join: of rows with equal sets in any files one goes to the regions."""
+    rows = [(i % 40, f"{i % 50}") for i in range(2000)]
+    described = spark.createDataFrame([(i, n, i // 100, [n, n + 1]) for i, (n, _) in enumerate(rows)], "index long, node long, file long, homes array<long>")
+    kept = metric_join._one_row_each(described).groupBy("node").count().collect()
+    assert len(kept) == 40 and sum(r["count"] for r in kept) <= 42
