@@ -13,12 +13,13 @@ string by string.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 ROUNDS = 8
 #: First character and number of characters of each class.
@@ -77,19 +78,40 @@ def _strings(column: pa.Array) -> list[str | None]:
     return [v if v is None else v.decode("utf-8", "surrogateescape") for v in column.cast(pa.binary()).to_pylist()]
 
 
+def _all_turned(texts: pa.Array, keys: pa.Array, numbers: list[int], sign: int) -> pa.Array:
+    values, secrets = _strings(texts), _strings(keys)
+    out: list[bytes | None] = []
+    for part in _slices(values):
+        done = _turned([v or "" for v in values[part]], secrets[part], numbers, sign)
+        out += [None if v is None else d for v, d in zip(values[part], done, strict=True)]
+    return pa.array(out, pa.binary()).view(pa.string())
+
+
 def _all_rounds(text: Column, key: str | Column, numbers: list[int], sign: int) -> Column:
     @F.arrow_udf("string")
     def turned(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        values, secrets = _strings(texts), _strings(keys)
-        out: list[bytes | None] = []
-        for part in _slices(values):
-            done = _turned([v or "" for v in values[part]], secrets[part], numbers, sign)
-            out += [None if v is None else d for v, d in zip(values[part], done, strict=True)]
-        return pa.array(out, pa.binary()).view(pa.string())
+        return _all_turned(texts, keys, numbers, sign)
 
     return turned(text, F.lit(key) if isinstance(key, str) else key)
 
 
+def _rounds_of_rows(df: DataFrame, columns: Mapping[str, str], key: str | Column, numbers: list[int], sign: int) -> DataFrame:
+    """The rows with each of these columns turned from the one it names. Rows go through Python whole."""
+    before = df.columns
+    names = [*before, *[c for c in columns if c not in before]]
+    held = {f.name: f for f in df.schema.fields}
+    schema = StructType([StructField(c, StringType()) if c in columns else held[c] for c in names])
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = {c: _all_turned(batch.column(before.index(text)), batch.column(len(before)), numbers, sign) for c, text in columns.items()}
+            yield pa.RecordBatch.from_arrays([done[c] if c in done else batch.column(before.index(c)) for c in names], names=names)
+
+    secret = F.lit(key) if isinstance(key, str) else key
+    free = "__secret" + "_" * max(map(len, before))  # no column of df has this name
+    return df.select("*", secret.alias(free)).mapInArrow(turned, schema)
+
+
 def permute(text: Column, key: str | Column, rounds: int = ROUNDS) -> Column:
     """The token of a text under a key; NULL stays NULL."""
     return _all_rounds(text, key, list(range(rounds)), 1)
@@ -98,3 +120,13 @@ def permute(text: Column, key: str | Column, rounds: int = ROUNDS) -> Column:
 def restore(token: Column, key: str | Column, rounds: int = ROUNDS) -> Column:
     """The text of a token made by :func:`permute` with the same key and rounds."""
     return _all_rounds(token, key, list(range(rounds))[::-1], -1)
+
+
+def permute_rows(df: DataFrame, columns: Mapping[str, str], key: str | Column, rounds: int = ROUNDS) -> DataFrame:
+    """The rows with the token of a text column in each new or replaced column: {column: text column}."""
+    return _rounds_of_rows(df, columns, key, list(range(rounds)), 1)
+
+
+def restore_rows(df: DataFrame, columns: Mapping[str, str], key: str | Column, rounds: int = ROUNDS) -> DataFrame:
+    """Undo :func:`permute_rows`."""
+    return _rounds_of_rows(df, columns, key, list(range(rounds))[::-1], -1)

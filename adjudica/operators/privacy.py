@@ -95,15 +95,16 @@ def permute(df: DataFrame, schema: StructType, key: str | Column) -> DataFrame:
     """Replace direct identifiers by tokens that never collide and that the key alone takes back.
 
     The key is part of the plan; give it as a column read from a table of keys to keep it out of logs.
+    Whole rows go through Python, so select the columns that are needed before.
     """
     names = [c for c in token_columns(schema) if c in df.columns]
-    return df.withColumns({c: permutation.permute(F.col(c), key) for c in names}) if names else df
+    return permutation.permute_rows(df, {c: c for c in names}, key) if names else df
 
 
 def restore(df: DataFrame, schema: StructType, key: str | Column) -> DataFrame:
-    """Undo :func:`permute`: a projection, without a map and without a join."""
+    """Undo :func:`permute`, without a map and without a join."""
     names = [c for c in token_columns(schema) if c in df.columns]
-    return df.withColumns({c: permutation.restore(F.col(c), key) for c in names}) if names else df
+    return permutation.restore_rows(df, {c: c for c in names}, key) if names else df
 
 
 def token_map(

@@ -156,22 +156,23 @@ _PERMUTED = f"""{_P.replace("with p as", "with recursive p as", 1)}, f as (
 @query(_PERMUTED + f" select proposal_id, s as holder_name from f where r = {permutation.ROUNDS}")
 def permute_names(spark, sf_dir):
     """Names as tokens of a keyed permutation."""
-    return privacy.permute(bindings.proposals(spark, sf_dir), schemas.PROPOSAL, _KEY).select("proposal_id", "holder_name")
+    names = bindings.proposals(spark, sf_dir).select("proposal_id", "holder_name")
+    return privacy.permute(names, schemas.PROPOSAL, _KEY)
 
 
 @query(_P + " select proposal_id, holder_name from p")
 def restore_names(spark, sf_dir):
     """Tokens taken back by the key, without a map."""
-    tokens = privacy.permute(bindings.proposals(spark, sf_dir), schemas.PROPOSAL, _KEY)
-    return privacy.restore(tokens, schemas.PROPOSAL, _KEY).select("proposal_id", "holder_name")
+    names = bindings.proposals(spark, sf_dir).select("proposal_id", "holder_name")
+    tokens = privacy.permute(names, schemas.PROPOSAL, _KEY)
+    return privacy.restore(tokens, schemas.PROPOSAL, _KEY)
 
 
 @query(_P + " select count(distinct holder_name) as names, count(distinct holder_name) as tokens from p")
 def permuted_collisions(spark, sf_dir):
     """As many different tokens as names."""
-    both = bindings.proposals(spark, sf_dir).select(
-        "holder_name", permutation.permute(F.col("holder_name"), _KEY).alias("token")
-    )
+    names = bindings.proposals(spark, sf_dir).select("holder_name")
+    both = permutation.permute_rows(names, {"token": "holder_name"}, _KEY)
     return both.agg(F.count_distinct("holder_name").alias("names"), F.count_distinct("token").alias("tokens"))
 
 

@@ -240,3 +240,16 @@ def test_permutation_of_bytes_that_are_no_text(spark):
     df = spark.range(1).selectExpr("cast(X'61FF62C3' as string) as t")
     out = df.select("t", permutation.permute(F.col("t"), "k").alias("token"))
     assert out.where(permutation.restore(F.col("token"), "k") == F.col("t")).count() == 1
+
+
+def test_permutation_of_rows_is_that_of_columns(spark):
+    rows = [(i, None if i % 7 == 0 else f"Zoë {i}", f"key{i % 3}", [i], None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, name string, k string, more array<long>, __secret string")
+    for key in ("k", F.col("k")):
+        out = permutation.permute_rows(df, {"token": "name", "name": "name"}, key)
+        assert out.columns == [*df.columns, "token"]
+        expected = df.withColumn("token", permutation.permute(F.col("name"), key)).withColumn("name", F.col("token"))
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+        assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    back = permutation.restore_rows(permutation.permute_rows(df, {"name": "name"}, "k"), {"name": "name"}, "k")
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
