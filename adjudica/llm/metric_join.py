@@ -23,7 +23,8 @@ other regions a text must also visit so that no link is lost. Texts with the sam
    another cell's pivot is within 2 r of that to its own visits that cell too. Nodes within r of
    their pivot are linked to it. Cells that then hold texts of one component are done. The others
    are cut once more by pivots taken from those outside the largest component, and at last such
-   nodes are compared with those of other components whose distance to the pivot differs by up to r.
+   nodes are compared with those of other components whose distance to the pivot differs by up to r
+   and whose odd sketches differ little.
 
 Links inside a component change nothing and are not looked for. All others are found: the classes
 are those of comparing all pairs. Shingles are known by 56-bit, sets by 64-bit hashes.
@@ -61,6 +62,8 @@ TALLY_LOG = 40
 PART_VISITS = 2_000_000
 #: Pairs of small regions that a task holds at a time, about.
 HELD_PAIRS = 500_000
+#: Numbers of 64 bits in a sketch of a node of a mixed cell, and nodes sketched at a time.
+WORDS, SKETCHED_ROWS = 16, 1000
 #: A hash below which nearly all sets visit all of their shingles' regions.
 KNOWN = np.int64(0.18 * (1 << int(shingles.ID_BITS)))
 MORE = 1.0
@@ -509,8 +512,10 @@ def _regions(visiting: DataFrame, leaf: int, by_hash: bool) -> tuple[DataFrame,
         lambda batches: _wide(batches, several, wide, more), "home bigint, node bigint, n bigint, below bigint, shared bigint, upto bigint"
     )
     rows = materialise(rows.distinct(), "join-visits")
-    # Stored, as it is read twice.
-    rows = materialise(_with_partners(_still_possible(rows) if by_hash else rows), "join-partners")
+    # Stored each time, as each is read twice.
+    if by_hash:
+        rows = materialise(_still_possible(rows), "join-possible")
+    rows = materialise(_with_partners(rows), "join-partners")
     sizes = rows.groupBy("home").agg(F.min("node").alias("__lo"), F.max("node").alias("__hi")).where("__lo <> __hi")
     return materialise(near, "join-pairs"), materialise(rows.join(sizes.select("home"), "home"), "join-wide"), wide
 
@@ -634,11 +639,27 @@ def _cut(regions: DataFrame, sets: DataFrame, cut: int) -> tuple[DataFrame, Data
     return materialise(cells, "join-cells"), measured.where("linked and a <> b").select("a", "b")
 
 
-def _last_pairs(cells: DataFrame) -> DataFrame:
-    """(a, b): nodes of a cell in different components whose distances to the pivot allow a link."""
-    item = F.struct("node", "n", "distance", "visitor", "component")
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Odd sketches of one length, as numbers of 64 bits."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SKETCHED_ROWS):
+            some = batch.slice(start, SKETCHED_ROWS)
+            lists = some.column("ids")
+            owner = np.repeat(np.arange(some.num_rows), np.diff(lists.offsets.to_numpy()))
+            words = shingles.odd_sketches(some.num_rows, owner, lists.flatten().to_numpy().view(np.uint64), WORDS * 64)
+            offsets = pa.array(np.arange(some.num_rows + 1) * WORDS, pa.int32())
+            columns = [some.column("node"), pa.ListArray.from_arrays(offsets, pa.array(words.ravel()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "words"])
+
+
+def _last_pairs(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): nodes of a cell in different components whose distances to the pivot and odd sketches allow a link."""
+    words = sets.select("node", "ids").mapInArrow(_words, "node bigint, words array<bigint>").dropDuplicates(["node"])
+    cells = materialise(cells.join(words, "node"), "join-strays")
+    item = F.struct("node", "n", "distance", "visitor", "component", "words")
     rows = cells.select("home", item.alias("x"))
     strays = cells.where("component <> main").select("home", "main", item.alias("y"))
+    differ = sum((F.bit_count(F.col("x.words")[i].bitwiseXOR(F.col("y.words")[i])) for i in range(WORDS)), F.lit(0))
     near = F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - PERCENT / 100 + 1e-9
     met = rows.join(strays, "home").where(
         (F.col("x.component") != F.col("y.component"))
@@ -646,6 +667,7 @@ def _last_pairs(cells: DataFrame) -> DataFrame:
         & ~(F.col("x.visitor") & F.col("y.visitor"))
         & _fits(F.col("x.n"), F.col("y.n"))
         & near
+        & _few_differ(differ, F.col("x.n"), F.col("y.n"))
     )
     a, b = F.col("x.node"), F.col("y.node")
     return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
@@ -687,7 +709,7 @@ def linked_classes(
         cells, found = _cut(regions, sets, cut)
         links = materialise(links.unionByName(found).distinct(), "join-links")
         regions = _mixed(cells, links)
-    last = _measured(_last_pairs(regions), sets).where("linked").select("a", "b")
+    last = _measured(_last_pairs(regions, sets), sets).where("linked").select("a", "b")
     labels = components(materialise(links.unionByName(last).distinct(), "join-links"))
 
     member = stored.join(labels, "node", "left").select(

@@ -284,3 +284,21 @@ def test_one_row_of_equal_sets_visits(spark):
     described = spark.createDataFrame([(i, n, i // 100, [n, n + 1]) for i, (n, _) in enumerate(rows)], "index long, node long, file long, homes array<long>")
     kept = metric_join._one_row_each(described).groupBy("node").count().collect()
     assert len(kept) == 40 and sum(r["count"] for r in kept) <= 42
+
+
+def test_last_pairs_are_told_apart_before_they_are_listed(spark):
+    """op11_jaccard_join: nodes of a mixed cell give the pairs that their sketches allow, all links among them."""
+    rng = np.random.default_rng(14)
+    sets = _near_copies(rng, 150, 60, 24)  # alike, but not linked
+    for k in range(0, 40, 2):  # these differ in up to 30 shingles of 300, as many as a link allows at most in 33
+        sets[k + 1] = np.concatenate((sets[k][: 150 - 16 + k % 4], rng.integers(0, 1 << 56, 16 - k % 4, dtype=np.int64)))
+    sets += [np.arange(3), np.arange(4), np.concatenate((sets[0], rng.integers(0, 1 << 56, 37, dtype=np.int64)))]
+    cells = [(9, i, len(s), 0.3, False, i, 0) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(cells, "home long, node long, n long, distance double, visitor boolean, component long, main long")
+    held = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate([*sets, sets[0]])], "node long, ids array<long>")
+    held = held.replace(len(sets), 0, ["node"])  # a node may come twice
+    found = [tuple(r) for r in metric_join._last_pairs(frame, held).collect()]
+    linked = {
+        (i, j) for i, j in combinations(range(len(sets)), 2) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+    }
+    assert len(linked) >= 20 and linked <= set(found) and len(found) == len(set(found)) <= 2 * len(linked)
