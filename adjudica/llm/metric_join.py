@@ -371,7 +371,8 @@ def _still_possible(rows: DataFrame) -> DataFrame:
     own = (100 + PERCENT) * F.col("below") - (100 - PERCENT) * F.col("n")
     both = 2 * (100 + PERCENT) * F.col("shared")
     sized = rows.select("home", "node", "n", "upto", _size().alias("size"), own.alias("own"), both.alias("both"))
-    reach = _nearby(sized).groupBy("home", "size").agg(F.min("own").alias("__own"), F.min(F.col("own") - F.col("both")).alias("__less"))
+    least = sized.groupBy("home", "size").agg(F.min("own").alias("__own"), F.min(F.col("own") - F.col("both")).alias("__less"))
+    reach = _nearby(least).groupBy("home", "size").agg(F.min("__own").alias("__own"), F.min("__less").alias("__less"))
     met = sized.join(reach, ["home", "size"])
     possible = (F.col("own") + F.col("__own") - F.col("both") <= 0) & (F.col("own") + F.col("__less") <= 0)
     return met.where(possible).select("home", "node", "n", "upto")
@@ -391,9 +392,12 @@ def _nearby(sized: DataFrame) -> DataFrame:
 def _with_partners(rows: DataFrame) -> DataFrame:
     """The visits that some other visit of the region, of a like size, can be first met at."""
     sized = rows.select("home", "node", "n", "upto", _size().alias("size"))
-    reach = _nearby(sized).groupBy("home", "size").agg(
+    found = sized.groupBy("home", "size").agg(
         F.min("n").alias("__low"), F.max("upto").alias("__high"), F.count("*").alias("__count")
     )
+    reach = _nearby(found).groupBy("home", "size").agg(
+        F.min("__low").alias("__low"), F.max("__high").alias("__high"), F.sum("__count").alias("__count")
+    )
     met = sized.join(reach, ["home", "size"]).where("__count > 1")
     fits = (PERCENT * F.col("__low") <= F.col("upto")) & (PERCENT * F.col("n") <= F.col("__high"))
     return met.where(fits).select("home", "node", "n")
